@@ -1,44 +1,19 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder and deterministic range cuts."""
+"""Shared plumbing: input tables and deterministic range cuts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.plans.scratch import remove, scratch, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillmill/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. The files outlive any executor."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def range_cuts(df: DataFrame, key: str, weight: Column, target: int, per_range: int = 64) -> list[int]:
     """Ascending long boundaries that cut `key` into ranges of about `target` weight each.
 
@@ -67,8 +42,6 @@ def range_of(key: str, cuts: list[int]) -> Column:
 
     @F.pandas_udf("int")
     def find(k):  # a missing key arrives as 0 from coalesce below
-        import pandas as pd
-
         return pd.Series(np.searchsorted(bounds, k.to_numpy(dtype=np.int64), side="right").astype("int32"))
 
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(find(F.coalesce(F.col(key), F.lit(0)).cast("long")))

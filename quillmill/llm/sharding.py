@@ -16,6 +16,7 @@ size are interchangeable; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.pandas_udf("long")
     def start(r):
-        import pandas as pd
-
         return pd.Series(starts[r.to_numpy() + 1])
 
     order = Window.partitionBy("__range").orderBy("doc_id", "text_crc32", "size")
@@ -105,8 +104,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "
 
     @F.pandas_udf("long")
     def image(row):
-        import pandas as pd
-
         return pd.Series(permute(row.to_numpy(), n, key))
 
     p = rows.withColumn("__p", image("row"))
