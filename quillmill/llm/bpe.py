@@ -20,6 +20,7 @@ as do ill-formed bytes within; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PIECES = 150_000
+PIECES = 400_000
 STATES = 100_000
 
 
@@ -96,7 +97,7 @@ class Transducer:
         Merges are undone from the latest back. If at some point the parts that touch would merge earlier than the
         merges already undone, merging crosses the seam and the pair isn't an encoding.
         """
-        if (ok := self.pairs.get(before << 20 | after)) is not None:
+        if (ok := self.pairs.get((before << 20) | after)) is not None:
             return ok
         if before < 0:
             ok = len(self.merged(self.bytes_of[after])) == 1
@@ -115,7 +116,7 @@ class Transducer:
                     ceiling, right = right + 1, of_right[0]
         if len(self.pairs) > 8 * self.max_states:
             self.pairs.clear()
-        self.pairs[before << 20 | after] = ok
+        self.pairs[(before << 20) | after] = ok
         return ok
 
     def _live(self, last: int, configs, byte: int) -> list[tuple[tuple[int, ...], int]]:
@@ -128,7 +129,7 @@ class Transducer:
             live.append((pending, nxt))
             if ended is None and (t := token[nxt]) >= 0:
                 before = pending[-1] if pending else last
-                ok = pairs.get(before << 20 | t)
+                ok = pairs.get((before << 20) | t)
                 if self.agree(before, t) if ok is None else ok:
                     ended = (pending + (t,), 0)
         live.append(ended)
@@ -169,40 +170,38 @@ class Transducer:
         return out + self._closed(self.states[state][1])
 
     def _untabled(self, state: int, data: bytes, at: int) -> list[int]:
-        """The rest of a piece without the table. Pending tokens are chains (token, chain before)."""
-        child, token, pairs = self.child, self.token, self.pairs
+        """The rest of a piece without the table. Pending tokens are chains (token, chain before, shifted for lookup)."""
+        child, pair, token, agree = self.child.get, self.pairs.get, self.token, self.agree
         out: list[int] = []
         last, configs = self.states[state]
         while True:
             live = []
             for pending, node in configs:
-                rec = (last, None)
+                rec = (last << 20, None)
                 for t in pending:
-                    rec = (t, rec)
-                live.append((rec, node))
+                    rec = (t << 20, rec)
+                live.append((rec, node << 8))
             for x in data[at : at + 4096]:
                 grown, ended = [], None
                 for rec, node in live:
-                    nxt = child.get(node << 8 | x)
-                    if nxt is None:
-                        continue
-                    grown.append((rec, nxt))
-                    if ended is None and (t := token[nxt]) >= 0:
-                        ok = pairs.get(rec[0] << 20 | t)
-                        if self.agree(rec[0], t) if ok is None else ok:
-                            ended = ((t, rec), 0)
+                    if (nxt := child(node | x)) is not None:
+                        grown.append((rec, nxt << 8))
+                        if ended is None and (t := token[nxt]) >= 0:
+                            ok = pair(rec[0] | t)
+                            if ok or (ok is None and agree(rec[0] >> 20, t)):
+                                ended = ((t << 20, rec), 0)
                 grown.append(ended)
                 live = grown
+            at += 4096
             configs = []
-            for rec, node in live:
+            for rec, node in live[-1:] if at >= len(data) else live:
                 pending = []
                 while rec[1] is not None:
-                    pending.append(rec[0])
+                    pending.append(rec[0] >> 20)
                     rec = rec[1]
-                configs.append((tuple(reversed(pending)), node))
-            at += 4096
+                configs.append((pending[::-1], node >> 8))
             if at >= len(data):
-                return out + self._closed(configs)
+                return out + configs[0][0]
             last, configs, done = self._settled(last, configs)
             out += done
 
@@ -241,6 +240,7 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self.loops: dict[int, str] = {}  # the start state's transitions to itself
         self.tail = b""
 
     @staticmethod
@@ -264,6 +264,8 @@ class Decoder:
                 cut = self.whole(data)
                 hit = at[i] = (data[:cut].decode("utf-8", "replace"), data[cut:])
                 moves.setdefault(hit[1], {})
+                if not tail and not hit[1]:
+                    self.loops[i] = hit[0]
             yield hit[0]
             if hit[1] is not tail:
                 tail = hit[1]
@@ -274,7 +276,11 @@ class Decoder:
         rest, self.tail = self.tail.decode("utf-8", "replace"), b""
         return rest
 
-    def __call__(self, ids: Iterable[int]) -> str:
+    def __call__(self, ids: list[int]) -> str:
+        try:  # never leaving the start state
+            return "".join(map(self.loops.__getitem__, ids))
+        except KeyError:
+            pass
         return "".join(self.feed(ids)) + self.finish()
 
 
@@ -291,13 +297,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches):
         encode, decode = codec(ranks_path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(decode, ids), pa.string())], names=["doc_id", "ids", "decoded"]
-                )
+        gc.disable()  # the tables are many live tuples, which it would walk again and again; nothing here makes cycles
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    ids = [encode(t) if t else [] for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(decode, ids), pa.string())], names=["doc_id", "ids", "decoded"]
+                    )
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
