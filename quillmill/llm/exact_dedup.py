@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, and closed after each commit: an open store holds 4 MB of preallocated disk.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,8 +44,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def advance(spark: SparkSession, source: str, state: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Take all files of `source` (Parquet, a folder or one file) that the state at `state` has not seen into it."""
     schema = spark.read.parquet(source).schema
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         # as a pattern, since a stream takes a plain path for a folder, and a table may be a single file
         rows = _rows(spark.readStream.schema(schema).parquet(f"{source[:-1]}[{source[-1]}]"), id_col, text_col)
@@ -58,7 +62,8 @@ def advance(spark: SparkSession, source: str, state: str, id_col: str = "doc_id"
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def groups(spark: SparkSession, state: str) -> DataFrame:
@@ -87,8 +92,9 @@ def dedup(spark: SparkSession, source: str, id_col: str = "doc_id", text_col: st
     )
     texts = common.written(texts, path := common.scratch(spark, "dedup-hits"))
     full = texts.where("stays").select("digest", F.col("text").alias("full"))
-    clash = texts.where("not stays").join(full, "digest").where("text != full").select("digest").distinct()
-    clash = common.written(clash, common.scratch(spark, "dedup-clash"))
+    clash = texts.where("not stays").join(full, "digest").where("text != full").select("digest")
+    # written before distinct(), which would tie the join to its keys and keep AQE from splitting a hot group
+    clash = common.written(clash, common.scratch(spark, "dedup-clash")).distinct()
     found = rows.drop("text").join(held, "digest")
     if clash.take(1):
         of_texts = texts.join(clash, "digest", "left_semi")
