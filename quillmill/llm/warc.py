@@ -8,8 +8,8 @@ Spark commits last. Readers only open files of the manifest, so what a lost exec
 is never read; an attempt that comes again writes the same bytes under the same name.
 
 Equal payloads of `REVISIT_BYTES` or more are stored once: the record with the largest id is the response, the others
-are revisits that name it. Payloads are compared by SHA-256 and length; the groups are pre-aggregated, and rows join
-them by a plain join that AQE may split.
+are revisits that name it. Payloads are compared by SHA-256 and length. The groups are pre-aggregated from thin rows,
+which join them by a plain join that AQE may split; payloads themselves are shuffled once, into their shards.
 
 Defined cases: a null payload is empty; a null id is smaller than any other and written without an id header; records
 alike in id and payload are written each, the response is one with the largest id and, if several rows share it, all
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
 REVISIT_BYTES = 1000
 #: A date that doesn't depend on the clock, and the profile of revisits by equal digest.
@@ -116,26 +116,34 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     thin = rows.select("id", size.alias("size"), F.sha2("payload", 256).alias("same")).where(size >= REVISIT_BYTES)
     largest = thin.groupBy("same", "size").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     cuts = common.range_cuts(rows, "id", size + 512, SHARD_BYTES)
-    rows = rows.withColumn("size", size).withColumn("same", F.sha2("payload", 256)).join(largest, ["same", "size"], "left")
-    revisit = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
-    rows = rows.select("id", "url", "payload", F.when(revisit, F.col("largest")).alias("refers_to"), common.range_of("id", cuts).alias("shard"))
-    rows = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "url", "payload")
+    # revisits travel as markers that sort before their records, so payloads are shuffled once
+    is_revisit = ~F.col("id").eqNullSafe(F.col("largest"))
+    markers = thin.join(largest, ["same", "size"]).where(is_revisit).select("id", "same", F.col("largest").alias("refers_to")).distinct()
+    markers = markers.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "same", "refers_to")
+    rows = rows.select("id", "url", "payload", F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(markers).withColumn("shard", common.range_of("id", cuts))
+    rows = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", F.asc_nulls_last("same"), "url", "payload")
 
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
 
     def run(batches):
-        roller = None
+        roller, of, refers = None, object(), {}
         for b in batches:
             done = []
             for i in range(b.num_rows):
-                id_, url, body, refers, shard = (b.column(k)[i].as_py() for k in range(5))
+                id_, url, body, same, target, shard = (b.column(k)[i].as_py() for k in range(6))
+                if of != (shard, id_):
+                    of, refers = (shard, id_), {}
+                if same is not None:
+                    refers[same] = target
+                    continue
                 if roller is None or roller.shard != shard:
                     if roller is not None and roller.out is not None:
                         done.append(roller.close())
                     roller = _Roller(folder, shard, roll)
-                kind = "response" if refers is None else "revisit"
-                done += roller.add(record_bytes(id_, url, kind, refers, body, hashlib.sha1(body).digest()))
+                to = refers.get(hashlib.sha256(body).hexdigest()) if refers else None
+                done += roller.add(record_bytes(id_, url, "response" if to is None else "revisit", to, body, hashlib.sha1(body).digest()))
             yield _batch(done)
         if roller is not None and roller.out is not None:
             yield _batch([roller.close()])
