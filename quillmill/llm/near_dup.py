@@ -207,7 +207,8 @@ def groups(
 
     # the first level of all trees; then branch what is too large
     nodes = classes.select(F.explode("keys").alias("node"), "rep")
-    members = keep(nodes.join(_sized(nodes), "node"), "level")
+    # sizes are written, so that both sides of a join with them are dealt anew and AQE may split a hot node
+    members = keep(nodes.join(keep(_sized(nodes), "sizes"), "node"), "level")
     candidates = members.select("rep").distinct().join(classes.select("rep", "digest"), "rep")
     texts = rows.withColumnRenamed("doc_id", "rep").join(candidates.hint("shuffle_hash"), "rep")
     sets = keep(_sets(texts, words, FUNCTIONS), "sets")
@@ -221,7 +222,7 @@ def groups(
         at = F.explode(F.when(twice, F.array(*pick)).otherwise(F.array(pick[0])))
         below = large.withColumnRenamed("size", "above").withColumn("at", at).join(sets.select("rep", "least"), "rep")
         below = keep(below.select(F.xxhash64("node", "at", F.element_at("least", F.col("at").cast("int"))).alias("node"), "rep", "above"), "level")
-        members = keep(below.join(_sized(below), "node"), "level")
+        members = keep(below.join(keep(_sized(below), "sizes"), "node"), "level")
         ends = (F.col("size") <= SMALL) | (F.col("size") > DENSE * F.col("above"))
         final.append(members.where(ends).drop("above"))
         large = members.where(~ends).drop("above")
