@@ -26,14 +26,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     if seen[0]:
         while True:
             sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # minima are written: dealt anew on both sides, the joins with them stay open to AQE's splitting of a hub
             low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            low = written(low, at := scratch(spark, "minima"))
             large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            large = written(large, at_large := scratch(spark, "edges"))
+            least = written(large.groupBy("u").agg(F.min("v").alias("m")), at_least := scratch(spark, "minima"))
             joined = large.join(least, "u")
             small = joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
             nxt = written(small.where("u != v").distinct(), new := scratch(spark, "edges"))
             now = nxt.agg(F.count(F.lit(1)), mark).first()
-            remove(spark, path)
+            for gone in (path, at, at_large, at_least):
+                remove(spark, gone)
             e, path = nxt, new
             if now == seen:
                 break
