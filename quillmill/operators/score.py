@@ -123,7 +123,7 @@ def thresholds(scored: DataFrame, column: str = "overall") -> DataFrame:
     q = F.col(column)
     a = scored.agg(F.avg(q).alias("mean"), F.stddev_pop(q).alias("std"), F.min(q).alias("min"), F.max(q).alias("max"), F.median(q).alias("median"))
     return a.select(
-        F.coalesce(F.least(F.lit(0.95), F.col("mean") + F.col("std")), F.lit(0.8)).alias("strict"),
+        F.when(F.col("mean").isNull(), F.lit(0.8)).otherwise(F.least(F.lit(0.95), F.col("mean") + F.col("std"))).alias("strict"),
         F.coalesce("mean", F.lit(0.6)).alias("moderate"),
         F.when(F.col("mean").isNull(), F.lit(0.4)).otherwise(F.greatest(F.lit(0.3), F.col("mean") - F.col("std"))).alias("lenient"),
         "mean",
