@@ -3,7 +3,7 @@
 Rows are dealt evenly, by a hash of their id, to blocks of about `BLOCK` rows. A block holds `TREES` trees; a tree is the
 sorted array of its rows' hash strings, `BITS` signs of random projections each. A query descends in every tree to its
 longest prefix match by binary search. Then all trees ascend together, one bit at a time, until the rows under the
-prefixes, counted over all trees, reach `QUOTA` of the block's rows; these are the candidates, compared by exact cosine.
+prefixes, counted over all trees, reach `QUOTA` of the block's rows; these are the candidates, compared by exact cosine. A query left with fewer than k goes up to the root.
 The quota is a share of the block, so recall doesn't fall with size: the test rows are nearly isotropic in 64 dimensions,
 where five neighbours stand out little, and need half of a block or more seen for a recall safely above 0.9 (see the README).
 
@@ -81,6 +81,8 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     norm = np.sqrt((vectors * vectors).sum(axis=1))
     for i, own, q in zip(forest.candidates(queries, quota), query_ids, queries, strict=True):
         i = i[ids[i] != own]
+        if len(i) < k:  # up to the root
+            i = np.flatnonzero(ids != own)
         rough = (vectors[i] @ q) / norm[i]
         if len(i) > k:
             i = i[rough >= np.partition(rough, len(i) - k)[len(i) - k] - 1e-9 * np.sqrt(q @ q)]
