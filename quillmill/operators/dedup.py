@@ -2,8 +2,9 @@
 
 Near duplicates are pairs whose normalised Indel similarity, 1 - (|a| + |b| - 2 LCS) / (|a| + |b|), reaches the threshold.
 Equal texts are collapsed first. Pairs are only formed where lengths allow the threshold, by an equi-join on bands of the
-logarithm of the length, and pass a bound by character counts before the longest common subsequence is computed, by
-bit-parallel arithmetic in Arrow batches; every pair at or above the threshold is found.
+logarithm of the length, and pass bounds by character counts (of common letters in the join, then of all) before the
+longest common subsequence is computed, by bit-parallel arithmetic in Arrow batches; every pair at or above the threshold
+is found. The pairs of a band grow with its square: this is the exact operator, for sets of moderate size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from quillmill.operators.components import components
 from quillmill.plans.scratch import scratch, written
 
 THRESHOLD = 0.85
+LETTERS = "etaoinshrdlucmfgpb ,."
 
 
 def exact(samples: DataFrame, field: str = "instruction") -> DataFrame:
@@ -55,14 +57,19 @@ def similar_pairs(samples: DataFrame, field: str = "instruction", threshold: flo
     """i, j, sim between first samples of different texts, and each other sample with the first of its text (sim 1)."""
     rows = samples.select("idx", F.coalesce(F.col(field).cast("string"), F.lit("")).alias("t"))
     firsts = rows.groupBy("t").agg(F.min("idx").alias("first"))
-    firsts = written(firsts.withColumn("n", F.length("t")), scratch(samples.sparkSession, "near-texts"))
+    counts = F.array(*[F.length("t") - F.length(F.replace("t", F.lit(c))) for c in LETTERS])
+    counts = F.concat(counts, F.array(F.length(F.translate("t", LETTERS, ""))))
+    firsts = written(firsts.select("t", "first", F.length("t").alias("n"), counts.alias("c")), scratch(samples.sparkSession, "near-texts"))
     same = rows.join(firsts, "t").where(F.col("idx") != F.col("first")).select(F.col("first").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("sim"))
     # lengths a <= b can reach t only if b / a <= (2 - t) / t; one band is that wide, so partners lie in bands k and k + 1
     step = math.log((2 - threshold) / threshold) if threshold < 1 else 1e-9
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / step).cast("long")
-    left = firsts.select(F.col("first").alias("i"), F.col("t").alias("a"), F.col("n").alias("na"), F.explode(F.array(band, band + 1, band - 1)).alias("band"))
-    right = firsts.select(F.col("first").alias("j"), F.col("t").alias("b"), F.col("n").alias("nb"), band.alias("band"))
-    pairs = left.join(right, "band").where((F.col("i") < F.col("j")) & (2.0 * F.least("na", "nb") >= (threshold - 1e-9) * (F.col("na") + F.col("nb"))))
+    left = firsts.select(F.col("first").alias("i"), F.col("t").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.explode(F.array(band, band + 1, band - 1)).alias("band"))
+    right = firsts.select(F.col("first").alias("j"), F.col("t").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), band.alias("band"))
+    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)  # no subsequence is longer
+    needed = (threshold - 1e-9) * (F.col("na") + F.col("nb"))
+    near = (F.col("i") < F.col("j")) & (2.0 * F.least("na", "nb") >= needed)
+    pairs = left.join(right, "band").where(near).where(2.0 * common >= needed).select("i", "j", "a", "b")
 
     @F.pandas_udf("double")
     def sim(a: pd.Series, b: pd.Series) -> pd.Series:

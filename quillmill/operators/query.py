@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 def bucket(q: Column) -> Column:
     """q rounded to one digit as Python rounds: half cases fall as the double nearest to k.k5 does."""
-    out = F.lit(0.0)
-    for k in range(10):
-        half = float(f"0.{k}5")
-        out = F.when((q >= half) if round(half, 1) > half else (q > half), F.lit((k + 1) / 10)).otherwise(out)
-    return out
+
+    def of(x: Column) -> Column:
+        out = F.when(x.isNotNull(), F.lit(0.0))
+        for k in range(10):
+            half = float(f"0.{k}5")
+            out = F.when((x >= half) if round(half, 1) > half else (x > half), F.lit((k + 1) / 10)).otherwise(out)
+        return out
+
+    return F.transform(F.array(q), of)[0]  # q may be a long expression: compute it once
 
 
 def in_quality(low: float | None = None, high: float | None = None, mode: str = "bucket", column: str = "quality_score") -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import WORD, any_in, blank, count_in, is_upper, starts_any, strip, words
+from quillmill.functions.text import WORD, WS, any_in, blank, count_in, is_upper, starts_any, strip, words
 
 #: Vocabularies of the rules.
 QUESTION_WORDS = ["what", "when", "where", "who", "why", "how", "which"]
@@ -40,42 +40,42 @@ def _clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def clarity(i: Column) -> Column:
-    low, size = F.lower(i), F.length(i)
+def clarity(i: Column, low: Column) -> Column:
+    size = F.length(i)
     s = F.when(size < 20, F.lit(0.5)).when(size > 1000, F.lit(0.8)).otherwise(F.lit(1.0))
     s = s * _times(~strip(i).rlike(r"[.!?]\z"), 0.9) * _times(is_upper(i), 0.7)
     s = s * _times(starts_any(low, QUESTION_WORDS) & ~F.contains(i, F.lit("?")), 0.9) * _times(count_in(low, VAGUE_WORDS) > 2, 0.8)
     return F.when(blank(i), F.lit(0.0)).otherwise(_clamp(s))
 
 
-def complexity(i: Column, w: Column) -> Column:
+def complexity(i: Column, w: Column, lower: Column) -> Column:
     n = F.size(w)
     of = F.greatest(n, F.lit(1)).cast("double")
-    distinct = F.size(F.array_distinct(F.transform(w, F.lower))).cast("double")
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("double")
+    distinct = F.size(F.array_distinct(lower)).cast("double")
+    letters = F.length(F.array_join(w, "")).cast("double")
     s = F.lit(0.5) + _if(n > 10, 0.1) + _if(n > 20, 0.1) + _if(distinct / of > 0.7, 0.1) + _if(letters / of > 5, 0.1) + _if(letters / of > 7, 0.1)
     return F.when(blank(i), F.lit(0.0)).otherwise(_clamp(s + _if(count_in(i, CLAUSE_MARKS) > 2, 0.1)))
 
 
-def completeness(i: Column, r: Column, wi: Column, wr: Column) -> Column:
+def completeness(i: Column, r: Column, lr: Column, wi: Column, wr: Column) -> Column:
     ratio = F.size(wr).cast("double") / F.greatest(F.size(wi), F.lit(1)).cast("double")
     s = F.lit(0.5) + _if(ratio >= 1, 0.2) + _if(ratio >= 2, 0.1) + _if(F.contains(r, F.lit("\n\n")), 0.1)
-    s = s + _if(any_in(r, LIST_MARKS), 0.05) + _if(any_in(r, ["```", "    "]), 0.05) + _if(any_in(F.lower(r), CONCLUSIONS), 0.1)
+    s = s + _if(any_in(r, LIST_MARKS), 0.05) + _if(any_in(r, ["```", "    "]), 0.05) + _if(any_in(lr, CONCLUSIONS), 0.1)
     return F.when(blank(i) | blank(r), F.lit(0.0)).otherwise(_clamp(s))
 
 
-def coherence(r: Column, wr: Column) -> Column:
-    found = count_in(F.lower(r), TRANSITIONS)
-    parts = F.split(r, r"\.")
-    capital = F.size(F.filter(parts, lambda p: strip(p).rlike(r"\A\p{Lu}"))).cast("double")
-    unique = F.size(F.array_distinct(F.transform(wr, F.lower))).cast("double") / F.size(wr).cast("double")
+def coherence(r: Column, lr: Column, wl: Column) -> Column:
+    """wl: the lower-cased words of the response."""
+    found, parts = count_in(lr, TRANSITIONS), F.split(r, r"\.")
+    capital = F.size(F.filter(parts, lambda p: p.rlike(rf"\A{WS}*\p{{Lu}}"))).cast("double")
+    unique = F.size(F.array_distinct(wl)).cast("double") / F.size(wl).cast("double")
     s = F.lit(0.6) + _if(found >= 2, 0.1) + _if(found >= 4, 0.1)
     s = s + _if((F.size(parts) > 1) & (capital / F.size(parts).cast("double") > 0.8), 0.1)
-    return F.when(blank(r), F.lit(0.0)).otherwise(_clamp(s - _if((F.size(wr) > 10) & (unique < 0.5), 0.2)))
+    return F.when(blank(r), F.lit(0.0)).otherwise(_clamp(s - _if((F.size(wl) > 10) & (unique < 0.5), 0.2)))
 
 
 def alignment(i: Column, r: Column) -> Column:
-    i, r = F.lower(i), F.lower(r)
+    """Both texts lower-cased."""
     keys = F.array_except(F.array_distinct(F.regexp_extract_all(i, F.lit(f"({WORD})"), 1)), F.array(*map(F.lit, STOP_WORDS)))
     overlap = F.size(F.filter(keys, lambda k: F.contains(r, k))).cast("double") / F.size(keys).cast("double")
     s = F.lit(0.5) + F.when(F.size(keys) > 0, overlap * 0.4).otherwise(F.lit(0.0))
@@ -85,8 +85,8 @@ def alignment(i: Column, r: Column) -> Column:
     return F.when(blank(i) | blank(r), F.lit(0.0)).otherwise(_clamp(s))
 
 
-def diversity(i: Column, r: Column) -> Column:
-    w = words(F.lower(F.concat(i, F.lit(" "), r)))
+def diversity(w: Column) -> Column:
+    """w: the lower-cased words of both texts."""
     ratio = F.size(F.array_distinct(w)).cast("double") / F.size(w).cast("double")
     return F.when(F.size(w) < 10, F.lit(0.5)).when(ratio < 0.4, F.lit(0.3)).otherwise(F.least(F.lit(1.0), ratio * 1.5))
 
@@ -102,20 +102,22 @@ def overall(weights: dict[str, float] | None = None) -> Column:
 
 def score(samples: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The samples with the six components and `overall`."""
+    # shared parts are columns of their own, so that no component computes them again
     held = samples.withColumns({"__i": F.coalesce("instruction", F.lit("")), "__r": F.coalesce("response", F.lit(""))})
-    held = held.withColumns({"__wi": words(F.col("__i")), "__wr": words(F.col("__r"))})
-    i, r, wi, wr = (F.col(c) for c in ("__i", "__r", "__wi", "__wr"))
+    held = held.withColumns({"__li": F.lower("__i"), "__lr": F.lower("__r"), "__wi": words(F.col("__i"))})
+    held = held.withColumns({"__wl": words(F.col("__lr")), "__wli": F.transform("__wi", F.lower)})
+    i, r, li, lr, wi, wl, wli = (F.col(c) for c in ("__i", "__r", "__li", "__lr", "__wi", "__wl", "__wli"))
     held = held.withColumns(
         {
-            "instruction_clarity": clarity(i),
-            "instruction_complexity": complexity(i, wi),
-            "response_completeness": completeness(i, r, wi, wr),
-            "response_coherence": coherence(r, wr),
-            "alignment": alignment(i, r),
-            "diversity": diversity(i, r),
+            "instruction_clarity": clarity(i, li),
+            "instruction_complexity": complexity(i, wi, wli),
+            "response_completeness": completeness(i, r, lr, wi, wl),
+            "response_coherence": coherence(r, lr, wl),
+            "alignment": alignment(li, lr),
+            "diversity": diversity(F.concat(wli, wl)),
         }
     )
-    return held.withColumn("overall", overall(weights)).drop("__i", "__r", "__wi", "__wr")
+    return held.withColumn("overall", overall(weights)).drop("__i", "__r", "__li", "__lr", "__wi", "__wl", "__wli")
 
 
 def thresholds(scored: DataFrame, column: str = "overall") -> DataFrame:

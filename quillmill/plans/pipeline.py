@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import dedup, generate, query, repair, score, validate
+from quillmill.plans.scratch import scratch, written
 from quillmill.plans.store import Store
 from quillmill.sources import files
 
@@ -84,7 +85,9 @@ class Pipeline:
 
     def _quality(self, c: dict) -> DataFrame:
         scored = score.score(self.samples, c.get("weights")).drop(*score.WEIGHTS)
-        return scored.drop("quality_score").withColumnRenamed("overall", "quality_score")
+        scored = scored.drop("quality_score").withColumnRenamed("overall", "quality_score")
+        # written: filters on the score would otherwise be pushed below it and compute it again
+        return written(scored, scratch(self.spark, "scored"))
 
     def _deduplicate(self, c: dict) -> DataFrame:
         out = dedup.unique(self.samples, c.get("field", "instruction")) if c.get("exact", True) else self.samples
