@@ -1,12 +1,14 @@
 """Operator 9: byte-level BPE by a lazily determinised finite-state transducer.
 
 A sequence of tokens is the encoding of its bytes exactly when each adjacent pair of tokens encodes to itself. This
-makes encoding a nondeterministic transducer over bytes: a configuration is (tokens chosen but not yet emitted, place
-in the vocabulary trie), and a token may end where it agrees with the token before it. Determinisation keeps all live
-configurations in one state. As soon as they share their first pending tokens, these are emitted, so lookahead is
-bounded by the vocabulary's longest tokens. States and transitions are built when a text first needs them, up to
-`max_states`; past that number what isn't in the table is stepped through by its configurations and not kept, so
-memory is bounded on any input.
+makes encoding a nondeterministic transducer over bytes: a configuration is (token before, place in the vocabulary
+trie), and a token may end where it agrees with the token before it. Determinisation keeps all live configurations in
+one state. After each byte exactly one configuration may end, as what precedes has one encoding; a transition outputs
+that token. Which of these tokens belong to the encoding shows once all live configurations go back to one place in the
+text, a few tokens behind: lookahead is bounded by the vocabulary's longest tokens. Places are compared every `WINDOW`
+bytes and at the end of a piece, and what is settled is emitted. States and transitions are built when a text first needs
+them, up to `max_states`; past that number a state that isn't in the table is stepped through by its configurations and
+not kept, so memory is bounded on any input.
 
 The pattern splits a text; a piece that is a token by itself is that token, any other runs through the transducer.
 Results of short pieces are kept in two generations of a table of bounded size. Decoding streams tokens through an incremental UTF-8 state
@@ -23,6 +25,7 @@ import base64
 import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECES = 400_000
-STATES = 100_000
+STATES = 200_000
+WINDOW = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +45,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes to token ids. `step` takes a byte, `end` closes a piece."""
+    """Bytes to token ids."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -49,27 +53,22 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         # the trie: a dictionary of node * 256 + byte to node; a node's token if it is one that merging reaches
         self.child: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.token, self.depth = [-1], [0]
         for b, i in ranks.items():
             node = 0
             for x in b:
                 if (nxt := self.child.get(node << 8 | x)) is None:
                     nxt = self.child[node << 8 | x] = len(self.token)
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = i
         self.made: dict[int, tuple[int, int] | None] = {}
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state((-1, (((), 0),)))
-
-    def _state(self, state: tuple) -> int:
-        if (k := self.ids.get(state)) is None:
-            k = self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-        return k
+        self.size = {i: len(b) for b, i in ranks.items()}
+        # states by number; transitions: state * 256 + byte to the next state and the token that ends there
+        self.states: list[tuple] = [((-1, 0),)]
+        self.numbers: dict[tuple, int] = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
         """Merging by rank down to `least` parts; used on single tokens' bytes, to build transitions."""
@@ -119,119 +118,101 @@ class Transducer:
         self.pairs[(before << 20) | after] = ok
         return ok
 
-    def _live(self, last: int, configs, byte: int) -> list[tuple[tuple[int, ...], int]]:
-        """The configurations after one more byte. Of those that end a token here, one agrees at most."""
-        child, token, pairs, live, ended = self.child, self.token, self.pairs, [], None
-        for pending, node in configs:
+    def _after(self, configs: Iterable[tuple[int, int]], byte: int) -> tuple[tuple, int]:
+        """The configurations after one more byte, and the token that ends there."""
+        child, token, pairs, live, ended = self.child, self.token, self.pairs, [], -1
+        for before, node in configs:
             nxt = child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            live.append((pending, nxt))
-            if ended is None and (t := token[nxt]) >= 0:
-                before = pending[-1] if pending else last
+            live.append((before, nxt))
+            if ended < 0 and (t := token[nxt]) >= 0:
                 ok = pairs.get((before << 20) | t)
                 if self.agree(before, t) if ok is None else ok:
-                    ended = (pending + (t,), 0)
-        live.append(ended)
-        return live
+                    ended = t
+        live.append((ended, 0))
+        return tuple(live), ended
+
+    def _move(self, state: int, configs: tuple, byte: int) -> tuple[int, tuple, int]:
+        """A transition that isn't in the table: the next state (-1: only its configurations), and the token."""
+        configs, token = self._after(self.states[state] if state >= 0 else configs, byte)
+        target = self.numbers.get(configs, -1)
+        if target < 0 and len(self.states) < self.max_states:
+            target = self.numbers[configs] = len(self.states)
+            self.states.append(configs)
+        if state >= 0 and target >= 0 and len(self.moves) < 4 * self.max_states:
+            self.moves[state << 8 | byte] = (target, token)
+        return target, configs, token
+
+    def _back(self, ended: list[int], at: int) -> list[int]:
+        """The tokens of the first `at` bytes, the last token first."""
+        out = []
+        while at:
+            out.append(t := ended[at - 1])
+            at -= self.size[t]
+        return out
 
-    @staticmethod
-    def _settled(last: int, live: list) -> tuple[int, list, tuple[int, ...]]:
-        """Emit what all configurations have chosen alike: the last token emitted, what stays pending, the output."""
-        first = min((p for p, _ in live), key=len)
-        n = 0
-        while n < len(first) and all(p[n] == first[n] for p, _ in live):
-            n += 1
-        if not n:
-            return last, live, ()
-        return first[n - 1], [(p[n:], node) for p, node in live], first[:n]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
-        if len(self.states) >= self.max_states:
-            return None
-        last, configs = self.states[state]
-        last, live, out = self._settled(last, self._live(last, configs, byte))
-        target = (last, tuple(live))
-        found = self.moves[state][byte] = (self._state(target), out)
-        return found
+    def _settled(self, ended: list[int], configs: tuple) -> list[int]:
+        """Takes from `ended` as many bytes as all configurations agree on, and gives their tokens."""
+        common = None
+        for _, node in configs:
+            at = len(ended) - self.depth[node]
+            places = {at}
+            while at:
+                at -= self.size[ended[at - 1]]
+                places.add(at)
+            common = places if common is None else common & places
+        at = max(common)
+        out = self._back(ended, at)[::-1]
+        del ended[:at]
+        return out
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        state, out, moves = self.start, [], self.moves
-        for i, x in enumerate(data):
-            hit = moves[state].get(x) or self._move(state, x)
-            if hit is None:
-                return out + self._untabled(state, data, i)
-            state = hit[0]
-            if hit[1]:
-                out += hit[1]
-        return out + self._closed(self.states[state][1])
-
-    def _untabled(self, state: int, data: bytes, at: int) -> list[int]:
-        """The rest of a piece without the table. Pending tokens are chains (token, chain before, shifted for lookup)."""
-        child, pair, token, agree = self.child.get, self.pairs.get, self.token, self.agree
         out: list[int] = []
-        last, configs = self.states[state]
-        while True:
-            live = []
-            for pending, node in configs:
-                rec = (last << 20, None)
-                for t in pending:
-                    rec = (t << 20, rec)
-                live.append((rec, node << 8))
-            for x in data[at : at + 4096]:
-                grown, ended = [], None
-                for rec, node in live:
-                    if (nxt := child(node | x)) is not None:
-                        grown.append((rec, nxt << 8))
-                        if ended is None and (t := token[nxt]) >= 0:
-                            ok = pair(rec[0] | t)
-                            if ok or (ok is None and agree(rec[0] >> 20, t)):
-                                ended = ((t << 20, rec), 0)
-                grown.append(ended)
-                live = grown
-            at += 4096
-            configs = []
-            for rec, node in live[-1:] if at >= len(data) else live:
-                pending = []
-                while rec[1] is not None:
-                    pending.append(rec[0] >> 20)
-                    rec = rec[1]
-                configs.append((pending[::-1], node >> 8))
-            if at >= len(data):
-                return out + configs[0][0]
-            last, configs, done = self._settled(last, configs)
-            out += done
+        ended: list[int] = []  # the token that ends at each byte not yet emitted
+        state, configs, known = 0, (), self.moves.get
+        for at in range(0, len(data), WINDOW):
+            for x in data[at : at + WINDOW]:
+                hit = known(state << 8 | x)
+                if hit is None:
+                    state, configs, token = self._move(state, configs, x)
+                else:
+                    state, token = hit
+                ended.append(token)
+            if at + WINDOW < len(data):
+                out += self._settled(ended, self.states[state] if state >= 0 else configs)
+        return out + self._back(ended, len(ended))[::-1]
+
+
+class Pieces(dict):
+    """Ids by piece, those not there yet computed. Two generations of at most `most` pieces are kept."""
+
+    def __init__(self, machine: Transducer, most: int):
+        self.machine, self.most = machine, most
+        self.old: dict[str, list[int]] = {}
 
-    @staticmethod
-    def _closed(configs) -> list[int]:
-        return next(list(pending) for pending, node in configs if node == 0)
+    def __missing__(self, piece: str) -> list[int]:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.machine.piece(piece.encode("utf-8"))
+        if len(piece) <= 64:  # longer ones hardly come again
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = PIECES):
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.pieces = pieces
-
-    def _ids(self, piece: str) -> list[int]:
-        if (ids := self.old.get(piece)) is None:
-            ids = self.machine.piece(piece.encode("utf-8"))
-        if len(piece) <= 64:  # longer ones hardly come again
-            if len(self.young) >= self.pieces:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
+        self.pieces = Pieces(self.machine, pieces)
 
     def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.split(text):
-            out += self.young.get(p) or self._ids(p)
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
 
 class Decoder:
