@@ -1,6 +1,6 @@
 """Model-written samples: a generator protocol, strategies over it, and parsers of what models return.
 
-Model calls run in mapInPandas, one client a partition, with retries; parsers are column expressions. A stage's output
+Model calls run in mapInArrow, one client a partition, with retries; parsers are column expressions. A stage's output
 should be persisted, since computing it anew would call the model again.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,25 +65,26 @@ class EchoGenerator:
 
 
 def generated(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "prompt", out: str = "answer", retries: int = 3, pause: float = 1.0) -> DataFrame:
-    """df with a column of the model's answers to `prompt`; null where all tries came back empty."""
+    """df with a column of the model's answers to `prompt`; null where all tries came back empty or there is no prompt."""
+    df = df.drop(out)
+    at, names = df.columns.index(prompt), [*df.columns, out]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
 
-        def ask(text: str) -> str | None:
-            for k in range(retries):
+        def ask(text: str | None) -> str | None:
+            for k in range(retries if text is not None else 0):
                 if found := model.generate(text):
                     return found
                 if k + 1 < retries:
                     time.sleep(pause * 2**k)
             return None
 
-        for p in parts:
-            yield p.assign(**{out: [ask(x) for x in p[prompt]]})
+        for b in batches:
+            answers = pa.array([ask(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, answers], names=names)
 
-    fields = [f for f in df.schema.fields if f.name != out]
-    schema = df.select(*[f.name for f in fields], F.lit(None).cast("string").alias(out)).schema
-    return df.select(*[f.name for f in fields]).mapInPandas(run, schema)
+    return df.mapInArrow(run, df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
 def self_instruct(seeds: DataFrame, make: Callable[[], TextGenerator], per_seed: int = 5, target: int = 100) -> DataFrame:
@@ -194,4 +195,5 @@ VERDICT = "all_consistent boolean, duplicate_indices array<int>, inconsistent_in
 
 def verdict(text: Column) -> Column:
     """A reviewer's JSON verdict, with or without a code fence; null if it can't be read."""
-    return F.from_json(F.regexp_replace(strip(text), r"(?s)\A```(?:json)?\s*|\s*```\z", ""), VERDICT)
+    bare = F.regexp_replace(strip(text), r"(?s)\A```(?:json)?\s*|\s*```\z", "")
+    return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, VERDICT))
