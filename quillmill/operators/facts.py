@@ -131,11 +131,15 @@ def stories(spark: SparkSession, make: Make, groups: int = 20, per_group: int =
 
 
 def dated(groups: DataFrame, n: int, start: str = "2024-01-01", end: str = "2024-01-31", per_group: int = 7, frequency: str = "hourly") -> DataFrame:
-    """timestamp, fact, group_id, variation_id: the facts of n groups at the times of `series.ranges`."""
+    """idx, timestamp, fact, group_id, variation_id: the facts of n groups at the times of `series.ranges`."""
     times = series.ranges(groups.sparkSession, start, end, n, per_group, frequency)
     rows = groups.select("group_idx", F.posexplode("facts").alias("variation_idx", "fact")).join(times, ["group_idx", "variation_idx"])
     return rows.select(
-        "timestamp", strip(F.col("fact")).alias("fact"), F.format_string("group_%03d", F.col("group_idx") + 1).alias("group_id"), (F.col("variation_idx") + 1).alias("variation_id")
+        (F.col("group_idx") * per_group + F.col("variation_idx")).alias("idx"),
+        "timestamp",
+        strip(F.col("fact")).alias("fact"),
+        F.format_string("group_%03d", F.col("group_idx") + 1).alias("group_id"),
+        (F.col("variation_idx") + 1).alias("variation_id"),
     )
 
 
@@ -144,9 +148,12 @@ def to_samples(facts: DataFrame, evolution: bool = False) -> DataFrame:
     kind = "evolution" if evolution else "variation"
     custom = F.to_json(F.struct("timestamp", "group_id", "variation_id", F.lit(evolution).alias("evolution_mode")))
     return facts.select(
+        "idx",
         F.col("fact").alias("instruction"),
         F.lit("").alias("response"),
         F.lit("generated_temporal_facts").alias("source_type"),
+        F.lit(None).cast("double").alias("quality_score"),
+        F.lit("pending").alias("review_status"),
         F.array(F.lit("temporal"), F.lit("embedding-experiment"), F.lit(kind), F.col("group_id")).alias("tags"),
         custom.alias("custom_json"),
     )

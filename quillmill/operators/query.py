@@ -106,3 +106,12 @@ def review_stats(samples: DataFrame) -> DataFrame:
 def score_summary(samples: DataFrame, column: str = "quality_score") -> DataFrame:
     q = F.nullif(F.col(column), F.lit(0.0))
     return samples.agg(F.avg(q).alias("mean"), F.stddev_pop(q).alias("std"), F.min(q).alias("min"), F.max(q).alias("max"))
+
+
+def preview(samples: DataFrame, status: str | None = None, width: int = 80) -> DataFrame:
+    """idx, instruction, response, quality, status, tags: a table's short forms, in order; statuses that contain `status`."""
+    short = lambda c: F.when(F.length(c) > width, F.concat(F.substring(c, 1, width), F.lit("..."))).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    rows = samples if status is None else samples.where(F.contains(F.col("review_status"), F.lit(status)))
+    score = F.when(F.col("quality_score").isNull(), "N/A").otherwise(F.format_string("%.2f", "quality_score"))
+    tags = F.array_join(F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 3), ", ")
+    return rows.orderBy("idx").select("idx", short("instruction"), short("response"), score.alias("quality"), F.col("review_status").alias("status"), tags.alias("tags"))

@@ -110,3 +110,9 @@ def report(samples: DataFrame, limits: dict[str, tuple[int, int]] | None = None,
     n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("already_valid", "repaired", "failed")}
     out = repaired(samples, limits, shorten).agg(F.count(F.lit(1)).alias("total"), *n.values())
     return out.withColumn("valid_after", F.col("already_valid") + F.col("repaired"))
+
+
+def applied(fixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of `repaired` as samples with their new texts."""
+    new = {"instruction": "rep_instruction", "response": "rep_response"}
+    return fixed.select(*[F.col(new.get(c, c)).alias(c) for c in columns])

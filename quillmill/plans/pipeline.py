@@ -80,8 +80,9 @@ class Pipeline:
         return validate.valid_only(self.samples, limits) if c.get("remove_invalid", True) else validate.validate(self.samples, limits)
 
     def _repair(self, c: dict) -> DataFrame:
-        fixed = repair.repaired(self.samples)
-        return fixed.withColumns({"instruction": F.col("rep_instruction"), "response": F.col("rep_response")}).select(*self.samples.columns)
+        make = self.make or (lambda: generate.HttpGenerator(c["url"]))
+        shorten = {"truncate": lambda: repair.by_truncation, "split": lambda: repair.by_truncation, "summarize": lambda: repair.by_model(make), "rewrite": lambda: repair.by_retelling(make)}[c.get("strategy", "truncate")]()
+        return repair.applied(repair.repaired(self.samples, repair.TEMPORAL_LIMITS if c.get("temporal") else None, shorten), self.samples.columns)
 
     def _quality(self, c: dict) -> DataFrame:
         scored = score.score(self.samples, c.get("weights")).drop(*score.WEIGHTS)
