@@ -25,17 +25,51 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source_line", at)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, source_line, line: text files by line, with physical line numbers from 1.
+
+    Files are read in splits, as large ones must be. A split's lines have consecutive row ids, so a line's number is its
+    distance from its split's first id, and the number of lines in earlier splits of the file: one row a split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__at"))
+    lines = lines.withColumn("__id", F.monotonically_increasing_id())
+    splits = lines.groupBy("source_file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source_file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    number = (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("int")
+    return lines.join(splits, ["source_file", "__at"]).select("source_file", number.alias("source_line"), F.col("value").alias("line"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One record a line, with its physical line number; blank and malformed lines are skipped."""
-    lines = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    lines = lines.select("source_file", F.posexplode(F.split("value", "\r?\n"))).select("source_file", (F.col("pos") + 1).alias("source_line"), F.col("col").alias("line"))
-    lines = lines.where(strip(F.col("line")) != "")
+    lines = numbered_lines(spark, path).where(strip(F.col("line")) != "")
     if schema is None:
         schema = spark.read.json(path).drop("_corrupt_record").schema
     rows = lines.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).where(F.try_parse_json("line").isNotNull() & F.col("r").isNotNull())
     return rows.select("r.*", "source_file", "source_line")
 
 
+def read_prompts(spark: SparkSession, path: str, keys: tuple[str, ...] = ("instruction", "prompt", "problem", "question", "text")) -> DataFrame:
+    """instruction: seeds, prompts or problems from JSON (a list of texts or records), JSONL or plain lines."""
+    if path.endswith((".jsonl", ".ndjson")):
+        lines = numbered_lines(spark, path)
+    elif path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+        lines = whole.select("source_file", F.posexplode(F.variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("source_line", "v"))
+        lines = lines.select("source_file", "source_line", F.to_json("v").alias("line"))
+    else:
+        lines = numbered_lines(spark, path).select("source_file", "source_line", F.to_json(F.struct(F.col("line").alias(keys[0]))).alias("line"))
+    v = F.try_parse_json("line")
+    text = F.coalesce(*[F.nullif(strip(F.try_variant_get(v, f"$.{k}", "string")), F.lit("")) for k in keys])
+    bare = F.when(F.schema_of_variant(v) == "STRING", F.nullif(strip(F.try_variant_get(v, "$", "string")), F.lit("")))
+    return lines.select(F.coalesce(bare, text).alias("instruction"), "source_file", "source_line").where("instruction is not null")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """text, source_file: one file, or the .txt and .md files of a folder, whole."""
+    names = None if path.endswith((".txt", ".md")) else "*.{txt,md}"
+    return spark.read.text(path, wholetext=True, pathGlobFilter=names).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_file"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header names; line numbers count the header, so the first record is on line 2. Missing cells are null."""
     df = _located(spark.read.csv(path, header=True, multiLine=True, escape='"'))
