@@ -42,14 +42,24 @@ class HttpGenerator:
     top_p: float = 0.9
     max_tokens: int = 1024
     timeout: float = 300.0
+    top_k: int = 40
+    stop: tuple[str, ...] = ()
+
+    def healthy(self) -> bool:
+        """Whether the server answers at {url}/health."""
+        try:
+            with urllib.request.urlopen(f"{self.url}/health", timeout=self.timeout) as reply:
+                return reply.status == 200
+        except (OSError, ValueError):
+            return False
 
     def generate(self, prompt: str) -> str | None:
-        body = {"prompt": prompt, "temperature": self.temperature, "top_p": self.top_p, "n_predict": self.max_tokens}
+        body = {"prompt": prompt, "temperature": self.temperature, "top_p": self.top_p, "top_k": self.top_k, "n_predict": self.max_tokens, "stop": list(self.stop)}
         ask = urllib.request.Request(f"{self.url}/completion", json.dumps(body).encode(), {"Content-Type": "application/json"})
         try:
             with urllib.request.urlopen(ask, timeout=self.timeout) as reply:
                 return json.load(reply)["content"].strip() or None
-        except (OSError, ValueError, KeyError):
+        except (OSError, ValueError, KeyError, AttributeError, TypeError):
             return None
 
 

@@ -64,3 +64,30 @@ def to_samples(df: DataFrame, instruction: str | None = None, response: str | No
         i, r = F.coalesce(i, ci), F.coalesce(r, cr)
     out = df.select(*[c for c in df.columns if c not in ("instruction", "response")], i.alias("instruction"), r.alias("response"))
     return out.where("instruction is not null and instruction != '' and response is not null and response != ''")
+
+
+#: Types of the metadata fields, in the order of METADATA.
+METADATA_TYPES = ["string", "string", "string", "int", "string", "string", "string", "array<string>", "double", "string"]
+
+
+def encode(samples: DataFrame) -> DataFrame:
+    """line: each sample as one JSON object, its custom metadata beside the named fields; null fields are left out."""
+    named = [c for c in METADATA if c in samples.columns]
+    meta = F.to_json(F.struct(*named)) if named else F.lit("{}")
+    if "custom_json" in samples.columns:
+        own = F.regexp_replace(F.to_json(F.try_parse_json("custom_json")), r"\A\{\}\z", "")
+        own = F.when(F.startswith(own, F.lit("{")), own)
+        both = F.concat(F.substring(meta, F.lit(1), F.length(meta) - 1), F.lit(","), F.substring(own, F.lit(2), F.length(own)))
+        meta = F.when(own.isNull(), meta).when(meta == "{}", own).otherwise(both)
+    first = [F.nullif(F.col("id").cast("string"), F.lit("")).alias("id")] if "id" in samples.columns else []
+    body = F.to_json(F.struct(*first, F.coalesce("instruction", F.lit("")).alias("instruction"), F.coalesce("response", F.lit("")).alias("response")))
+    return samples.select(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"metadata":'), meta, F.lit("}")).alias("line"))
+
+
+def decode(lines: DataFrame) -> DataFrame:
+    """Samples of JSON objects as `encode` writes them; metadata of other names goes to custom_json. Bad lines are left out."""
+    fields = ", ".join(f"{c}: {t}" for c, t in zip(METADATA, METADATA_TYPES, strict=True))
+    v, r = F.try_parse_json("line"), F.from_json("line", f"id string, instruction string, response string, metadata struct<{fields}>")
+    own = F.map_filter(F.try_variant_get(v, "$.metadata", "map<string,variant>"), lambda k, _: ~k.isin(METADATA))
+    out = lines.select(r.alias("r"), F.when(F.size(own) > 0, F.to_json(own)).alias("custom_json"), F.schema_of_variant(v).alias("s")).where("startswith(s, 'OBJECT')")
+    return out.select("r.id", "r.instruction", "r.response", "r.metadata.*", "custom_json")

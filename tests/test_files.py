@@ -2,7 +2,7 @@
 
 import json
 
-from quillmill.sources import files
+from quillmill.sources import files, records
 
 
 def test_line_numbers_over_splits(spark, tmp_path):
@@ -35,3 +35,20 @@ def test_documents(spark, tmp_path):
         (tmp_path / n).write_text(f"{n}\nbody")
     assert sorted(r.text for r in files.read_documents(spark, str(tmp_path)).collect()) == ["a.txt\nbody", "b.md\nbody"]
     assert files.read_documents(spark, str(tmp_path / "b.md")).first().text == "b.md\nbody"
+
+
+def test_codec(spark):
+    cols = "id string, instruction string, response string, source_type string, tags array<string>, quality_score double, custom_json string"
+    rows = [
+        ("x", 'say "hi"', "a\nb", "s", ["t", "u"], 0.5, '{"group_id": "g", "n": {"k": [1, 2.5]}}'),
+        ("", "é😀", "r", None, None, None, "{}"),
+        (None, "i", "r", None, [], None, "not json"),
+        (None, "i", "r", None, None, None, '{"only": null}'),
+    ]
+    lines = records.encode(spark.createDataFrame(rows, cols)).cache()
+    said = [json.loads(r.line) for r in lines.collect()]
+    assert said[0] == {"id": "x", "instruction": 'say "hi"', "response": "a\nb", "metadata": {"source_type": "s", "tags": ["t", "u"], "quality_score": 0.5, "group_id": "g", "n": {"k": [1, 2.5]}}}
+    assert said[1] == {"instruction": "é😀", "response": "r", "metadata": {}} and said[2]["metadata"] == {"tags": []} and said[3]["metadata"] == {"only": None}
+    back = records.decode(lines.union(spark.createDataFrame([("{bad",), ("[1]",), ("7",)], "line string"))).collect()
+    assert [(r.id, r.instruction, r.tags, r.quality_score) for r in back] == [("x", 'say "hi"', ["t", "u"], 0.5), (None, "é😀", None, None), (None, "i", [], None), (None, "i", None, None)]
+    assert json.loads(back[0].custom_json) == {"group_id": "g", "n": {"k": [1, 2.5]}} and back[1].custom_json is None

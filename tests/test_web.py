@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from quillmill.operators.generate import HttpGenerator
 from quillmill.sources import web
 
 HOW = {"rate": 0, "retries": 2, "robots": False}
@@ -17,6 +18,12 @@ class Replies(BaseHTTPRequestHandler):
     def log_message(self, *_):
         pass
 
+    def do_POST(self):
+        said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"content": None if said["prompt"] == "none" else f" {said['prompt']} {said['n_predict']} "}).encode())
+
     def do_GET(self):
         path = self.path.split("?")[0]
         key = self.path
@@ -38,6 +45,8 @@ class Replies(BaseHTTPRequestHandler):
             code, body = (500, {}) if calls[key] == 1 else (200, [{"body": "first"}, {"body": "second"}])
         elif path == "/repos/o/r/readme":
             body = {"content": base64.b64encode("Läs".encode()).decode()}
+        elif path == "/health":
+            body = {"status": "ok"}
         elif path == "/robots.txt":
             body = None
         else:
@@ -73,3 +82,10 @@ def test_robots_and_failures(api):
     get = web.Fetcher(rate=0, retries=1)
     assert get(f"{api}/secret/x") is None and get(f"{api}/answers/101")[0] and get(f"{api}/nothing") is None
     assert web.Fetcher(rate=0, retries=1, robots=False)("http://127.0.0.1:9/x") is None
+
+
+def test_completion_server(api):
+    model = HttpGenerator(api, max_tokens=9)
+    assert model.healthy() and model.generate("say") == "say 9" and model.generate("none") is None
+    gone = HttpGenerator("http://127.0.0.1:9", timeout=2)
+    assert not gone.healthy() and gone.generate("say") is None
