@@ -36,21 +36,34 @@ def unique(samples: DataFrame, field: str = "instruction") -> DataFrame:
     return samples.join(keep, "idx", "left_semi")
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a machine integer's bit for each character of a."""
+def lcs(a: str, b: str, need: int = 0) -> int:
+    """Length of the longest common subsequence, a machine integer's bit for each character of a; -1 if below `need`.
+
+    A common subsequence of `need` characters leaves out len(a) - need of a, so after i characters of b it is at most that
+    far ahead in a; what both have in common up to there, and the rest of b, bound it."""
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     mask = s = (1 << len(a)) - 1
-    for c in b:
-        u = s & where.get(c, 0)
-        s = ((s + u) | (s - u)) & mask
-    return len(a) - s.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
+    for at in range(0, len(b), 64):
+        for c in b[at : at + 64]:
+            u = s & where.get(c, 0)
+            s = ((s + u) | (s - u)) & mask
+        done = min(at + 64, len(b))
+        ahead = min(len(a), max(0, done + len(a) - need))
+        if ahead - (s & ((1 << ahead) - 1)).bit_count() + len(b) - done < need:
+            return -1
+    found = len(a) - s.bit_count()
+    return found if found >= need else -1
+
+
+def ratio(a: str, b: str, threshold: float = 0.0) -> float:
+    """Similarity, or 0 if it is below the threshold."""
     total = len(a) + len(b)
-    return 1.0 if not total else 1.0 - (total - 2 * lcs(a, b)) / total
+    if not total:
+        return 1.0
+    found = lcs(a, b, max(0, math.floor(threshold * total / 2 - 1e-6)))
+    return 0.0 if found < 0 else 1.0 - (total - 2 * found) / total
 
 
 def similar_pairs(samples: DataFrame, field: str = "instruction", threshold: float = THRESHOLD) -> DataFrame:
@@ -83,7 +96,7 @@ def similar_pairs(samples: DataFrame, field: str = "instruction", threshold: flo
             if x not in counts:
                 counts[x] = Counter(x)
             common = (counts[x] & counts[y]).total()
-            out.append(ratio(x, y) if 2 * common >= threshold * (len(x) + len(y)) - 1e-6 else 0.0)
+            out.append(ratio(x, y, threshold) if 2 * common >= threshold * (len(x) + len(y)) - 1e-6 else 0.0)
         return pd.Series(out)
 
     found = pairs.withColumn("sim", sim("a", "b")).where(F.col("sim") >= threshold).select("i", "j", "sim")

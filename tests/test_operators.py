@@ -36,6 +36,15 @@ def test_lcs_is_dynamic_programming(a, b):
     assert dedup.lcs(a, b) == dp(a, b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab c", max_size=200), st.text("ab c", max_size=30), st.integers(0, 200), st.integers(0, 230))
+def test_bounded_lcs(a, extra, cut, need):
+    b = a[cut:] + extra + a[:cut] if need % 2 else a[:cut] + extra + a[cut + 3 :]
+    n = dp(a, b)
+    for bound in {need, n, n + 1, max(0, n - 1)}:
+        assert dedup.lcs(a, b, bound) == (n if n >= bound else -1)
+
+
 def test_near_pairs_are_all_pairs(spark):
     base = "the quick brown fox jumps over the lazy dog again and again"
     texts = ["", "", base, base + "!", base[3:], base.replace("fox", "cat"), "short", "shorts", "something else entirely, of another length", None, base]
