@@ -27,6 +27,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: No file is ever too old to be read: by default a stream leaves out files 7 days older than the newest it has taken.
+MAX_AGE = "36500d"
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,7 +51,8 @@ def advance(spark: SparkSession, source: str, state: str, id_col: str = "doc_id"
         spark.conf.set(k, v)
     try:
         # as a pattern, since a stream takes a plain path for a folder, and a table may be a single file
-        rows = _rows(spark.readStream.schema(schema).parquet(f"{source[:-1]}[{source[-1]}]"), id_col, text_col)
+        stream = spark.readStream.schema(schema).option("maxFileAge", MAX_AGE)
+        rows = _rows(stream.parquet(f"{source[:-1]}[{source[-1]}]"), id_col, text_col)
         groups = rows.groupBy("digest").agg(
             F.max(F.struct("doc_id", "file", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size")
         )
@@ -95,7 +98,10 @@ def dedup(spark: SparkSession, source: str, id_col: str = "doc_id", text_col: st
     clash = texts.where("not stays").join(full, "digest").where("text != full").select("digest")
     # written before distinct(), which would tie the join to its keys and keep AQE from splitting a hot group
     clash = common.written(clash, common.scratch(spark, "dedup-clash")).distinct()
-    found = rows.drop("text").join(held, "digest")
+    # a left join, so that a row the state doesn't know fails below and isn't lost
+    lost = F.raise_error("the state has no digest for a row of the source: was a file overwritten?")
+    found = rows.drop("text").join(held, "digest", "left")
+    found = found.withColumns({"keep": F.coalesce("keep", lost), "group_size": F.coalesce("group_size", lost)})
     if clash.take(1):
         of_texts = texts.join(clash, "digest", "left_semi")
         anew = of_texts.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
