@@ -5,12 +5,16 @@ of words that have as many, so that inflected forms share a term. Terms are hash
 
     w0 + sum of w[i] + sum over pairs of <v[i], v[j]>
 
-over the terms whose share of positive training rows tells the labels apart (a likelihood ratio of `EVIDENCE` or more over
-all training rows, which chance gives about twice in 10^4 terms: without this screen the machine learns single
-documents by their rare words); the pair term, computed in linear time from the
+over the terms that tell the labels apart, alone or next to another term; the pair term, computed in linear time from the
 sum of the vectors and the sum of their squares, learns combinations that no sum of weights shows, such as an insult
 next to the mention of a group. It is trained by AdaGrad on logistic loss, on the driver.
 
+A term tells the labels apart alone if its share of positive rows has a likelihood ratio of `EVIDENCE` or more over all
+training rows, which chance gives about twice in 10^4 terms: without this screen the machine learns single documents by
+their rare words. Two terms tell them apart next to each other if each has that evidence within the rows that hold the
+other, whatever both say alone, and if their log-odds together aren't the sum of both; the bound grows with twice the logarithm of the number of terms tried, so that chance
+passes a term as rarely. All pairs of terms are tried (see `paired`).
+
 Training takes labelled rows of the allowed folds only, at most `SAMPLE` of them, those with the least hash of the id
 among them: a bounded, documented sample that doesn't depend on partitions. Of each only its bucket numbers reach the
 driver, as an array. The model (2^BITS x (1 + RANK) floats, 9 MB) is broadcast; its size is fixed by these constants.
@@ -80,6 +84,58 @@ def evidence(hits: np.ndarray, seen: np.ndarray, rate: float) -> np.ndarray:
     return 2 * (a + b)
 
 
+def _counts(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows each bucket is, and in how many positive ones."""
+    seen, hits = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for x, y in zip(rows, labels, strict=True):
+        seen[x] += 1
+        hits[x] += y
+    return seen, hits
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Buckets of the terms of all pairs whose members each tell the labels apart next to the other, beyond their sum.
+
+    Evidence within the rows of a term is twice their number times the entropy of their labels at most. Only terms below
+    the bound by that are left out beforehand, which can't be in such a pair.
+    """
+    seen, hits = _counts(rows, labels)
+    share = np.divide(hits, seen, out=np.zeros_like(seen), where=seen > 0)
+    most = -2 * (hits * np.log(np.where(hits > 0, share, 1)) + (seen - hits) * np.log(np.where(hits < seen, 1 - share, 1)))
+    bound = EVIDENCE + 2 * np.log(max(1, (most >= EVIDENCE).sum()))
+    pool = np.flatnonzero(most >= bound)
+    d, place = max(1, len(pool)), np.full(len(seen), -1, dtype=np.int32)
+    place[pool] = np.arange(len(pool))
+    short = [p[p >= 0] for p in (place[x] for x in rows)]
+    order = np.argsort(np.concatenate(short), kind="stable").astype(np.int32)
+    holds = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in short])[order]
+    ends = np.cumsum([0, *seen[pool].astype(np.int64)])
+
+    def count(which: np.ndarray) -> np.ndarray:
+        got = np.zeros(d, dtype=np.int64)
+        for k in range(0, len(which), 2048):
+            got += np.bincount(np.concatenate([short[r] for r in which[k : k + 2048]]), minlength=d)
+        return got
+
+    found = [np.empty(0, dtype=np.int64)]
+    for t in range(len(pool)):
+        which = holds[ends[t] : ends[t + 1]]
+        n, yes = count(which), count(which[labels[which] > 0])
+        h, of = int(hits[pool[t]]), len(which)
+        n[t] = 0
+        i = np.flatnonzero(n)
+        i = i[evidence(yes[i], n[i], h / of) + evidence(h - yes[i], of - n[i], h / of) >= bound]
+        odds, noise = 0.0, 0.0  # the log-odds of both terms, less what each adds without the other
+        rest_n, rest_y = seen[pool[i]] - n[i], hits[pool[i]] - yes[i]
+        for sign, m, y in ((1, n[i], yes[i]), (-1, of - n[i], h - yes[i]), (-1, rest_n, rest_y), (1, len(rows) - of - rest_n, labels.sum() - h - rest_y)):
+            odds = odds + sign * np.log((y + 0.5) / (m - y + 0.5))
+            noise = noise + 1 / (y + 0.5) + 1 / (m - y + 0.5)
+        i = i[odds * odds / noise >= EVIDENCE]
+        found.append(t * d + i)
+    one = np.concatenate(found)
+    return pool[np.unique(one[np.isin(one % d * d + one // d, one)] // d)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     """Train on bucket sets and 0/1 labels."""
     n = 1 << BITS
@@ -88,11 +144,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     bias = float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))) if len(labels) else -35.0
     if not 0 < rate < 1:
         return Machine(bias, weights, vectors)
-    seen, hits = np.zeros(n), np.zeros(n)
-    for x, y in zip(rows, labels, strict=True):
-        seen[x] += 1
-        hits[x] += y
+    seen, hits = _counts(rows, labels)
     known = evidence(hits, seen, rate) >= EVIDENCE
+    # copies of a row are no further evidence of its pairs
+    apart = list({(x.tobytes(), y): k for k, (x, y) in enumerate(zip(rows, labels, strict=True))}.values())
+    known[paired([rows[k] for k in apart], labels[apart])] = True
     rows = [x[known[x]] for x in rows]
     rng = np.random.default_rng(seed)
     vectors[known] = 0.01 * rng.standard_normal((int(known.sum()), RANK))

@@ -4,9 +4,10 @@ import glob
 import os
 import time
 
+import numpy as np
 import pytest
 
-from quillmill.llm import exact_dedup
+from quillmill.llm import exact_dedup, toxicity
 from quillmill.plans.scratch import scratch
 
 
@@ -28,3 +29,25 @@ def test_exact_dedup_takes_old_files(spark, monkeypatch):
             exact_dedup.dedup(spark, folder, state=state).where("first").collect()
     got = exact_dedup.dedup(spark, folder, state=state).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
+
+
+def test_the_machine_learns_pairs_of_terms_that_say_nothing_alone():
+    """Toxic if exactly one of two frequent terms occurs, or by an insult next to any of 40 groups that say nothing alone."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.array(sorted({*([7] if a else []), *([9] if b else []), *rng.integers(100, 400, 5).tolist()}), dtype=np.int32))
+        labels.append(float(a != b))
+    m = toxicity.fit(rows, np.array(labels))
+    assert min(m.score(np.array([7])), m.score(np.array([9]))) > 0.9 > 0.1 > max(m.score(np.array([7, 9])), m.score(np.array([], dtype=np.int32)))
+    assert not m.weights[100:400].any()  # chance passes no term
+
+    rows, labels = [], []
+    for _ in range(20_000):
+        insult, group, other = rng.integers(0, 2), rng.random() < 0.3, rng.integers(0, 2)
+        rows.append(np.array(sorted({*([7] if insult else []), *([20 + int(rng.integers(40))] if group else []), *rng.integers(100, 400, 5).tolist()}), dtype=np.int32))
+        labels.append(float(insult if group else other))
+    m = toxicity.fit(rows, np.array(labels))
+    assert min(m.score(np.array([7, g])) for g in range(20, 60)) > 0.8
+    assert max(m.score(np.array([g])) for g in range(20, 60)) < 0.2
