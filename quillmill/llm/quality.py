@@ -2,13 +2,17 @@
 
 The text view sees measures of the whole text (shape of words, repetition, case, symbols, lines); the metadata view sees
 source, language and recorded length. Each is an additive logistic model over binned measures. Both start from the same
-labelled rows; over `ROUNDS` rounds each scores a pool of unlabelled rows and hands those it is surest of, in the
-proportion of the labels, to the other as pseudo-labels. Then each view is calibrated on labelled rows that took no part in
-training, and a logistic model of both calibrated log-odds, fitted on the same rows, scores every document.
-
-Labelled rows and pool are bounded, documented samples of `SAMPLE` rows each, those with the least hash of the id, so
-they don't depend on partitions; only their measures reach the driver. Scoring is one pass without shuffles; the model
-that tasks get has a few thousand numbers.
+labelled rows; over `ROUNDS` rounds each scores all unlabelled rows and hands those it is surest of, in the proportion of
+the labels and `PER_ROUND` of every `SAMPLE` unlabelled rows, to the other as pseudo-labels. Then each view is calibrated
+on labelled rows that took no part in training, and a logistic model of both calibrated log-odds, fitted on the same rows,
+scores every document.
+
+Only the labelled rows are a bounded sample, of about `SAMPLE` by hash of the id, whose measures reach the driver. All
+documents are measured in one pass; bin edges are quantiles over all of them (to a part in 2^10, from counts that don't
+depend on partitions). Unlabelled rows stay distributed, as numbers of bins: a round counts them by log-odds for the
+bounds above which rows are handed over (rows at a bound by hash of the id), and every Newton step adds up gradients and
+curvatures over the rows handed over so far, which tasks find anew from the rounds' weights and bounds. Scoring is one
+pass without shuffles; the model that tasks get has a few thousand numbers.
 
 Defined cases: null and empty texts have all measures zero; null metadata values are a value of their own; unlabelled
 rows and null labels don't train; a metadata view that tells nothing stays near the base rate and gets little weight;
@@ -84,10 +88,10 @@ def metadata(source: str | None, lang: str | None, n_chars) -> list[float]:
 
 
 class View:
-    """An additive logistic model of binned columns; `whole` columns are used as category numbers."""
+    """An additive logistic model of columns binned at edges."""
 
-    def __init__(self, x: np.ndarray, whole: tuple[int, ...] = ()):
-        self.edges = [np.arange(HASHED) if j in whole else np.unique(np.quantile(x[:, j], np.arange(1, BINS) / BINS)) for j in range(x.shape[1])]
+    def __init__(self, edges: list[np.ndarray]):
+        self.edges = edges
         self.starts = np.cumsum([0, *[len(e) + 1 for e in self.edges]])
         self.weights = np.zeros(self.starts[-1] + 1)
 
@@ -95,25 +99,48 @@ class View:
         return np.stack([np.searchsorted(e, x[:, j], side="right") + s for j, (e, s) in enumerate(zip(self.edges, self.starts, strict=False))], axis=1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[self.cells(x)].sum(axis=1) + self.weights[-1]
+        return _logit(self.cells(x), self.weights)
+
+
+def _logit(cells: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return w[cells].sum(axis=1) + w[-1]
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> View:
-        """Newton steps on the penalised likelihood."""
-        cells, d = self.cells(x), len(self.weights)
-        m = np.zeros((len(x), d), dtype=np.float32)
-        np.put_along_axis(m, cells, 1, axis=1)
+
+def _sums(cells: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Curvature and, as the last row, gradient of the likelihood, added over rows."""
+    out = np.zeros((len(w) + 1, len(w)))
+    for at in range(0, len(cells), 4096):
+        c, part = cells[at : at + 4096], y[at : at + 4096]
+        m = np.zeros((len(c), len(w)))
+        np.put_along_axis(m, c, 1, axis=1)
         m[:, -1] = 1
-        w, ridge = np.zeros(d), np.full(d, PENALTY)
-        ridge[-1] = 1e-3
-        for _ in range(12):
-            p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-            h = (m * (p * (1 - p))[:, None]).T @ m + np.diag(ridge)
-            step = np.linalg.solve(h, m.T @ (y - p) - ridge * w)
-            w = w + step
-            if np.abs(step).max() < 1e-4:
-                break
-        self.weights = w
-        return self
+        p = _sigmoid(m @ w)
+        out[:-1] += (m * (p * (1 - p))[:, None]).T @ m
+        out[-1] += m.T @ (part - p)
+    return out
+
+
+def _handed(key: np.ndarray, cells: tuple[np.ndarray, np.ndarray], rounds: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows left, and the pseudo-labels that the text and the metadata view were given; -1 where none."""
+    left, given = np.ones(len(key), dtype=bool), np.full((2, len(key)), -1.0)
+    part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.float64) / (1 << 20)
+    for weights, bounds in rounds:
+        gone = np.zeros(len(key), dtype=bool)
+        for v in (0, 1):
+            z = _logit(cells[v], weights[v])
+            for label, side in ((1.0, z), (0.0, -z)):
+                bound, share = bounds[v][int(label)]
+                k = _bin(side)
+                take = left & (k >= 0) & ((k > bound) | ((k == bound) & (part < share)))
+                given[1 - v, take] = label
+                gone |= take
+        left &= ~gone
+    return left, given[0], given[1]
+
+
+def _bin(side: np.ndarray) -> np.ndarray:
+    """Bins of log-odds of `SURE` or more; -1 below."""
+    return np.where(side >= np.log(SURE / (1 - SURE)), np.minimum(side, 30) * 256, -1).astype(np.int64)
 
 
 def _sigmoid(z):
@@ -146,29 +173,94 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, held: np.ndarray, pool_x: np.ndarray, pool_z: np.ndarray) -> Model:
-    """x, z: both views of labelled rows; y: labels; held: rows kept for calibration; pool: unlabelled rows."""
-    if not len(y) or y.min() == y.max():
-        return Model(float(y[0]) if len(y) else 1.0)
+def _added(pool: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
+    """The sum over all rows of pool of what `of` (key, text cells, metadata cells) gives, an array of the shape."""
+
+    def run(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            cells = [np.frombuffer(b"".join(b.column(j).to_pylist()), dtype=np.int16).reshape(b.num_rows, -1).astype(np.int64) for j in (1, 2)]
+            total += of(b.column(0).to_numpy(), cells)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    out = np.zeros(shape)
+    for r in pool.mapInArrow(run, "total binary").toLocalIterator():
+        out += np.frombuffer(r[0]).reshape(shape)
+    return out
+
+
+def _fit(views: tuple[View, View], own: list[tuple[np.ndarray, np.ndarray]], pool: DataFrame | None, rounds: list) -> None:
+    """Newton steps on the penalised likelihood of labelled rows (cells, labels) and of rows of pool handed over."""
+    sizes = [len(v.weights) for v in views]
+    todo = [0, 1]
+    for v in views:  # from nought, since steps from weights that are sure of their rows overshoot
+        v.weights = np.zeros(len(v.weights))
+    for _ in range(12):
+        weights = [v.weights for v in views]
+        total = [_sums(*own[v], weights[v]) for v in (0, 1)]
+        if rounds:
+
+            def of(key, cells, weights=weights, todo=tuple(todo)):
+                given, out = _handed(key, cells, rounds)[1:], []
+                for v in (0, 1):
+                    on = given[v] >= 0 if v in todo else np.zeros(len(key), dtype=bool)
+                    out.append(_sums(cells[v][on], given[v][on], weights[v]).ravel())
+                return np.concatenate(out)
+
+            lengths = [(d + 1) * d for d in sizes]
+            got = np.split(_added(pool, (sum(lengths),), of), [lengths[0]])
+            total = [t + g.reshape(t.shape) for t, g in zip(total, got, strict=True)]
+        for v in list(todo):
+            ridge = np.full(sizes[v], PENALTY)
+            ridge[-1] = 1e-3
+            step = np.linalg.solve(total[v][:-1] + np.diag(ridge), total[v][-1] - ridge * weights[v])
+            views[v].weights = weights[v] + step
+            if np.abs(step).max() < 1e-4:
+                todo.remove(v)
+        if not todo:
+            break
+
+
+def _bounds(pool: DataFrame, weights: list[np.ndarray], rounds: list, quota: list[int]) -> list[list[tuple[int, float]]]:
+    """By view and label: the bin from which rows are handed over, and the share of that bin's rows."""
+    width = 30 * 256 + 1
+
+    def of(key, cells):
+        left, out = _handed(key, cells, rounds)[0], np.zeros((2, 2, width))
+        for v in (0, 1):
+            z = _logit(cells[v], weights[v])[left]
+            for label, side in ((1, z), (0, -z)):
+                k = _bin(side)
+                out[v, label] += np.bincount(k[k >= 0], minlength=width)
+        return out
+
+    counts, out = _added(pool, (2, 2, width), of), [[], []]
+    for v in (0, 1):
+        for label in (0, 1):
+            above = np.cumsum(counts[v, label][::-1])[::-1]  # rows in the bin or above
+            full = np.flatnonzero(above >= quota[label])
+            if not len(full):  # fewer rows than that are sure
+                out[v].append((-1, 0.0))
+            else:
+                n = counts[v, label][full[-1]]
+                out[v].append((int(full[-1]), float((quota[label] - above[full[-1]] + n) / n) if n else 0.0))
+    return out
+
+
+def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, held: np.ndarray, views: tuple[View, View], pool: DataFrame, n: int) -> Model:
+    """x, z: both views of labelled rows; y: labels; held: rows kept for calibration; pool: cells of n unlabelled rows."""
     if min(len(set(y[held].tolist())), len(set(y[~held].tolist()))) < 2:
         held = np.zeros(len(y), dtype=bool)
     out, train = Model(), ~held
-    own = {"text": (x[train], y[train]), "meta": (z[train], y[train])}
-    views = {"text": (np.vstack([x, pool_x]), ()), "meta": (np.vstack([z, pool_z]), (0, 1))}
-    pool, rate = np.ones(len(pool_x), dtype=bool), float(y.mean())
-    for r in range(ROUNDS + 1):
-        fitted = {k: View(*views[k]).fit(*own[k]) for k in own}
-        if r == ROUNDS or not pool.any():
-            break
-        left = np.flatnonzero(pool)
-        for name, other, seen, given in (("text", "meta", pool_x, pool_z), ("meta", "text", pool_z, pool_x)):
-            p = _sigmoid(fitted[name].logit(seen[left]))
-            for label, sure, share in ((1.0, p, rate), (0.0, 1 - p, 1 - rate)):
-                best = np.argsort(-sure, kind="stable")[: int(PER_ROUND * share)]
-                best = left[best[sure[best] >= SURE]]
-                own[other] = (np.vstack([own[other][0], given[best]]), np.concatenate([own[other][1], np.full(len(best), label)]))
-                pool[best] = False
-    out.text, out.meta = fitted["text"], fitted["meta"]
+    own = [(views[0].cells(x[train]), y[train]), (views[1].cells(z[train]), y[train])]
+    rate, rounds = float(y.mean()), []
+    quota = [int(n * PER_ROUND / SAMPLE * share) for share in (1 - rate, rate)]
+    _fit(views, own, None, [])
+    for _ in range(ROUNDS if n else 0):
+        weights = [v.weights for v in views]
+        rounds.append((weights, _bounds(pool, weights, rounds, quota)))
+        _fit(views, own, pool, rounds)
+    out.text, out.meta = views
     c = held if held.any() else train
     a, b = np.clip(out.text.logit(x[c]), -12, 12), np.clip(out.meta.logit(z[c]), -12, 12)
     out.of_text, out.of_meta = _logistic(a[:, None], y[c], [1, 0]), _logistic(b[:, None], y[c], [1, 0])
@@ -177,6 +269,30 @@ def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, held: np.ndarray, pool
     return out
 
 
+def _quantiles(rows: DataFrame) -> list[np.ndarray]:
+    """Edges of `BINS` bins of each measure, over all rows; a value of an edge's own grain lies above the edge."""
+
+    def run(batches):
+        total = [Counter() for _ in range(MEASURES + 3)]
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+            for j, t in enumerate(total):
+                grain = np.abs(x[:, j]).view(np.int64) >> 42
+                k, n = np.unique(np.where(x[:, j] < 0, -1 - grain, grain), return_counts=True)
+                t.update(dict(zip(k.tolist(), n.tolist(), strict=True)))
+        for j, t in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array([j] * len(t), pa.int32()), pa.array(list(t), pa.int64()), pa.array(list(t.values()), pa.int64())], names=["j", "grain", "n"])
+
+    got, out = rows.select("found").mapInArrow(run, "j int, grain long, n long").groupBy("j", "grain").agg(F.sum("n")).collect(), []
+    for j in range(MEASURES + 3):
+        k, n = np.array(sorted((r[1], r[2]) for r in got if r[0] == j), dtype=np.int64).reshape(-1, 2).T
+        upto = np.cumsum(n)
+        at = k[np.searchsorted(upto, (upto[-1] - 1) * np.arange(1, BINS) / BINS, side="right")] if len(k) else k
+        edge = (np.where(at < 0, -at, at) << 42).view(np.float64)
+        out.append(np.unique(np.where(at < 0, -edge, edge)))
+    return out
+
+
 def _few(df: DataFrame, n: int, sample: int) -> DataFrame:
     """About `sample` of n rows at most, by hash of the id."""
     return df if n <= sample else df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / n)))
@@ -187,20 +303,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = known.select("id", F.lit(1).alias("known")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
     labelled = _few(known, known.count(), sample)
-    pool = _few(rows, rows.count(), sample).join(marked, "id", "left_anti").withColumn("label", F.lit(-1))
-    chosen = rows.join(labelled, "id").unionByName(pool).select(F.xxhash64("id").alias("key"), "label", "text", "source", "lang", "n_chars")
 
-    def run(batches):
+    def measured(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                p = part.to_pydict()
+                found = [[*measures(t), *metadata(s, g, n)] for t, s, g, n in zip(p["text"], p["source"], p["lang"], p["n_chars"], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64()))], names=["id", "found"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>"), folder := common.scratch(docs.sparkSession, "quality-measures"))
+    got = sorted(tuple(r) for r in all_.join(labelled, "id").select(F.xxhash64("id"), "label", "found").collect())
+    y = np.array([r[1] for r in got], dtype=np.float64)
+    if not len(y) or y.min() == y.max():
+        common.remove(docs.sparkSession, folder)
+        return Model(float(y[0]) if len(y) else 1.0)
+    key, xz = np.array([r[0] for r in got], dtype=np.int64), np.array([r[2] for r in got], dtype=np.float64)
+    edges = _quantiles(all_)
+    views = View(edges[:MEASURES]), View([np.arange(HASHED), np.arange(HASHED), edges[-1]])
+
+    def binned(batches):
         for b in batches:
-            p = b.to_pydict()
-            found = [[*measures(t), *metadata(s, g, n)] for t, s, g, n in zip(p["text"], p["source"], p["lang"], p["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], names=["key", "label", "found"])
-
-    got = sorted(tuple(r) for r in chosen.mapInArrow(run, "key long, label int, found array<double>").collect())
-    key, y = np.array([r[0] for r in got], dtype=np.int64), np.array([r[1] for r in got], dtype=np.float64)
-    all_ = np.array([r[2] for r in got], dtype=np.float64).reshape(len(got), MEASURES + 3)
-    x, z, known_ = all_[:, :MEASURES], all_[:, MEASURES:], y >= 0
-    return co_train(x[known_], z[known_], y[known_], key[known_] % 4 == 0, x[~known_], z[~known_])
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            cells = [v.cells(c).astype(np.int16) for v, c in zip(views, (x[:, :MEASURES], x[:, MEASURES:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells)], names=["key", "text", "meta"])
+
+    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), "found")
+    pool = common.written(unlabelled.mapInArrow(binned, "key long, text binary, meta binary"), cells := common.scratch(docs.sparkSession, "quality-cells"))
+    n = pool.count()
+    model = co_train(xz[:, :MEASURES], xz[:, MEASURES:], y, key % 4 == 0, views, pool.coalesce(max(8, n // 200_000)), n)
+    for f in (folder, cells):
+        common.remove(docs.sparkSession, f)
+    return model
 
 
 def _scored(model: Model, part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
