@@ -184,8 +184,11 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """node, size, content: of nodes with two members or more. Partial counts go before the shuffle."""
-    content = F.concat_ws(",", F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1))), F.count(F.lit(1)))
+    """node, size, content: of nodes with two members or more. Partial counts go before the shuffle.
+
+    Content is sums of hashes, which no repeated member cancels; as decimals, they don't overflow.
+    """
+    content = F.concat_ws(",", *[F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(20,0)")) for k in (0, 1)], F.count(F.lit(1)))
     return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), content.alias("content")).where("size > 1")
 
 
@@ -217,7 +220,9 @@ def groups(
     for level in range(LEVELS):
         if not large.take(1):
             break
-        pick = [F.pmod(F.xxhash64("node", F.lit(2 * level + k)), F.lit(FUNCTIONS - trees)) + trees + 1 for k in (0, 1)]
+        n = FUNCTIONS - trees
+        first, off = (F.pmod(F.xxhash64("node", F.lit(2 * level + k)), F.lit(m)) for k, m in ((0, n), (1, n - 1)))
+        pick = [first + trees + 1, F.pmod(first + off + 1, F.lit(n)) + trees + 1]  # never the same
         twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * SECOND)
         at = F.explode(F.when(twice, F.array(*pick)).otherwise(F.array(pick[0])))
         below = large.withColumnRenamed("size", "above").withColumn("at", at).join(sets.select("rep", "least"), "rep")

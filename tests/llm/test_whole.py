@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, quality, toxicity
+from quillmill.llm import exact_dedup, near_dup, quality, toxicity
 from quillmill.plans.scratch import scratch
 
 
@@ -74,3 +75,28 @@ def test_quality_takes_all_unlabelled_rows(spark, monkeypatch):
     assert all((r.score >= 0.5) == (r.doc_id < 5000) for r in out) and len(out) == 2500
     assert len(handed) == 4 and handed[-1].max() > 4 * 5 * 2  # the old limit is 20 a view
     assert handed[0].max() <= 0.05 * 2420 * 1.3
+
+
+def test_near_dup_nodes_with_repeated_members(spark):
+    """Nodes of different members never have one content, even where each member comes twice."""
+    rows = [(n, r) for n, rs in ((1, (10, 11)), (2, (12, 13))) for r in rs for _ in (0, 1)]
+    got = near_dup._sized(spark.createDataFrame(rows, "node long, rep long")).collect()
+    assert len({r.content for r in got}) == 2 and {r.size for r in got} == {4}
+
+
+def test_near_dup_picks_are_distinct(spark, monkeypatch):
+    """With few functions both picks of a node were often equal, which doubled its members."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "SECOND", 1.0)
+    monkeypatch.setattr(near_dup, "FUNCTIONS", near_dup.TREES + 2)
+    sized, most = near_dup._sized, []
+
+    def spy(nodes):
+        most.append(nodes.groupBy("node", "rep").count().agg(F.max("count")).first()[0])
+        return sized(nodes)
+
+    monkeypatch.setattr(near_dup, "_sized", spy)
+    monkeypatch.setattr(near_dup, "LEVELS", 2)
+    rows = [(i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}"])) for i in range(12)]
+    near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(most) > 1 and set(most) == {1}
