@@ -14,7 +14,8 @@ the same members in several trees are compared once. Components come from the di
 
 Defined cases: null and empty texts, and texts without words, have the empty set, are linked with nothing and stay;
 fewer words than five make one shingle of the whole sequence; a row without an id takes no part, has a null component
-and stays; rows that repeat an id with one text are alike, rows that share an id count as one vertex; an empty table
+and stays; rows that repeat an id with one text are alike, rows that share an id count as one vertex, which has the links of all their
+texts; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -205,15 +206,17 @@ def groups(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = common.written(_prints(rows, words, trees), common.scratch(spark, "near-prints"))
-    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    # classes go by their digest, since an id may have several texts
+    classes = classes.withColumn("rep", F.xxhash64("digest"))
     classes = common.written(classes, common.scratch(spark, "near-classes"))
 
     # the first level of all trees; then branch what is too large
     nodes = classes.select(F.explode("keys").alias("node"), "rep")
     # sizes are written, so that both sides of a join with them are dealt anew and AQE may split a hot node
     members = keep(nodes.join(keep(_sized(nodes), "sizes"), "node"), "level")
-    candidates = members.select("rep").distinct().join(classes.select("rep", "digest"), "rep")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(candidates.hint("shuffle_hash"), "rep")
+    candidates = members.select("rep").distinct().join(classes.select("rep", "digest", F.col("id").alias("doc_id")), "rep")
+    texts = rows.join(candidates.hint("shuffle_hash"), "doc_id")
     sets = keep(_sets(texts, words, FUNCTIONS), "sets")
     final = [members.where(F.col("size") <= SMALL)]
     large = members.where(F.col("size") > SMALL)
@@ -252,11 +255,14 @@ def groups(
     )
     tasks = tasks.join(sets.select("rep", "hashes"), "rep").repartition("task").sortWithinPartitions("task")
     edges = keep(_compared(tasks, percent), "links")
+    for side in ("src", "dst"):
+        edges = edges.join(classes.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id")), side)
+    edges = keep(edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).where("src != dst"), "edges")
     found = common.written(components(edges), common.scratch(spark, "near-components"))
     for f in folders:
         common.remove(spark, f)
 
-    of_class = classes.join(found, classes["rep"] == found["vertex"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.join(found, classes["id"] == found["vertex"], "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = prints.drop("keys").join(of_class, "digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))

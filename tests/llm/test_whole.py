@@ -100,3 +100,12 @@ def test_near_dup_picks_are_distinct(spark, monkeypatch):
     rows = [(i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}"])) for i in range(12)]
     near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(most) > 1 and set(most) == {1}
+
+
+def test_near_dup_takes_all_texts_of_an_id(spark):
+    """Each of two texts of one id links the id to its near copies, in whatever order the rows come."""
+    a, b = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (4, "something else")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.component_id for r in near_dup.groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
