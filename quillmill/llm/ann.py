@@ -14,7 +14,7 @@ all rows are searched for, exactly. Each task emits k rows a query, ranked once
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components take no part, neither as
 queries nor as candidates; vectors of different lengths don't meet; rows without an id take no part; rows that repeat
-id and vector are one; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+id and vector are one; a query with several vectors under its id gets the nearest to any of them; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,8 +88,12 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             i = i[rough >= np.partition(rough, len(i) - k)[len(i) - k] - 1e-9 * np.sqrt(q @ q)]
         score = (vectors[i] * q).sum(axis=1) / (norm[i] * np.sqrt((q * q).sum()))  # alike for equal vectors
         best = np.lexsort((ids[i], -score))[:k]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[i][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[i][best], "score": score[best], "row": i[best]}))
+    if not out:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    # a row that several vectors of a query found counts once, by its best score
+    found = pd.concat(out).sort_values("score", ascending=False, kind="stable")
+    return found.drop_duplicates(["query_id", "row"]).drop(columns="row")
 
 
 def search(
@@ -109,7 +113,7 @@ def search(
     base = sound(rows).withColumn("same", same).dropDuplicates(["id", "same"])
     base = base.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).drop("same", "at")
     base = common.written(base, common.scratch(spark, "ann-rows"))
-    asked = common.written(sound(queries).dropDuplicates(["id"]), common.scratch(spark, "ann-queries"))
+    asked = common.written(sound(queries).withColumn("same", same).dropDuplicates(["id", "same"]).drop("same"), common.scratch(spark, "ann-queries"))
     blocks, chunks = max(1, -(-base.count() // BLOCK)), max(1, -(-asked.count() // CHUNK))
     base = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, near_dup, quality, toxicity
+from quillmill.llm import ann, exact_dedup, near_dup, quality, toxicity
 from quillmill.plans.scratch import scratch
 
 
@@ -109,3 +109,13 @@ def test_near_dup_takes_all_texts_of_an_id(spark):
     for order in (rows, rows[::-1]):
         docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
         assert {r.doc_id: r.component_id for r in near_dup.groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_ann_searches_all_vectors_of_a_query(spark):
+    """A query's id with two vectors finds the rows near either, each once, in whatever order they come."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0]), (5, [-1.0, -1.0])], "vec_id long, embedding array<double>")
+    asked = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])]
+    for order in (asked, asked[::-1]):
+        queries = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        got = sorted((r["rank"], r.vec_id) for r in ann.search(rows, queries, k=4).collect())
+        assert got == [(1, 1), (2, 2), (3, 3), (4, 4)]
