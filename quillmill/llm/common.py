@@ -1,4 +1,4 @@
-"""Shared plumbing: input tables and deterministic range cuts."""
+"""Shared plumbing: input tables and deterministic ranges of an order."""
 
 from __future__ import annotations
 
@@ -9,39 +9,57 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.scratch import remove, scratch, shared_dir, written  # noqa: F401
 
+#: Sampled keys that reach the driver to place cuts, at any size of the input (Spark's range partitioner takes up to 10^6).
+KEYS = 400_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def range_cuts(df: DataFrame, key: str, weight: Column, target: int, per_range: int = 64) -> list[int]:
-    """Ascending long boundaries that cut `key` into ranges of about `target` weight each.
+class Ranges:
+    """Consecutive ranges of the order (id, tie), null ids first. A null or repeated id is cut between its ties."""
+
+    def __init__(self, cuts: list[tuple[int | None, int]]):
+        self.count = len(cuts) + 1
+        self.of_null = np.array([t for i, t in cuts if i is None], dtype=np.int64)
+        self.ids, self.ties = (np.array([c[k] for c in cuts if c[0] is not None], dtype=np.int64) for k in (0, 1))
+
+    def find(self, ids: np.ndarray, null: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The range of each key: how many cuts are at it or before it."""
+        out, end = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        for lo in np.unique(out[(end > out) & ~null]):  # keys whose id is a cut's
+            at = np.flatnonzero((out == lo) & (end > out))
+            out[at] = lo + np.searchsorted(self.ties[lo : end[at[0]]], ties[at], side="right")
+        return np.where(null, np.searchsorted(self.of_null, ties, side="right"), out + len(self.of_null)).astype(np.int32)
+
+    def of(self, id_: Column, tie: Column) -> Column:
+        if self.count == 1:
+            return F.lit(0)
+
+        @F.pandas_udf("int")
+        def find(i: pd.Series, null: pd.Series, t: pd.Series) -> pd.Series:
+            return pd.Series(self.find(i.to_numpy(dtype=np.int64), null.to_numpy(dtype=bool), t.to_numpy(dtype=np.int64)))
+
+        return find(F.coalesce(id_, F.lit(0)).cast("long"), id_.isNull(), tie)
+
+
+def ranges(df: DataFrame, id_: Column, tie: Column, weight: Column, target: int, per_range: int = 64) -> Ranges:
+    """Ranges of about `target` weight each, `KEYS` / 8 of them at most: beyond that they grow with the input.
 
-    The sample is chosen by a hash of the key, so the same input always gives the same cuts; about
-    `per_range` sampled keys a range reach the driver. Null keys sort before the first boundary.
+    The sample is chosen by a hash of the key, so the same input always gives the same cuts. `per_range` sampled keys a
+    range reach the driver, fewer where that would be over `KEYS`.
     """
-    n, total = df.agg(F.count(key), F.sum(weight.cast("double"))).first()
-    ranges = int(np.ceil((total or 0) / target))
-    if ranges < 2 or not n:
-        return []
-    step = max(1, n // (ranges * per_range))
-    got = df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).where(F.col(key).isNotNull())
-    rows = sorted((r[0], r[1] or 0.0) for r in got.select(key, weight.cast("double")).collect())
-    sums = np.cumsum([w for _, w in rows])
-    if not len(sums):
-        return []
-    at = np.searchsorted(sums, sums[-1] * np.arange(1, ranges) / ranges)
-    return sorted({int(rows[min(i, len(rows) - 1)][0]) for i in at})
-
-
-def range_of(key: str, cuts: list[int]) -> Column:
-    """Index of the range that a key is in; -1 for null."""
-    if not cuts:
-        return F.when(F.col(key).isNull(), -1).otherwise(0)
-    bounds = np.array(cuts, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def find(k):  # a missing key arrives as 0 from coalesce below
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(dtype=np.int64), side="right").astype("int32"))
-
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(find(F.coalesce(F.col(key), F.lit(0)).cast("long")))
+    df = df.select(id_.alias("id"), tie.alias("tie"), weight.cast("double").alias("w"))
+    n, total = df.agg(F.count(F.lit(1)), F.sum("w")).first()
+    count = min(int(np.ceil((total or 0) / target)), KEYS // 8)
+    if count < 2:
+        return Ranges([])
+    step = max(1, n // min(count * per_range, KEYS))
+    got = df.where(F.pmod(F.xxhash64("id", "tie"), F.lit(step)) == 0).groupBy("id", "tie").agg(F.sum("w").alias("w")).toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    if not rows:
+        return Ranges([])
+    sums = np.cumsum([w for *_, w in rows])
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, count) / count)
+    return Ranges([rows[i][:2] for i in np.unique(np.minimum(at, len(rows) - 1))])

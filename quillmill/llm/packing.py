@@ -10,13 +10,13 @@ all up to cut j,
 padding being linear in the positions p, so the minimum is one of f(i) + p(i) over a sliding window: a monotone queue
 gives it in amortised constant time.
 
-The line is cut into shards of about `SHARD_BYTES` of text by deterministic cuts of the id range; a shard is one
-sorted run that a task walks, with `BLOCK` tokens (or one longer document) in memory at a time. What follows the last
+The line is cut into shards of about `SHARD_BYTES` of text by deterministic cuts of the order (more where over 50,000 of
+them would be needed), within a null or repeated id too; a shard is one partition, a sorted run that a task walks, with `BLOCK` tokens (or one longer document) in memory at a time. What follows the last
 window of a block is carried over into the next. Each shard ends with one partly filled sequence at most; a sequence of
 2^k tokens isn't padded. Result and numbering depend on the input alone, not on the cluster.
 
 Defined cases: null and empty texts are the closing id alone; null ids come first; documents alike in id are ordered
-by text; an empty table gives no pieces; other columns are ignored.
+by a hash of their texts, then by text, and those alike in both lie in one shard; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,44 +181,39 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = LENGTH, id
     sequence_id is shard * 2^40 + number in the shard."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = common.range_cuts(rows, "doc_id", F.octet_length("text") + 1, SHARD_BYTES)
-    rows = rows.withColumn("shard", common.range_of("doc_id", cuts))
-    rows = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    cuts = common.ranges(rows, F.col("doc_id"), F.col("tie"), F.octet_length("text") + 1, SHARD_BYTES)
+    rows = rows.select("doc_id", "text", "tie", cuts.of(F.col("doc_id"), F.col("tie")).alias("shard"))
+    rows = rows.repartitionById(cuts.count, "shard").sortWithinPartitions("doc_id", "tie", "text")
 
-    def read(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256).to_pydict()
-                yield from zip(part["shard"], part["doc_id"], map(tokens(tokenizer, pattern), part["text"]), strict=True)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches):
-        ids_of = tokens(tokenizer, pattern)
-        waiting, it = [None], read(batches)
-
-        def of_shard(first):
-            shard, doc, ids = first
-            yield doc, ids, ids_of.sentence_ends(ids)
-            for s, doc, ids in it:
-                if s != shard:
-                    waiting[0] = (s, doc, ids)
-                    return
-                yield doc, ids, ids_of.sentence_ends(ids)
-
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        first = next(it, None)
-        while first is not None:
-            waiting[0], out = None, []
-            for k, seq in enumerate(pack_run(of_shard(first), length)):
-                off = 0
-                for doc, start, ids, n in seq:
-                    out.append((doc, start, len(ids), ids.tobytes(), n, ((first[0] + 1) << 40) + k, off))
-                    off += len(ids)
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            first = waiting[0]
+        ids_of, shard = tokens(tokenizer, pattern), [0]
+
+        def read():
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    shard[0] = part.column(3)[0].as_py()
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        ids = ids_of(text)
+                        yield doc, ids, ids_of.sentence_ends(ids)
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        out = []
+        for k, seq in enumerate(pack_run(read(), length)):
+            off = 0
+            for doc, start, ids, n in seq:
+                out.append((doc, start, len(ids), ids.tobytes(), n, (shard[0] << 40) + k, off))
+                off += len(ids)
+            if len(out) >= 2000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
 
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -5,9 +5,9 @@ smallest even number of bits that holds N, with cycle walking back into 0..N-1,
 gives shard p mod S and slot p div S. Shard sizes in rows differ by one at most (law `rows`), slots are gapless, and
 both directions are computable from (N, key, S) alone: `place` and `locate`.
 
-The numbering needs one thin shuffle (id, size, checksum): range cuts from a hash-chosen sample of keys, a row number
-within each range and the ranges' counts, of which the driver holds one long each. The row number doesn't depend on
-how many ranges there are.
+The numbering needs one thin shuffle (id, size, checksum): range cuts from a hash-chosen sample of keys of fixed size, a
+row number within each range and the ranges' counts, of which the driver holds one long each. Cuts also fall within a
+null or repeated id, between its checksums. The row number doesn't depend on how many ranges there are.
 
 Defined cases: a null text has size 1 and checksum 0; null ids come first in the order; rows alike in id, checksum and
 size are interchangeable; an empty table gives no rows; other columns are ignored.
@@ -80,22 +80,21 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     thin = common.written(thin, common.scratch(spark, "shard-rows"))
     n = thin.count()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
-    cuts = common.range_cuts(thin, "doc_id", F.lit(1), max(1, n // ranges))
-    thin = thin.withColumn("__range", common.range_of("doc_id", cuts))
-    before, total = {}, 0
-    for r, c in sorted(tuple(x) for x in thin.groupBy("__range").count().collect()):
-        before[r], total = total, total + c
-    starts = np.zeros(len(cuts) + 3, dtype=np.int64)
-    for r, c in before.items():
+    tie = F.shiftleft("text_crc32", 31) + F.least("size", F.lit((1 << 31) - 1))
+    cuts = common.ranges(thin, F.col("doc_id"), tie, F.lit(1), max(1, n // ranges))
+    thin = thin.withColumn("__range", cuts.of(F.col("doc_id"), tie))
+    starts = np.zeros(cuts.count + 1, dtype=np.int64)
+    for r, c in thin.groupBy("__range").count().collect():
         starts[r + 1] = c
+    starts = np.cumsum(starts)
 
     @F.pandas_udf("long")
     def start(r):
-        return pd.Series(starts[r.to_numpy() + 1])
+        return pd.Series(starts[r.to_numpy()])
 
     order = Window.partitionBy("__range").orderBy("doc_id", "text_crc32", "size")
     out = thin.withColumn("__rank", F.row_number().over(order).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", (start("__range") + F.col("__rank") - 1).alias("row")), total
+    return out.select("doc_id", "size", "text_crc32", (start("__range") + F.col("__rank") - 1).alias("row")), n
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,15 +1,17 @@
 """Operator 5: deterministic sharded WARC writer and its reader.
 
-Records are sorted by id. Cuts of the id range, which depend on the input alone, make shards of about `SHARD_BYTES` of
-payload; a task walks whole shards in order and rolls to a new file when the compressed size passes `ROLL_BYTES`. Each
+Records are sorted by id, those of one id by a hash of the payload. Cuts of this order, which depend on the input alone,
+make shards of about `SHARD_BYTES` of payload (more where over 50,000 of them would be needed); a task walks one shard in
+order and rolls to a new file when the compressed size passes `ROLL_BYTES`. Each
 record is a gzip member of its own, with headers and digests computed anew from the payload. Files are written under
 temporary names, renamed when complete and listed, with sizes and checksums, in the manifest, a Parquet table that
 Spark commits last. Readers only open files of the manifest, so what a lost executor or a second attempt leaves behind
-is never read; an attempt that comes again writes the same bytes under the same name.
+is never read; an attempt that comes again writes the same bytes and replaces the file of that name.
 
 Equal payloads of `REVISIT_BYTES` or more are stored once: the record with the largest id is the response, the others
-are revisits that name it. Payloads are compared by SHA-256 and length. The groups are pre-aggregated from thin rows,
-which join them by a plain join that AQE may split; payloads themselves are shuffled once, into their shards.
+are revisits that name it. Payloads are compared by SHA-256 and length. The groups are pre-aggregated from thin rows
+and written, so that AQE may split the join of the thin rows with them where a payload has many copies; payloads
+themselves are shuffled once, into their shards.
 
 Defined cases: a null payload is empty; a null id is smaller than any other and written without an id header; records
 alike in id and payload are written each, the response is one with the largest id and, if several rows share it, all
@@ -101,7 +103,10 @@ class _Roller:
 
     def close(self) -> tuple:
         self.out.close()
-        self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        final = f"{self.root}/{self.name}"
+        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier attempt, which wrote the same bytes
+            self.fs.delete_file(final)
+        self.fs.move(self.temporary, final)
         row = (self.name, self.shard, self.number, self.records, self.bytes, self.sum.hexdigest())
         self.out, self.number = None, self.number + 1
         return row
@@ -112,17 +117,20 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("tie", F.xxhash64("payload"))
     size = F.octet_length("payload")
-    thin = rows.select("id", size.alias("size"), F.sha2("payload", 256).alias("same")).where(size >= REVISIT_BYTES)
+    thin = rows.select("id", "tie", size.alias("size"), F.sha2("payload", 256).alias("same")).where(size >= REVISIT_BYTES)
     largest = thin.groupBy("same", "size").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    cuts = common.range_cuts(rows, "id", size + 512, SHARD_BYTES)
+    # written, since an aggregate ties a join to its keys and keeps AQE from splitting a payload with many copies
+    largest = common.written(largest, common.scratch(spark, "warc-copies"))
+    cuts = common.ranges(rows, F.col("id"), F.col("tie"), size + 512, SHARD_BYTES)
     # revisits travel as markers that sort before their records, so payloads are shuffled once
     is_revisit = ~F.col("id").eqNullSafe(F.col("largest"))
-    markers = thin.join(largest, ["same", "size"]).where(is_revisit).select("id", "same", F.col("largest").alias("refers_to")).distinct()
-    markers = markers.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "same", "refers_to")
-    rows = rows.select("id", "url", "payload", F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("refers_to"))
-    rows = rows.unionByName(markers).withColumn("shard", common.range_of("id", cuts))
-    rows = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", F.asc_nulls_last("same"), "url", "payload")
+    markers = thin.join(largest, ["same", "size"]).where(is_revisit)
+    markers = markers.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "tie", "same", F.col("largest").alias("refers_to"))
+    rows = rows.select("id", "url", "payload", "tie", F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(markers).withColumn("shard", cuts.of(F.col("id"), F.col("tie")))
+    rows = rows.repartitionById(cuts.count, "shard").sortWithinPartitions("id", "tie", F.asc_nulls_last("same"), "url", "payload")
 
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -132,16 +140,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         for b in batches:
             done = []
             for i in range(b.num_rows):
-                id_, url, body, same, target, shard = (b.column(k)[i].as_py() for k in range(6))
-                if of != (shard, id_):
-                    of, refers = (shard, id_), {}
+                id_, url, body, tie, same, target, shard = (b.column(k)[i].as_py() for k in range(7))
+                if of != (id_, tie):
+                    of, refers = (id_, tie), {}
                 if same is not None:
                     refers[same] = target
                     continue
-                if roller is None or roller.shard != shard:
-                    if roller is not None and roller.out is not None:
-                        done.append(roller.close())
-                    roller = _Roller(folder, shard, roll)
+                roller = roller or _Roller(folder, shard, roll)
                 to = refers.get(hashlib.sha256(body).hexdigest()) if refers else None
                 done += roller.add(record_bytes(id_, url, "response" if to is None else "revisit", to, body, hashlib.sha1(body).digest()))
             yield _batch(done)
