@@ -1,26 +1,36 @@
 """Operator 8: approximate nearest neighbours by forests of sorted hash strings.
 
-Rows are dealt evenly, by a hash of their id, to blocks of about `BLOCK` rows. A block holds `TREES` trees; a tree is the
+Rows are dealt evenly, by a hash of their id, to `BLOCKS` blocks, to more where a block would be over `BLOCK_BYTES`, to
+fewer where it would have under `BLOCK_ROWS` rows. A block holds `TREES` trees; a tree is the
 sorted array of its rows' hash strings, `BITS` signs of random projections each. A query descends in every tree to its
 longest prefix match by binary search. Then all trees ascend together, one bit at a time, until the rows under the
 prefixes, counted over all trees, reach `QUOTA` of the block's rows; these are the candidates, compared by exact cosine. A query left with fewer than k goes up to the root.
 The quota is a share of the block, so recall doesn't fall with size: the test rows are nearly isotropic in 64 dimensions,
 where five neighbours stand out little, and need half of a block or more seen for a recall safely above 0.9 (see the README).
 
-A task is one block against one chunk of queries: its memory is bounded, and no bucket of any tree leaves its block, so
-no hash value can make a task large. Of equal vectors only the k + 1 smallest ids can be among a query's k nearest with
+A task is one block: it builds the block's forest once and streams all queries past it, in batches from the shared
+folder, so rows are shuffled once, whatever the number of queries. Memory is bounded by `BLOCK_BYTES` of vectors, and no
+bucket of any tree leaves its block, so no hash value can make a task large. Every query meets every block, as a quota by
+share demands. Of equal vectors only the k + 1 smallest ids can be among a query's k nearest with
 ties to the smaller id, so all others are left out before the blocks are built, by a group limit that runs before the shuffle;
-all rows are searched for, exactly. Each task emits k rows a query, ranked once more over the blocks.
+all rows are searched for, exactly. Each task emits k thin rows a query, ranked once more over the blocks.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components take no part, neither as
 queries nor as candidates; vectors of different lengths don't meet; rows without an id take no part; rows that repeat
-id and vector are one; a query with several vectors under its id gets the nearest to any of them; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+id and vector are one; rows that share an id and differ in vector are candidates each, so an id may come twice in a
+result; a query with several vectors under its id gets the nearest to any of them; ties go to the smaller id; vectors are
+scaled by powers of two first, so finite ones of any size have a score; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +38,9 @@ from . import common
 
 TREES = 48
 BITS = 32
-BLOCK = 16_384
-CHUNK = 2_048
+BLOCKS = 256
+BLOCK_ROWS = 16_384
+BLOCK_BYTES = 64 << 20
 QUOTA = 0.8
 NEAREST = 5
 SEED = 97
@@ -75,25 +86,67 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, quota: float) -> pd.DataFrame:
-    """query_id, vec_id, score: each query's k nearest of the block's candidates."""
-    forest, out = Forest(vectors), []
-    norm = np.sqrt((vectors * vectors).sum(axis=1))
-    for i, own, q in zip(forest.candidates(queries, quota), query_ids, queries, strict=True):
-        i = i[ids[i] != own]
-        if len(i) < k:  # up to the root
-            i = np.flatnonzero(ids != own)
-        rough = (vectors[i] @ q) / norm[i]
-        if len(i) > k:
-            i = i[rough >= np.partition(rough, len(i) - k)[len(i) - k] - 1e-9 * np.sqrt(q @ q)]
-        score = (vectors[i] * q).sum(axis=1) / (norm[i] * np.sqrt((q * q).sum()))  # alike for equal vectors
-        best = np.lexsort((ids[i], -score))[:k]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[i][best], "score": score[best], "row": i[best]}))
-    if not out:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    # a row that several vectors of a query found counts once, by its best score
-    found = pd.concat(out).sort_values("score", ascending=False, kind="stable")
-    return found.drop_duplicates(["query_id", "row"]).drop(columns="row")
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component below 1: no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
+class Block:
+    """Rows of one length, searched through their forest. Vectors are scaled."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.forest = ids, vectors, Forest(vectors)
+        self.norm = np.sqrt((vectors * vectors).sum(axis=1))
+        self.waiting = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.float64, np.int64))
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, quota: float) -> tuple[np.ndarray, ...]:
+        """query_id, vec_id, score, row: each query's k nearest of the block's candidates."""
+        out, ids, vectors, norm = [], self.ids, self.vectors, self.norm
+        for i, own, q in zip(self.forest.candidates(queries, quota), query_ids, queries, strict=True):
+            i = i[ids[i] != own]
+            if len(i) < k:  # up to the root
+                i = np.flatnonzero(ids != own)
+            rough = (vectors[i] @ q) / norm[i]
+            if len(i) > k:
+                i = i[rough >= np.partition(rough, len(i) - k)[len(i) - k] - 1e-9 * np.sqrt(q @ q)]
+            score = (vectors[i] * q).sum(axis=1) / (norm[i] * np.sqrt((q * q).sum()))  # alike for equal vectors
+            best = np.lexsort((ids[i], -score))[:k]
+            out.append((np.full(len(best), own), ids[i][best], score[best], i[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def feed(self, query_ids: np.ndarray, queries: np.ndarray, k: int, quota: float) -> tuple[np.ndarray, ...]:
+        """query_id, vec_id, score for queries in the order of their ids, fed in batches. The last id's rows wait for its
+        further vectors: a row that several vectors of a query found counts once, by its best score."""
+        found = tuple(map(np.concatenate, zip(self.waiting, self.nearest(query_ids, queries, k, quota), strict=True)))
+        of, vec, score, row = found
+        order = np.lexsort((-score, row, of))
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (np.diff(of[order]) != 0) | (np.diff(row[order]) != 0)
+        order = order[once]
+        order = order[np.lexsort((vec[order], -score[order], of[order]))]
+        place = np.arange(len(order)) - np.searchsorted(of[order], of[order], side="left")
+        order = order[place < k]
+        last = of[order] == query_ids[-1]
+        self.waiting = tuple(c[order[last]] for c in found)
+        return tuple(c[order[~last]] for c in found[:3])
+
+
+def _vectors(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length of the vectors, ids and scaled vectors of a batch (id, v)."""
+    ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())
+    dims = np.diff(ends, prepend=0)
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        yield int(d), ids[at], scaled(flat[(ends[at] - d)[:, None] + np.arange(d)])
+
+
+def _stream(folder: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a written table, which a task reads by itself."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    for f in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(f) as source:
+            yield from pq.ParquetFile(source).iter_batches(2048)
 
 
 def search(
@@ -113,18 +166,29 @@ def search(
     base = sound(rows).withColumn("same", same).dropDuplicates(["id", "same"])
     base = base.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).drop("same", "at")
     base = common.written(base, common.scratch(spark, "ann-rows"))
-    asked = common.written(sound(queries).withColumn("same", same).dropDuplicates(["id", "same"]).drop("same"), common.scratch(spark, "ann-queries"))
-    blocks, chunks = max(1, -(-base.count() // BLOCK)), max(1, -(-asked.count() // CHUNK))
-    base = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def run(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or ask.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest(data["id"].to_numpy(), np.stack(data["v"].to_numpy()), ask["id"].to_numpy(), np.stack(ask["v"].to_numpy()), k, quota)
-
-    key = ["dim", "block", "chunk"]
-    found = base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
+    asked = sound(queries).withColumn("same", same).dropDuplicates(["id", "same"])
+    at = common.scratch(spark, "ann-queries")  # files in the order of ids, which an id may share
+    common.written(asked.repartitionByRange("id", "same").sortWithinPartitions("id", "same").select("id", "v"), at)
+    n, numbers = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    blocks = max(1, min(BLOCKS, n // BLOCK_ROWS), -(-8 * numbers // BLOCK_BYTES))
+    base = base.select("id", "v").repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+    def run(batches):
+        parts: dict[int, list] = {}
+        for b in batches:
+            for d, ids, v in _vectors(b):
+                parts.setdefault(d, []).append((ids, v))
+        forests = {d: Block(*map(np.concatenate, zip(*p, strict=True))) for d, p in parts.items()}
+        parts.clear()
+        for b in _stream(at) if forests else ():
+            for d, ids, v in _vectors(b):
+                if d in forests:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forests[d].feed(ids, v, k, quota)], names=names)
+        for f in forests.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in f.waiting[:3]], names=names)
+
+    names = ["query_id", "vec_id", "score"]
+    found = base.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
