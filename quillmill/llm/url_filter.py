@@ -9,8 +9,8 @@ get the default verdict.
 The filter is a table (block, eight words) built by bit_or, of 32 bytes a block. It is broadcast only while its proven
 size, blocks x 80 bytes, is below `BROADCAST_BYTES`; beyond, the probes are shuffled to its blocks. The list joins as
 Spark finds best, by its own size threshold. Probes of one URL are formed in place, the winner is taken with one
-aggregation by row, pre-aggregated before the shuffle. Distinct URLs are judged once, so repeated URLs make no hot key
-in the joins. DataFrame functions only.
+aggregation by URL, pre-aggregated before the shuffle. Distinct URLs are judged once; the winners are written before the
+pages join them, so that AQE may broadcast them or split a URL that many pages share. DataFrame functions only.
 
 Defined cases: a null URL or one without `://` has an empty host and path and gets the default verdict; an empty path
 only matches entries with an empty path; entries with a null host or path count as empty there; of entries with one key
@@ -89,6 +89,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         tested = tested.where(F.col(f"w{i}").bitwiseAND(m) != 0)
     hits = tested.select("url", "key").join(entries, "key")
     best = hits.groupBy("url").agg(F.max(F.struct(F.col("h_len") + F.col("p_len"), "h_len", "rule", "verdict")).alias("best"))
+    # written, since an aggregate ties a join to its keys and keeps AQE from splitting a URL of many pages
+    best = common.written(best, common.scratch(spark, "url-best"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_path(F.col("url"))
     return rows.join(best, "url", "left").select(
