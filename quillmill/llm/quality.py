@@ -1,30 +1,32 @@
 """Operator 6: quality classification by co-training of a text view and a metadata view.
 
-The text view sees measures of the whole text (shape of words, repetition, case, symbols, lines); the metadata view sees
-source, language and recorded length. Each is an additive logistic model over binned measures. Both start from the same
-labelled rows; over `ROUNDS` rounds each scores all unlabelled rows and hands those it is surest of, in the proportion of
-the labels and `PER_ROUND` of every `SAMPLE` unlabelled rows, to the other as pseudo-labels. Then each view is calibrated
-on labelled rows that took no part in training, and a logistic model of both calibrated log-odds, fitted on the same rows,
-scores every document.
-
-Only the labelled rows are a bounded sample, of about `SAMPLE` by hash of the id, whose measures reach the driver. All
-documents are measured in one pass; bin edges are quantiles over all of them (to a part in 2^10, from counts that don't
-depend on partitions). Unlabelled rows stay distributed, as numbers of bins: a round counts them by log-odds for the
-bounds above which rows are handed over (rows at a bound by hash of the id), and every Newton step adds up gradients and
-curvatures over the rows handed over so far, which tasks find anew from the rounds' weights and bounds. Scoring is one
-pass without shuffles; the model that tasks get has a few thousand numbers.
-
-Defined cases: null and empty texts have all measures zero; null metadata values are a value of their own; unlabelled
-rows and null labels don't train; a metadata view that tells nothing stays near the base rate and gets little weight;
+The text view reads the whole text: the log-odds of its hashed words and pairs of neighbouring words (`TERMS` buckets, case
+kept), and measures of it (shape of words, repetition, case, symbols, lines). The metadata view sees source, language, both
+together, and the recorded length. Each is an additive logistic model over bins; the words' log-odds enter the text view as
+one more binned column, for training rows from the half of the rows that their text isn't in, so that rare words of a row
+don't vouch for its own label. Both views start from the same labelled rows; over `ROUNDS` rounds each scores all
+unlabelled rows and hands those it is surest of (`SURE` and more, calibrated), in the proportion of the labels and up to
+`SHARE` of the unlabelled rows, to the other as pseudo-labels. Each view is calibrated on labelled rows that took no part
+in training; in the end the sum of both log-odds, less the prior's, calibrated on the same rows, scores every document.
+
+Only the labelled rows are a bounded sample, of about `SAMPLE` by hash of the id, whose features reach the driver. Bin edges
+are quantiles over all documents (to a part in 2^10, from counts that don't depend on partitions). Unlabelled rows stay
+distributed, as numbers of bins and buckets: a round counts them by log-odds for the bounds above which rows are handed over
+(rows at a bound by hash of the id), and writes the rows handed over apart from those left; counts of words and every Newton
+step are sums over the rows handed over so far. Scoring is one pass without shuffles; the model that tasks get has some
+twenty thousand numbers.
+
+Defined cases: null and empty texts have no words and all measures zero; null metadata values are a value of their own;
+unlabelled rows and null labels don't train; a metadata view that tells nothing stays at the base rate and changes nothing;
 with no labelled row, or one class only, every document gets the base rate (1, accepted, with no row at all); an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,205 +38,308 @@ from . import common
 SAMPLE = 12_000
 ROUNDS = 4
 SURE = 0.95
-PER_ROUND = 600
+SHARE = 0.05
 BINS = 16
-HASHED = 64
+TERMS = 1 << 13
+SMOOTH = 4.0
 PENALTY = 1.0
-SYMBOLS = re.compile(r"[^\w\s.,;:'\"()-]")
 MEASURES = 15
+#: Buckets of source, language, and both.
+HASHED = (128, 32, 128)
+#: Edges of the bins of the words' log-odds, and of Newton's and the bounds' log-odds the sharpness.
+GRID = np.arange(-4, 4.01, 0.25)
+SHARP = 256
+#: Labelled ids up to this number are broadcast, as 16 bytes each.
+BROADCAST_IDS = 500_000
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-def measures(text: str | None) -> list[float]:
-    """Numbers that describe the whole text."""
-    text = text or ""
-    words = text.split()
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode("utf-8"))
+        return h
+
+
+_hashes = _Hashes()
+LOWER, UPPER, DIGIT, ODD, BAR, CALL, STOP, ASK, HALF = range(1, 10)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each UTF-16 unit."""
+
+    def kind(c: str) -> int:
+        if c.isalpha():
+            return UPPER if c.isupper() else LOWER
+        if "0" <= c <= "9":
+            return DIGIT
+        if c in "|!.?":
+            return {"|": BAR, "!": CALL, ".": STOP, "?": ASK}[c]
+        return 0 if c.isalnum() or c.isspace() or c in "_,;:'\"()-" else ODD
+
+    return np.array([HALF if 0xD800 <= k < 0xE000 else kind(chr(k)) for k in range(1 << 16)], dtype=np.uint8)
+
+
+def features(text: str | None) -> tuple[list[float], np.ndarray]:
+    """Measures of the whole text, and the distinct buckets of its words and pairs of neighbouring words."""
+    words = (text or "").split()
     if not words:
-        return [0.0] * MEASURES
+        return [0.0] * MEASURES, np.empty(0, dtype=np.uint16)
     n, chars = len(words), len(text)
-    counts = Counter(words)
-    run = longest = 1
-    for a, b in zip(words, words[1:], strict=False):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    letters = sum(map(str.isalpha, text)) if chars < 200 else len(re.sub(r"[\W\d_]+", "", text))
-    upper = len(re.findall(r"[A-ZÄÖÜÉÈÊÀÇÑÁÍÓÚ]", text))
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+    pairs = np.unique((h[:-1] * _A + h[1:]) * _B)
+    own, times = np.unique(h, return_counts=True)
+    turns = np.flatnonzero(h[1:] != h[:-1])
+    longest = int(np.diff(turns, prepend=-1, append=n - 1).max())
+    c = np.bincount(_kinds()[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")], minlength=10)
+    letters, upper, odd = c[LOWER] + c[UPPER], c[UPPER], c[ODD] + c[BAR] + c[CALL] + c[ASK]
+    if c[HALF]:  # characters of two units
+        for x in text:
+            if x > "￿":
+                letters, upper, odd = letters + x.isalpha(), upper + x.isupper(), odd + (not x.isalnum() and not x.isspace())
     lines = text.split("\n")
-    odd = len(SYMBOLS.findall(text))
-    return [
+    found = [
         np.log1p(n),
-        len(counts) / n**0.9,
-        counts.most_common(1)[0][1] / n,
+        len(own) / n**0.9,
+        times.max() / n,
         longest / n,
         longest,
-        pairs / n,
+        len(pairs) / n,
         upper / max(1, letters),
         odd / chars,
         odd / n,
-        text.count("|") / n,
-        text.count("!") / n,
-        sum(map(text.count, "0123456789")) / chars,
+        c[BAR] / n,
+        c[CALL] / n,
+        c[DIGIT] / chars,
         letters / n,
         len(set(lines)) / len(lines),
-        sum(map(text.count, ".?!")) / n,
+        (c[CALL] + c[STOP] + c[ASK]) / n,
     ]
+    return found, np.unique(np.concatenate([own * _B, pairs]) >> np.uint64(64 - 13)).astype(np.uint16)
 
 
 def metadata(source: str | None, lang: str | None, n_chars) -> list[float]:
-    def hashed(x):
-        return 0 if x is None else 1 + zlib.crc32(str(x).encode("utf-8")) % (HASHED - 1)
+    def hashed(x, n):
+        return 0 if x is None else 1 + zlib.crc32(str(x).encode("utf-8")) % (n - 1)
 
-    return [hashed(source), hashed(lang), -1.0 if n_chars is None else float(np.log1p(max(0, n_chars)))]
+    both = None if source is None and lang is None else f"{source}\n{lang}"
+    return [*map(hashed, (source, lang, both), HASHED), -1.0 if n_chars is None else float(np.log1p(max(0, n_chars)))]
 
 
-class View:
-    """An additive logistic model of columns binned at edges."""
+class Bins:
+    """Columns binned at edges, the bins of all columns numbered through."""
 
     def __init__(self, edges: list[np.ndarray]):
         self.edges = edges
-        self.starts = np.cumsum([0, *[len(e) + 1 for e in self.edges]])
-        self.weights = np.zeros(self.starts[-1] + 1)
+        self.starts = np.cumsum([0, *[len(e) + 1 for e in edges]])
+        self.size = int(self.starts[-1]) + 1  # and a constant
+
+    def cells(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """Of the columns from the given one on."""
+        return np.stack([np.searchsorted(self.edges[first + j], x[:, j], side="right") + self.starts[first + j] for j in range(x.shape[1])], axis=1)
+
+
+class Rows:
+    """Some rows' features: key (hash of the id), half (of the text), cells of measures and metadata, buckets of words."""
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right") + s for j, (e, s) in enumerate(zip(self.edges, self.starts, strict=False))], axis=1)
+    def __init__(self, key, half, text, meta, terms: np.ndarray, ends: np.ndarray):
+        self.key, self.half, self.text, self.meta, self.terms, self.ends = key, half, text, meta, terms, ends
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return _logit(self.cells(x), self.weights)
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> Rows:
+        """Of a batch of the columns key, half, text, meta, terms."""
+        text, meta, terms = (b.column(j).to_pylist() for j in (2, 3, 4))
+        return cls(
+            b.column(0).to_numpy(),
+            b.column(1).to_numpy(),
+            *(np.frombuffer(b"".join(x), dtype=np.int16).reshape(len(x), n).astype(np.int64) for x, n in ((text, MEASURES), (meta, len(HASHED) + 1))),
+            np.frombuffer(b"".join(terms), dtype=np.uint16).astype(np.int64),
+            np.cumsum([len(t) // 2 for t in terms], dtype=np.int64),
+        )
 
+    def __len__(self):
+        return len(self.key)
 
-def _logit(cells: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return w[cells].sum(axis=1) + w[-1]
+    def take(self, on: np.ndarray) -> Rows:
+        sizes = np.diff(self.ends, prepend=0)
+        return Rows(self.key[on], self.half[on], self.text[on], self.meta[on], self.terms[np.repeat(on, sizes)], np.cumsum(sizes[on]))
+
+
+class Views:
+    """Both views: log-odds of words by half of the rows (odds[h]: from the rows not in half h), weights of bins."""
+
+    def __init__(self, bins: tuple[Bins, Bins]):
+        self.bins = bins
+        self.odds = np.zeros((2, TERMS))
+        self.weights = [np.zeros(b.size) for b in bins]
+
+    def cells(self, rows: Rows, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        """apart: rows took part in training, so the log-odds of their words come from the other half."""
+        sizes = np.diff(rows.ends, prepend=0)
+        each = self.odds[np.repeat(rows.half, sizes), rows.terms] if apart else self.odds.mean(axis=0)[rows.terms]
+        sums = np.concatenate([[0.0], np.cumsum(each)])
+        said = (sums[rows.ends] - sums[rows.ends - sizes]) / np.sqrt(np.maximum(sizes, 1))
+        return np.column_stack([rows.text, self.bins[0].cells(said[:, None], MEASURES)]), rows.meta
+
+    def raw(self, rows: Rows) -> list[np.ndarray]:
+        return [np.clip(w[c].sum(axis=1) + w[-1], -12, 12) for w, c in zip(self.weights, self.cells(rows, False), strict=True)]
+
+    def calibrate(self, rows: Rows, y: np.ndarray) -> None:
+        self.scale = [_calibrated(z, y) for z in self.raw(rows)]
+
+    def logits(self, rows: Rows) -> list[np.ndarray]:
+        """Calibrated log-odds by the text and by the metadata."""
+        return [z * slope + offset for z, (slope, offset) in zip(self.raw(rows), self.scale, strict=True)]
 
 
 def _sums(cells: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Curvature and, as the last row, gradient of the likelihood, added over rows."""
-    out = np.zeros((len(w) + 1, len(w)))
-    for at in range(0, len(cells), 4096):
-        c, part = cells[at : at + 4096], y[at : at + 4096]
-        m = np.zeros((len(c), len(w)))
-        np.put_along_axis(m, c, 1, axis=1)
-        m[:, -1] = 1
-        p = _sigmoid(m @ w)
-        out[:-1] += (m * (p * (1 - p))[:, None]).T @ m
-        out[-1] += m.T @ (part - p)
+    d, out = len(w), np.zeros((len(w) + 1, len(w)))
+    cells = np.column_stack([cells, np.full(len(cells), d - 1)])
+    for at in range(0, len(cells), 2048):
+        c, part = cells[at : at + 2048], y[at : at + 2048]
+        p = _sigmoid(w[c].sum(axis=1))
+        k = c.shape[1]
+        out[:-1] += np.bincount((c[:, :, None] * d + c[:, None, :]).ravel(), np.repeat(p * (1 - p), k * k), d * d).reshape(d, d)
+        out[-1] += np.bincount(c.ravel(), np.repeat(part - p, k), d)
     return out
 
 
-def _handed(key: np.ndarray, cells: tuple[np.ndarray, np.ndarray], rounds: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows left, and the pseudo-labels that the text and the metadata view were given; -1 where none."""
-    left, given = np.ones(len(key), dtype=bool), np.full((2, len(key)), -1.0)
-    part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.float64) / (1 << 20)
-    for weights, bounds in rounds:
-        gone = np.zeros(len(key), dtype=bool)
-        for v in (0, 1):
-            z = _logit(cells[v], weights[v])
-            for label, side in ((1.0, z), (0.0, -z)):
-                bound, share = bounds[v][int(label)]
-                k = _bin(side)
-                take = left & (k >= 0) & ((k > bound) | ((k == bound) & (part < share)))
-                given[1 - v, take] = label
-                gone |= take
-        left &= ~gone
-    return left, given[0], given[1]
-
-
 def _bin(side: np.ndarray) -> np.ndarray:
     """Bins of log-odds of `SURE` or more; -1 below."""
-    return np.where(side >= np.log(SURE / (1 - SURE)), np.minimum(side, 30) * 256, -1).astype(np.int64)
+    return np.where(side >= np.log(SURE / (1 - SURE)), np.minimum(side, 30) * SHARP, -1).astype(np.int64)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: list[float], pull: float = 2.0) -> np.ndarray:
-    """Weights, the last a constant, of a plain logistic model, pulled to the prior where rows are few."""
-    m, mean = np.column_stack([x, np.ones(len(x))]), np.array(prior, dtype=np.float64)
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic model of z, pulled to 1 and 0 where rows are few; never a falling one."""
+    m, mean = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
     w = mean.copy()
     for _ in range(25):
         p = _sigmoid(m @ w)
-        h = (m * (p * (1 - p))[:, None]).T @ m + pull * np.eye(len(w))
-        w = w + np.linalg.solve(h, m.T @ (y - p) - pull * (w - mean))
-    return w
+        h = (m * (p * (1 - p))[:, None]).T @ m + 2 * np.eye(2)
+        w = w + np.linalg.solve(h, m.T @ (y - p) - 2 * (w - mean))
+    if w[0] > 0:
+        return float(w[0]), float(w[1])
+    rate = (y.sum() + 1) / (len(y) + 2)
+    return 0.0, float(np.log(rate / (1 - rate)))
 
 
 class Model:
-    """text, meta: the views; calibration of each, and the weights of both; or a constant probability."""
+    """Calibrated views, the prior's log-odds and the calibration of the views' sum; or a constant probability."""
+
+    def __init__(self, constant: float | None = None, views: Views | None = None, prior: float = 0.0):
+        self.constant, self.views, self.prior, self.scale = constant, views, prior, (1.0, 0.0)
 
-    def __init__(self, constant: float | None = None):
-        self.constant, self.text, self.meta = constant, None, None
+    def both(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.views.logits(rows)
+        return a, b, a + b - self.prior
 
-    def scores(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities by the text, by the metadata, and by both."""
-        if self.constant is not None:
-            return (np.full(len(x), self.constant),) * 3
-        a = np.clip(self.text.logit(x), -12, 12) * self.of_text[0] + self.of_text[1]
-        b = np.clip(self.meta.logit(z), -12, 12) * self.of_meta[0] + self.of_meta[1]
-        return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.both[0] + b * self.both[1] + self.both[2])
+        a, b, z = self.both(rows)
+        return _sigmoid(a), _sigmoid(b), _sigmoid(z * self.scale[0] + self.scale[1])
 
 
-def _added(pool: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
-    """The sum over all rows of pool of what `of` (key, text cells, metadata cells) gives, an array of the shape."""
+def _added(rows: DataFrame, shape: tuple[int, ...], of, deep: bool = False) -> np.ndarray:
+    """The sum over all batches of what `of` gives, an array of the shape; deep: a few tasks add up those of many first."""
 
-    def run(batches):
-        total = np.zeros(shape)
-        for b in batches:
-            cells = [np.frombuffer(b"".join(b.column(j).to_pylist()), dtype=np.int16).reshape(b.num_rows, -1).astype(np.int64) for j in (1, 2)]
-            total += of(b.column(0).to_numpy(), cells)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+    def sums(read):
+        def run(batches):
+            total = np.zeros(shape)
+            for b in batches:
+                total += read(b)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        return run
 
-    out = np.zeros(shape)
-    for r in pool.mapInArrow(run, "total binary").toLocalIterator():
+    def again(b):
+        return sum((np.frombuffer(x).reshape(shape) for x in b.column(0).to_pylist()), np.zeros(shape))
+
+    got, out = rows.mapInArrow(sums(of), "total binary"), np.zeros(shape)
+    if deep:
+        got = got.repartition(16).mapInArrow(sums(again), "total binary")
+    for r in got.collect():
         out += np.frombuffer(r[0]).reshape(shape)
     return out
 
 
-def _fit(views: tuple[View, View], own: list[tuple[np.ndarray, np.ndarray]], pool: DataFrame | None, rounds: list) -> None:
-    """Newton steps on the penalised likelihood of labelled rows (cells, labels) and of rows of pool handed over."""
-    sizes = [len(v.weights) for v in views]
-    todo = [0, 1]
-    for v in views:  # from nought, since steps from weights that are sure of their rows overshoot
-        v.weights = np.zeros(len(v.weights))
+def _word_counts(rows: Rows, y: np.ndarray) -> np.ndarray:
+    """By half and label: rows with each bucket and, last, rows."""
+    out, sizes = np.zeros((2, 2, TERMS + 1)), np.diff(rows.ends, prepend=0)
+    kind = rows.half * 2 + y.astype(np.int64)
+    out.reshape(4, -1)[:, :-1] = np.bincount(np.repeat(kind, sizes) * TERMS + rows.terms, minlength=4 * TERMS).reshape(4, TERMS)
+    out.reshape(4, -1)[:, -1] = np.bincount(kind, minlength=4)
+    return out
+
+
+def _fit(views: Views, own: Rows, y: np.ndarray, handed: DataFrame | None, deep: bool = False) -> None:
+    """Fits on labelled rows and on rows handed over (columns of `Rows`, then the labels given to text and metadata)."""
+
+    def to_text(b):
+        marks = b.column(5).to_numpy()
+        return Rows.of(b.filter(pa.array(marks >= 0))), marks[marks >= 0].astype(np.float64)
+
+    def to_meta(b):
+        marks = b.column(6).to_numpy()
+        cells = b.column(3).filter(pa.array(marks >= 0)).to_pylist()
+        return np.frombuffer(b"".join(cells), dtype=np.int16).reshape(len(cells), len(HASHED) + 1).astype(np.int64), marks[marks >= 0].astype(np.float64)
+
+    counts = _word_counts(own, y)
+    if handed is not None:
+        counts += _added(handed, counts.shape, lambda b: _word_counts(*to_text(b)), deep)
+    for h in (0, 1):
+        c = counts[1 - h]
+        rate = np.clip(c[1, -1] / max(1.0, c[:, -1].sum()), 1e-3, 1 - 1e-3)
+        views.odds[h] = np.log((c[1, :-1] + SMOOTH * rate) / (c[0, :-1] + SMOOTH * (1 - rate))) - np.log(rate / (1 - rate))
+    cells, sizes, todo = views.cells(own, True), [b.size for b in views.bins], [0, 1]
+    views.weights = [np.zeros(d) for d in sizes]  # from nought, since steps from weights that are sure of their rows overshoot
     for _ in range(12):
-        weights = [v.weights for v in views]
-        total = [_sums(*own[v], weights[v]) for v in (0, 1)]
-        if rounds:
-
-            def of(key, cells, weights=weights, todo=tuple(todo)):
-                given, out = _handed(key, cells, rounds)[1:], []
-                for v in (0, 1):
-                    on = given[v] >= 0 if v in todo else np.zeros(len(key), dtype=bool)
-                    out.append(_sums(cells[v][on], given[v][on], weights[v]).ravel())
+        total = [_sums(cells[v], y, views.weights[v]) for v in (0, 1)]
+        if handed is not None:
+
+            def of(b, views=views, todo=tuple(todo)):
+                out = [np.zeros((d + 1) * d) for d in sizes]
+                if 0 in todo:
+                    rows, marks = to_text(b)
+                    out[0] = _sums(views.cells(rows, True)[0], marks, views.weights[0]).ravel()
+                if 1 in todo:
+                    out[1] = _sums(*to_meta(b), views.weights[1]).ravel()
                 return np.concatenate(out)
 
             lengths = [(d + 1) * d for d in sizes]
-            got = np.split(_added(pool, (sum(lengths),), of), [lengths[0]])
+            got = np.split(_added(handed, (sum(lengths),), of, deep), [lengths[0]])
             total = [t + g.reshape(t.shape) for t, g in zip(total, got, strict=True)]
         for v in list(todo):
             ridge = np.full(sizes[v], PENALTY)
             ridge[-1] = 1e-3
-            step = np.linalg.solve(total[v][:-1] + np.diag(ridge), total[v][-1] - ridge * weights[v])
-            views[v].weights = weights[v] + step
-            if np.abs(step).max() < 1e-4:
+            step = np.linalg.solve(total[v][:-1] + np.diag(ridge), total[v][-1] - ridge * views.weights[v])
+            views.weights[v] = views.weights[v] + step
+            if np.abs(step).max() < 1e-2:
                 todo.remove(v)
         if not todo:
             break
 
 
-def _bounds(pool: DataFrame, weights: list[np.ndarray], rounds: list, quota: list[int]) -> list[list[tuple[int, float]]]:
+def _bounds(pool: DataFrame, views: Views, quota: list[int], deep: bool = False) -> list[list[tuple[int, float]]]:
     """By view and label: the bin from which rows are handed over, and the share of that bin's rows."""
-    width = 30 * 256 + 1
+    width = 30 * SHARP + 1
 
-    def of(key, cells):
-        left, out = _handed(key, cells, rounds)[0], np.zeros((2, 2, width))
-        for v in (0, 1):
-            z = _logit(cells[v], weights[v])[left]
+    def of(b):
+        out = np.zeros((2, 2, width))
+        for v, z in enumerate(views.logits(Rows.of(b))):
             for label, side in ((1, z), (0, -z)):
                 k = _bin(side)
                 out[v, label] += np.bincount(k[k >= 0], minlength=width)
         return out
 
-    counts, out = _added(pool, (2, 2, width), of), [[], []]
+    counts, out = _added(pool, (2, 2, width), of, deep), [[], []]
     for v in (0, 1):
         for label in (0, 1):
             above = np.cumsum(counts[v, label][::-1])[::-1]  # rows in the bin or above
@@ -247,33 +352,62 @@ def _bounds(pool: DataFrame, weights: list[np.ndarray], rounds: list, quota: lis
     return out
 
 
-def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, held: np.ndarray, views: tuple[View, View], pool: DataFrame, n: int) -> Model:
-    """x, z: both views of labelled rows; y: labels; held: rows kept for calibration; pool: cells of n unlabelled rows."""
+POOL = "key long, half int, text binary, meta binary, terms binary"
+
+
+def _hand_over(pool: DataFrame, views: Views, bounds: list[list[tuple[int, float]]], folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows left, and those handed over with the labels given to text and metadata (-1: none), written apart."""
+
+    def run(batches):
+        for b in batches:
+            rows = Rows.of(b)
+            given = np.full((2, len(rows)), -1, dtype=np.int32)
+            part = (rows.key.view(np.uint64) * _A >> np.uint64(44)).astype(np.float64) / (1 << 20)
+            for v, z in enumerate(views.logits(rows)):
+                for label, side in ((1, z), (0, -z)):
+                    bound, share = bounds[v][label]
+                    k = _bin(side)
+                    given[1 - v, (k >= 0) & ((k > bound) | ((k == bound) & (part < share)))] = label
+            gone = pa.array((given >= 0).any(axis=0), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(g) for g in given), gone], names=[*b.schema.names, "to_text", "to_meta", "gone"])
+
+    schema = f"{POOL}, to_text int, to_meta int, gone boolean"
+    pool.mapInArrow(run, schema).write.partitionBy("gone").parquet(folder)
+    back = pool.sparkSession.read.schema(schema).parquet(folder)
+    return back.where("not gone").drop("gone", "to_text", "to_meta"), back.where("gone").drop("gone")
+
+
+def co_train(own: Rows, y: np.ndarray, held: np.ndarray, bins: tuple[Bins, Bins], pool: DataFrame, n: int, rounds: int = ROUNDS) -> Model:
+    """own, y: labelled rows; held: those kept for calibration; pool: the n unlabelled rows, columns of `POOL`."""
     if min(len(set(y[held].tolist())), len(set(y[~held].tolist()))) < 2:
         held = np.zeros(len(y), dtype=bool)
-    out, train = Model(), ~held
-    own = [(views[0].cells(x[train]), y[train]), (views[1].cells(z[train]), y[train])]
-    rate, rounds = float(y.mean()), []
-    quota = [int(n * PER_ROUND / SAMPLE * share) for share in (1 - rate, rate)]
-    _fit(views, own, None, [])
-    for _ in range(ROUNDS if n else 0):
-        weights = [v.weights for v in views]
-        rounds.append((weights, _bounds(pool, weights, rounds, quota)))
-        _fit(views, own, pool, rounds)
-    out.text, out.meta = views
-    c = held if held.any() else train
-    a, b = np.clip(out.text.logit(x[c]), -12, 12), np.clip(out.meta.logit(z[c]), -12, 12)
-    out.of_text, out.of_meta = _logistic(a[:, None], y[c], [1, 0]), _logistic(b[:, None], y[c], [1, 0])
-    both = np.column_stack([a * out.of_text[0] + out.of_text[1], b * out.of_meta[0] + out.of_meta[1]])
-    out.both = _logistic(both, y[c], [1, 0, 0])
+    views, handed, folders = Views(bins), None, []
+    rate, parts = float(y.mean()), pool.rdd.getNumPartitions() if n else 0
+    deep = parts > 32
+    quota = [int(n * SHARE * share) for share in (1 - rate, rate)]
+    learn, check = own.take(~held), own.take(held) if held.any() else own
+    y_learn, y_check = y[~held], y[held] if held.any() else y
+    _fit(views, learn, y_learn, None)
+    views.calibrate(check, y_check)
+    for _ in range(rounds if n else 0):
+        folders.append(common.scratch(pool.sparkSession, "quality-round"))
+        pool, new = _hand_over(pool, views, _bounds(pool, views, quota, deep), folders[-1])
+        handed = (new if handed is None else handed.unionByName(new)).coalesce(parts)
+        _fit(views, learn, y_learn, handed, deep)
+        views.calibrate(check, y_check)
+    for f in folders:
+        common.remove(pool.sparkSession, f)
+    out = Model(views=views, prior=float(np.log(rate / (1 - rate))))
+    out.scale = _calibrated(out.both(check)[2], y_check)
     return out
 
 
 def _quantiles(rows: DataFrame) -> list[np.ndarray]:
-    """Edges of `BINS` bins of each measure, over all rows; a value of an edge's own grain lies above the edge."""
+    """Edges of `BINS` bins of each number in `found`, over all rows; a value of an edge's own grain lies above the edge."""
+    width = MEASURES + len(HASHED) + 1
 
     def run(batches):
-        total = [Counter() for _ in range(MEASURES + 3)]
+        total = [Counter() for _ in range(width)]
         for b in batches:
             x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
             for j, t in enumerate(total):
@@ -284,7 +418,7 @@ def _quantiles(rows: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([j] * len(t), pa.int32()), pa.array(list(t), pa.int64()), pa.array(list(t.values()), pa.int64())], names=["j", "grain", "n"])
 
     got, out = rows.select("found").mapInArrow(run, "j int, grain long, n long").groupBy("j", "grain").agg(F.sum("n")).collect(), []
-    for j in range(MEASURES + 3):
+    for j in range(width):
         k, n = np.array(sorted((r[1], r[2]) for r in got if r[0] == j), dtype=np.int64).reshape(-1, 2).T
         upto = np.cumsum(n)
         at = k[np.searchsorted(upto, (upto[-1] - 1) * np.arange(1, BINS) / BINS, side="right")] if len(k) else k
@@ -298,51 +432,74 @@ def _few(df: DataFrame, n: int, sample: int) -> DataFrame:
     return df if n <= sample else df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / n)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+
+
+def _measured(part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Measures, metadata and buckets of a batch."""
+    text, source, lang, n = (part.column(names[c]).to_pylist() for c in ("text", "source", "lang", "n_chars"))
+    found = list(map(features, text))
+    x = np.array([m for m, _ in found], dtype=np.float64).reshape(len(text), MEASURES)
+    z = np.array([metadata(*m) for m in zip(source, lang, n, strict=True)], dtype=np.float64).reshape(len(text), len(HASHED) + 1)
+    return x, z, [t for _, t in found]
+
+
+def _rows(bins: tuple[Bins, Bins], key: np.ndarray, half: np.ndarray, x: np.ndarray, z: np.ndarray, terms: list[np.ndarray]) -> Rows:
+    flat = np.concatenate(terms).astype(np.int64) if terms else np.empty(0, dtype=np.int64)
+    return Rows(key, half, bins[0].cells(x), bins[1].cells(z), flat, np.cumsum([len(t) for t in terms], dtype=np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    marked = known.select("id", F.lit(1).alias("known")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
-    labelled = _few(known, known.count(), sample)
+    n = known.count()
+    labelled, marked = F.broadcast(_few(known, n, sample)), known.select("id").distinct()
+    marked = F.broadcast(marked) if n <= BROADCAST_IDS else marked
+    rows = _inputs(docs, id_col, text_col).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(8)).cast("int"))
+    names = {"text": 1, "source": 2, "lang": 3, "n_chars": 4}
 
     def measured(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                p = part.to_pydict()
-                found = [[*measures(t), *metadata(s, g, n)] for t, s, g, n in zip(p["text"], p["source"], p["lang"], p["n_chars"], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64()))], names=["id", "found"])
+                x, z, terms = _measured(part, names)
+                found = pa.array(list(np.column_stack([x, z])), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), found, pa.array([t.tobytes() for t in terms], pa.binary()), part.column(5)], names=["id", "found", "terms", "half"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>"), folder := common.scratch(docs.sparkSession, "quality-measures"))
-    got = sorted(tuple(r) for r in all_.join(labelled, "id").select(F.xxhash64("id"), "label", "found").collect())
+    all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>, terms binary, half int"), folder := common.scratch(spark, "quality-measures"))
+    got = sorted(tuple(r) for r in all_.join(labelled, "id").select(F.xxhash64("id"), "label", "found", "terms", "half").collect())
     y = np.array([r[1] for r in got], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        common.remove(docs.sparkSession, folder)
+        common.remove(spark, folder)
         return Model(float(y[0]) if len(y) else 1.0)
-    key, xz = np.array([r[0] for r in got], dtype=np.int64), np.array([r[2] for r in got], dtype=np.float64)
     edges = _quantiles(all_)
-    views = View(edges[:MEASURES]), View([np.arange(HASHED), np.arange(HASHED), edges[-1]])
+    bins = Bins([*edges[:MEASURES], GRID]), Bins([*(np.arange(h - 1) + 0.5 for h in HASHED), edges[-1]])
+    key, half = (np.array([r[k] for r in got], dtype=np.int64) for k in (0, 4))
+    xz = np.array([r[2] for r in got], dtype=np.float64)
+    own = _rows(bins, key, half & 1, xz[:, :MEASURES], xz[:, MEASURES:], [np.frombuffer(r[3], dtype=np.uint16) for r in got])
 
     def binned(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            cells = [v.cells(c).astype(np.int16) for v, c in zip(views, (x[:, :MEASURES], x[:, MEASURES:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells)], names=["key", "text", "meta"])
-
-    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), "found")
-    pool = common.written(unlabelled.mapInArrow(binned, "key long, text binary, meta binary"), cells := common.scratch(docs.sparkSession, "quality-cells"))
-    n = pool.count()
-    model = co_train(xz[:, :MEASURES], xz[:, MEASURES:], y, key % 4 == 0, views, pool.coalesce(max(8, n // 200_000)), n)
-    for f in (folder, cells):
-        common.remove(docs.sparkSession, f)
+            x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+            cells = [c.cells(part).astype(np.int16) for c, part in zip(bins, (x[:, :MEASURES], x[:, MEASURES:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells), b.column(3)], names=["key", "half", "text", "meta", "terms"])
+
+    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), F.col("half").bitwiseAND(1).alias("half"), "found", "terms")
+    pool = common.written(unlabelled.mapInArrow(binned, POOL), cells := common.scratch(spark, "quality-cells"))
+    common.remove(spark, folder)
+    # texts, not ids, part training from calibration and the halves, so that copies of a text lie on one side
+    model = co_train(own, y, half >> 1 == 0, bins, pool, pool.count(), rounds)
+    common.remove(spark, cells)
     return model
 
 
-def _scored(model: Model, part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text, source, lang, n = (part.column(names[c]).to_pylist() for c in ("text", "source", "lang", "n_chars"))
-    x = np.array([measures(t) for t in text], dtype=np.float64).reshape(len(text), MEASURES)
-    z = np.array([metadata(*m) for m in zip(source, lang, n, strict=True)], dtype=np.float64).reshape(len(text), 3)
-    return model.scores(x, z)
+def _scores(model: Model, part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if model.constant is not None:
+        return (np.full(part.num_rows, model.constant),) * 3
+    none = np.zeros(part.num_rows, dtype=np.int64)
+    return model.scores(_rows(model.views.bins, none, none, *_measured(part, names)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,10 +511,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in _scored(model, part, names))], names=["doc_id", "text_score", "meta_score", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in _scores(model, part, names))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double")
+    return _inputs(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -368,7 +524,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", limit: floa
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                yield part.filter(pa.array(_scored(model, part, names)[2] >= limit, pa.bool_()))
+                yield part.filter(pa.array(_scores(model, part, names)[2] >= limit, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

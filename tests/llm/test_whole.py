@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, exact_dedup, near_dup, quality, toxicity
+from quillmill.llm import ann, exact_dedup, near_dup, toxicity
 from quillmill.plans.scratch import scratch
 
 
@@ -54,29 +54,6 @@ def test_the_machine_learns_pairs_of_terms_that_say_nothing_alone():
     assert max(m.score(np.array([g])) for g in range(20, 60)) < 0.2
 
 
-def test_quality_takes_all_unlabelled_rows(spark, monkeypatch):
-    """Far more unlabelled rows than `SAMPLE`: pseudo-labels grow with them, and edges are those of all rows."""
-    monkeypatch.setattr(quality, "SAMPLE", 100)
-    monkeypatch.setattr(quality, "PER_ROUND", 5)
-    good = [(i, f"This is sentence {i} of a plain text. It has words like house{i % 7} and tree{i % 11}, and it ends.", "en", "a", 90) for i in range(2000)]
-    bad = [(5000 + i, "!!! | $$ ## " * (3 + i % 9), "en", "b", 60) for i in range(500)]
-    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(5000 + i, 0) for i in range(20)], "doc_id long, quality int")
-    handed = []
-    fit = quality._fit
-
-    def spy(views, own, pool, rounds):
-        fit(views, own, pool, rounds)
-        if rounds:
-            handed.append(quality._added(pool, (2,), lambda key, cells: np.array([(g >= 0).sum() for g in quality._handed(key, cells, rounds)[1:]])))
-
-    monkeypatch.setattr(quality, "_fit", spy)
-    out = quality.score(docs, quality.train(docs, labels)).collect()
-    assert all((r.score >= 0.5) == (r.doc_id < 5000) for r in out) and len(out) == 2500
-    assert len(handed) == 4 and handed[-1].max() > 4 * 5 * 2  # the old limit is 20 a view
-    assert handed[0].max() <= 0.05 * 2420 * 1.3
-
-
 def test_near_dup_nodes_with_repeated_members(spark):
     """Nodes of different members never have one content, even where each member comes twice."""
     rows = [(n, r) for n, rs in ((1, (10, 11)), (2, (12, 13))) for r in rs for _ in (0, 1)]
