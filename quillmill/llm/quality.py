@@ -24,8 +24,10 @@ table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,21 +51,14 @@ HASHED = (128, 32, 128)
 #: Edges of the bins of the words' log-odds, and of Newton's and the bounds' log-odds the sharpness.
 GRID = np.arange(-4, 4.01, 0.25)
 SHARP = 256
+#: Bytes of a text that are hashed at a time.
+CHUNK = 1 << 20
 #: Labelled ids up to this number are broadcast, as 16 bytes each.
 BROADCAST_IDS = 500_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = zlib.crc32(word.encode("utf-8"))
-        return h
-
-
-_hashes = _Hashes()
 LOWER, UPPER, DIGIT, ODD, BAR, CALL, STOP, ASK, HALF = range(1, 10)
 
 
@@ -83,17 +78,57 @@ def _kinds() -> np.ndarray:
     return np.array([HALF if 0xD800 <= k < 0xE000 else kind(chr(k)) for k in range(1 << 16)], dtype=np.uint8)
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    out = []
+    for base in (int(_A), pow(int(_A), -1, 1 << 64)):
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_space = re.compile(rb"[ \t-\r]").search
+
+
+def _words(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of its bytes times powers, from the whole text's prefix sums."""
+    out, at = [np.empty(0, dtype=np.uint64)], 0
+    while at < len(data):
+        cut = _space(data, at + CHUNK)  # a chunk ends at white space
+        end = cut.start() if cut else len(data)
+        x = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        inside = np.concatenate([[False], ~SPACE[x], [False]])
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        power, back = _powers(1 << max(16, (end - at).bit_length()))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + _B) * power[: len(x)])])
+        out.append((sums[ends] - sums[starts]) * back[starts])
+        at = end
+    return np.concatenate(out)
+
+
+def _once(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct values of a non-empty array, and how often the commonest comes."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], int((np.concatenate([first[1:], [len(x)]]) - first).max())
+
+
 def features(text: str | None) -> tuple[list[float], np.ndarray]:
-    """Measures of the whole text, and the distinct buckets of its words and pairs of neighbouring words."""
-    words = (text or "").split()
-    if not words:
+    """Measures of the whole text, and the distinct buckets of its words and pairs of neighbouring words.
+
+    Words part at ASCII white space."""
+    text = text or ""
+    h = _words(text.encode("utf-8", "surrogatepass"))
+    if not len(h):
         return [0.0] * MEASURES, np.empty(0, dtype=np.uint16)
-    n, chars = len(words), len(text)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
-    pairs = np.unique((h[:-1] * _A + h[1:]) * _B)
-    own, times = np.unique(h, return_counts=True)
-    turns = np.flatnonzero(h[1:] != h[:-1])
-    longest = int(np.diff(turns, prepend=-1, append=n - 1).max())
+    n, chars = len(h), len(text)
+    own, times = _once(h)
+    pairs = _once((h[:-1] * _A + h[1:]) * _B)[0] if n > 1 else h[:0]
+    turns = np.concatenate([[-1], np.flatnonzero(h[1:] != h[:-1]), [n - 1]])
+    longest = int((turns[1:] - turns[:-1]).max())
     c = np.bincount(_kinds()[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")], minlength=10)
     letters, upper, odd = c[LOWER] + c[UPPER], c[UPPER], c[ODD] + c[BAR] + c[CALL] + c[ASK]
     if c[HALF]:  # characters of two units
@@ -104,7 +139,7 @@ def features(text: str | None) -> tuple[list[float], np.ndarray]:
     found = [
         np.log1p(n),
         len(own) / n**0.9,
-        times.max() / n,
+        times / n,
         longest / n,
         longest,
         len(pairs) / n,
@@ -118,7 +153,7 @@ def features(text: str | None) -> tuple[list[float], np.ndarray]:
         len(set(lines)) / len(lines),
         (c[CALL] + c[STOP] + c[ASK]) / n,
     ]
-    return found, np.unique(np.concatenate([own * _B, pairs]) >> np.uint64(64 - 13)).astype(np.uint16)
+    return found, _once((np.concatenate([own * _B, pairs]) >> np.uint64(64 - 13)).astype(np.uint16))[0]
 
 
 def metadata(source: str | None, lang: str | None, n_chars) -> list[float]:
@@ -142,6 +177,19 @@ class Bins:
         return np.stack([np.searchsorted(self.edges[first + j], x[:, j], side="right") + self.starts[first + j] for j in range(x.shape[1])], axis=1)
 
 
+def _packed(terms: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Ascending buckets as their numbers by page of 256, and their last bytes: half the size."""
+    pages = (np.bincount(t >> 8, minlength=TERMS >> 8).astype(np.uint16).tobytes() for t in terms)
+    return pa.array(pages, pa.binary()), pa.array((t.astype(np.uint8).tobytes() for t in terms), pa.binary())
+
+
+def _unpacked(pages: bytes, last: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all rows, and the ends of each row's."""
+    n = np.frombuffer(pages, dtype=np.uint16).reshape(-1, TERMS >> 8)
+    page = np.repeat(np.tile(np.arange(TERMS >> 8, dtype=np.uint16), len(n)), n.ravel())
+    return (page << 8) + np.frombuffer(last, dtype=np.uint8), np.cumsum(n.sum(axis=1, dtype=np.int64))
+
+
 class Rows:
     """Some rows' features: key (hash of the id), half (of the text), cells of measures and metadata, buckets of words."""
 
@@ -150,15 +198,10 @@ class Rows:
 
     @classmethod
     def of(cls, b: pa.RecordBatch) -> Rows:
-        """Of a batch of the columns key, half, text, meta, terms."""
-        text, meta, terms = (b.column(j).to_pylist() for j in (2, 3, 4))
-        return cls(
-            b.column(0).to_numpy(),
-            b.column(1).to_numpy(),
-            *(np.frombuffer(b"".join(x), dtype=np.int16).reshape(len(x), n).astype(np.int64) for x, n in ((text, MEASURES), (meta, len(HASHED) + 1))),
-            np.frombuffer(b"".join(terms), dtype=np.uint16).astype(np.int64),
-            np.cumsum([len(t) // 2 for t in terms], dtype=np.int64),
-        )
+        """Of a batch of the columns of `POOL`."""
+        n, bytes_of = b.num_rows, lambda j: b"".join(b.column(j).to_pylist())
+        cells = (np.frombuffer(bytes_of(j), dtype=np.int16).reshape(n, k).astype(np.int64) for j, k in ((2, MEASURES), (3, len(HASHED) + 1)))
+        return cls(b.column(0).to_numpy(), b.column(1).to_numpy(), *cells, *_unpacked(bytes_of(4), bytes_of(5)))
 
     def __len__(self):
         return len(self.key)
@@ -167,6 +210,12 @@ class Rows:
         sizes = np.diff(self.ends, prepend=0)
         return Rows(self.key[on], self.half[on], self.text[on], self.meta[on], self.terms[np.repeat(on, sizes)], np.cumsum(sizes[on]))
 
+    def parts(self, n: int = 1024) -> Iterator[Rows]:
+        for at in range(0, len(self), n):
+            first = int(self.ends[at - 1]) if at else 0
+            ends = self.ends[at : at + n]
+            yield Rows(self.key[at : at + n], self.half[at : at + n], self.text[at : at + n], self.meta[at : at + n], self.terms[first : int(ends[-1])], ends - first)
+
 
 class Views:
     """Both views: log-odds of words by half of the rows (odds[h]: from the rows not in half h), weights of bins."""
@@ -178,11 +227,13 @@ class Views:
 
     def cells(self, rows: Rows, apart: bool) -> tuple[np.ndarray, np.ndarray]:
         """apart: rows took part in training, so the log-odds of their words come from the other half."""
-        sizes = np.diff(rows.ends, prepend=0)
-        each = self.odds[np.repeat(rows.half, sizes), rows.terms] if apart else self.odds.mean(axis=0)[rows.terms]
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        said = (sums[rows.ends] - sums[rows.ends - sizes]) / np.sqrt(np.maximum(sizes, 1))
-        return np.column_stack([rows.text, self.bins[0].cells(said[:, None], MEASURES)]), rows.meta
+        said, mean = [np.empty(0)], self.odds.mean(axis=0)
+        for part in rows.parts():
+            sizes = np.diff(part.ends, prepend=0)
+            each = self.odds[np.repeat(part.half, sizes), part.terms] if apart else mean[part.terms]
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            said.append((sums[part.ends] - sums[part.ends - sizes]) / np.sqrt(np.maximum(sizes, 1)))
+        return np.column_stack([rows.text, self.bins[0].cells(np.concatenate(said)[:, None], MEASURES)]), rows.meta
 
     def raw(self, rows: Rows) -> list[np.ndarray]:
         return [np.clip(w[c].sum(axis=1) + w[-1], -12, 12) for w, c in zip(self.weights, self.cells(rows, False), strict=True)]
@@ -272,22 +323,23 @@ def _added(rows: DataFrame, shape: tuple[int, ...], of, deep: bool = False) -> n
 
 def _word_counts(rows: Rows, y: np.ndarray) -> np.ndarray:
     """By half and label: rows with each bucket and, last, rows."""
-    out, sizes = np.zeros((2, 2, TERMS + 1)), np.diff(rows.ends, prepend=0)
-    kind = rows.half * 2 + y.astype(np.int64)
-    out.reshape(4, -1)[:, :-1] = np.bincount(np.repeat(kind, sizes) * TERMS + rows.terms, minlength=4 * TERMS).reshape(4, TERMS)
-    out.reshape(4, -1)[:, -1] = np.bincount(kind, minlength=4)
-    return out
+    out, kind = np.zeros((4, TERMS + 1)), rows.half * 2 + y.astype(np.int64)
+    for at, part in enumerate(rows.parts()):
+        k = kind[at * 1024 : at * 1024 + 1024]
+        out[:, :-1] += np.bincount(np.repeat(k, np.diff(part.ends, prepend=0)) * TERMS + part.terms, minlength=4 * TERMS).reshape(4, TERMS)
+        out[:, -1] += np.bincount(k, minlength=4)
+    return out.reshape(2, 2, -1)
 
 
 def _fit(views: Views, own: Rows, y: np.ndarray, handed: DataFrame | None, deep: bool = False) -> None:
     """Fits on labelled rows and on rows handed over (columns of `Rows`, then the labels given to text and metadata)."""
 
     def to_text(b):
-        marks = b.column(5).to_numpy()
+        marks = b.column(6).to_numpy()
         return Rows.of(b.filter(pa.array(marks >= 0))), marks[marks >= 0].astype(np.float64)
 
     def to_meta(b):
-        marks = b.column(6).to_numpy()
+        marks = b.column(7).to_numpy()
         cells = b.column(3).filter(pa.array(marks >= 0)).to_pylist()
         return np.frombuffer(b"".join(cells), dtype=np.int16).reshape(len(cells), len(HASHED) + 1).astype(np.int64), marks[marks >= 0].astype(np.float64)
 
@@ -299,23 +351,26 @@ def _fit(views: Views, own: Rows, y: np.ndarray, handed: DataFrame | None, deep:
         rate = np.clip(c[1, -1] / max(1.0, c[:, -1].sum()), 1e-3, 1 - 1e-3)
         views.odds[h] = np.log((c[1, :-1] + SMOOTH * rate) / (c[0, :-1] + SMOOTH * (1 - rate))) - np.log(rate / (1 - rate))
     cells, sizes, todo = views.cells(own, True), [b.size for b in views.bins], [0, 1]
+    upper = [tuple(np.concatenate([x, e]) for x, e in zip(np.triu_indices(d), (np.full(d, d), np.arange(d)), strict=True)) for d in sizes]
     views.weights = [np.zeros(d) for d in sizes]  # from nought, since steps from weights that are sure of their rows overshoot
     for _ in range(12):
         total = [_sums(cells[v], y, views.weights[v]) for v in (0, 1)]
         if handed is not None:
 
             def of(b, views=views, todo=tuple(todo)):
-                out = [np.zeros((d + 1) * d) for d in sizes]
-                if 0 in todo:
-                    rows, marks = to_text(b)
-                    out[0] = _sums(views.cells(rows, True)[0], marks, views.weights[0]).ravel()
-                if 1 in todo:
-                    out[1] = _sums(*to_meta(b), views.weights[1]).ravel()
+                out = []
+                for v in todo:
+                    rows, marks = to_text(b) if v == 0 else to_meta(b)
+                    out.append(_sums(rows if v else views.cells(rows, True)[0], marks, views.weights[v])[upper[v]])
                 return np.concatenate(out)
 
-            lengths = [(d + 1) * d for d in sizes]
-            got = np.split(_added(handed, (sum(lengths),), of, deep), [lengths[0]])
-            total = [t + g.reshape(t.shape) for t, g in zip(total, got, strict=True)]
+            got, at = _added(handed, (sum(len(upper[v][0]) for v in todo),), of, deep), 0
+            for v in todo:  # a curvature is sent as its upper half
+                d, n = sizes[v], len(upper[v][0])
+                whole = np.zeros((d + 1, d))
+                whole[upper[v]] = got[at : at + n]
+                whole[:-1] += np.triu(whole[:-1], 1).T
+                total[v], at = total[v] + whole, at + n
         for v in list(todo):
             ridge = np.full(sizes[v], PENALTY)
             ridge[-1] = 1e-3
@@ -352,7 +407,7 @@ def _bounds(pool: DataFrame, views: Views, quota: list[int], deep: bool = False)
     return out
 
 
-POOL = "key long, half int, text binary, meta binary, terms binary"
+POOL = "key long, half int, text binary, meta binary, pages binary, last binary"
 
 
 def _hand_over(pool: DataFrame, views: Views, bounds: list[list[tuple[int, float]]], folder: str) -> tuple[DataFrame, DataFrame]:
@@ -377,26 +432,30 @@ def _hand_over(pool: DataFrame, views: Views, bounds: list[list[tuple[int, float
     return back.where("not gone").drop("gone", "to_text", "to_meta"), back.where("gone").drop("gone")
 
 
-def co_train(own: Rows, y: np.ndarray, held: np.ndarray, bins: tuple[Bins, Bins], pool: DataFrame, n: int, rounds: int = ROUNDS) -> Model:
-    """own, y: labelled rows; held: those kept for calibration; pool: the n unlabelled rows, columns of `POOL`."""
+def co_train(own: Rows, y: np.ndarray, held: np.ndarray, bins: tuple[Bins, Bins], of_pool: str, rounds: int = ROUNDS) -> Model:
+    """own, y: labelled rows; held: those kept for calibration; of_pool: folder of the unlabelled rows, which is used up."""
+    spark = SparkSession.getActiveSession()
+    pool = spark.read.schema(POOL).parquet(of_pool)
+    n = pool.count()
     if min(len(set(y[held].tolist())), len(set(y[~held].tolist()))) < 2:
         held = np.zeros(len(y), dtype=bool)
     views, handed, folders = Views(bins), None, []
     rate, parts = float(y.mean()), pool.rdd.getNumPartitions() if n else 0
-    deep = parts > 32
+    deep = parts > 256
     quota = [int(n * SHARE * share) for share in (1 - rate, rate)]
     learn, check = own.take(~held), own.take(held) if held.any() else own
     y_learn, y_check = y[~held], y[held] if held.any() else y
     _fit(views, learn, y_learn, None)
     views.calibrate(check, y_check)
     for _ in range(rounds if n else 0):
-        folders.append(common.scratch(pool.sparkSession, "quality-round"))
+        folders.append(common.scratch(spark, "quality-round"))
         pool, new = _hand_over(pool, views, _bounds(pool, views, quota, deep), folders[-1])
-        handed = (new if handed is None else handed.unionByName(new)).coalesce(parts)
+        common.remove(spark, f"{folders[-2]}/gone=false" if len(folders) > 1 else of_pool)
+        handed = (new if handed is None else handed.unionByName(new)).coalesce(max(8, parts // 8))
         _fit(views, learn, y_learn, handed, deep)
         views.calibrate(check, y_check)
     for f in folders:
-        common.remove(pool.sparkSession, f)
+        common.remove(spark, f)
     out = Model(views=views, prior=float(np.log(rate / (1 - rate))))
     out.scale = _calibrated(out.both(check)[2], y_check)
     return out
@@ -445,11 +504,6 @@ def _measured(part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray,
     return x, z, [t for _, t in found]
 
 
-def _rows(bins: tuple[Bins, Bins], key: np.ndarray, half: np.ndarray, x: np.ndarray, z: np.ndarray, terms: list[np.ndarray]) -> Rows:
-    flat = np.concatenate(terms).astype(np.int64) if terms else np.empty(0, dtype=np.int64)
-    return Rows(key, half, bins[0].cells(x), bins[1].cells(z), flat, np.cumsum([len(t) for t in terms], dtype=np.int64))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
@@ -465,32 +519,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = b.slice(at, 1024)
                 x, z, terms = _measured(part, names)
                 found = pa.array(list(np.column_stack([x, z])), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), found, pa.array([t.tobytes() for t in terms], pa.binary()), part.column(5)], names=["id", "found", "terms", "half"])
+                yield pa.RecordBatch.from_arrays([part.column(0), found, *_packed(terms), part.column(5)], names=["id", "found", "pages", "last", "half"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>, terms binary, half int"), folder := common.scratch(spark, "quality-measures"))
-    got = sorted(tuple(r) for r in all_.join(labelled, "id").select(F.xxhash64("id"), "label", "found", "terms", "half").collect())
-    y = np.array([r[1] for r in got], dtype=np.float64)
+    all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>, pages binary, last binary, half int"), folder := common.scratch(spark, "quality-measures"))
+    got = all_.join(labelled, "id").select(F.xxhash64("id").alias("key"), F.col("label").cast("double"), "half", "found", "pages", "last").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    key, y, half = (got.column(j).to_numpy() for j in range(3))
     if not len(y) or y.min() == y.max():
         common.remove(spark, folder)
         return Model(float(y[0]) if len(y) else 1.0)
     edges = _quantiles(all_)
     bins = Bins([*edges[:MEASURES], GRID]), Bins([*(np.arange(h - 1) + 0.5 for h in HASHED), edges[-1]])
-    key, half = (np.array([r[k] for r in got], dtype=np.int64) for k in (0, 4))
-    xz = np.array([r[2] for r in got], dtype=np.float64)
-    own = _rows(bins, key, half & 1, xz[:, :MEASURES], xz[:, MEASURES:], [np.frombuffer(r[3], dtype=np.uint16) for r in got])
+    xz = got.column(3).combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    terms = _unpacked(*(b"".join(got.column(j).to_pylist()) for j in (4, 5)))
+    own = Rows(key, half & 1, bins[0].cells(xz[:, :MEASURES]), bins[1].cells(xz[:, MEASURES:]), *terms)
 
     def binned(batches):
         for b in batches:
             x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
             cells = [c.cells(part).astype(np.int16) for c, part in zip(bins, (x[:, :MEASURES], x[:, MEASURES:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells), b.column(3)], names=["key", "half", "text", "meta", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells), b.column(3), b.column(4)], names=["key", "half", "text", "meta", "pages", "last"])
 
-    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), F.col("half").bitwiseAND(1).alias("half"), "found", "terms")
-    pool = common.written(unlabelled.mapInArrow(binned, POOL), cells := common.scratch(spark, "quality-cells"))
+    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), F.col("half").bitwiseAND(1).alias("half"), "found", "pages", "last")
+    unlabelled.mapInArrow(binned, POOL).write.parquet(cells := common.scratch(spark, "quality-cells"))
     common.remove(spark, folder)
     # texts, not ids, part training from calibration and the halves, so that copies of a text lie on one side
-    model = co_train(own, y, half >> 1 == 0, bins, pool, pool.count(), rounds)
+    model = co_train(own, y, half >> 1 == 0, bins, cells, rounds)
     common.remove(spark, cells)
     return model
 
@@ -498,8 +552,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scores(model: Model, part: pa.RecordBatch, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if model.constant is not None:
         return (np.full(part.num_rows, model.constant),) * 3
-    none = np.zeros(part.num_rows, dtype=np.int64)
-    return model.scores(_rows(model.views.bins, none, none, *_measured(part, names)))
+    none, bins, (x, z, terms) = np.zeros(part.num_rows, dtype=np.int64), model.views.bins, _measured(part, names)
+    flat = np.concatenate([np.empty(0, dtype=np.uint16), *terms])
+    return model.scores(Rows(none, none, bins[0].cells(x), bins[1].cells(z), flat, np.cumsum([len(t) for t in terms], dtype=np.int64)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -101,3 +101,12 @@ def test_a_view_that_tells_nothing_hands_over_nothing(spark):
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(400)], "doc_id long, quality int")
     out = quality.score(docs, quality.train(docs, labels)).collect()
     assert all(0.5 < r.meta_score < 0.97 for r in out) and all((r.score >= 0.5) == (r.doc_id % 5 > 0) for r in out)
+
+
+def test_chunks_change_nothing(monkeypatch):
+    text = " ".join(["a" * 40, "bb", "é中", "x\ty\r\nz", "", "bb"] * 30)
+    whole = quality.features(text)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(quality, "CHUNK", n)
+        x, terms = quality.features(text)
+        assert x == whole[0] and (terms == whole[1]).all()
