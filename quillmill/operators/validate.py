@@ -97,6 +97,8 @@ def syntax_errors(blocks: Column) -> Column:
                 ast.parse(code)
             except (SyntaxError, ValueError) as e:
                 out.append(f"Code block {k + 1} may have syntax errors: {e}")
+            except (MemoryError, RecursionError):
+                out.append(f"Code block {k + 1} may have syntax errors: too deeply nested to parse")
         return out
 
     def run(all_: pd.Series) -> pd.Series:

@@ -8,6 +8,8 @@ from quillmill.functions.text import WORD, WS
 from quillmill.operators import dedup, generate, query, repair, score, series, temporal, validate
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
+from quillmill.plans.scratch import scratch
+from quillmill.sources.files import read_json
 from quillmill.sources.html import clean_html
 from quillmill.sources.records import to_samples
 
@@ -147,7 +149,21 @@ d AS (SELECT group_id, CAST(sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS BIGINT) AS
 b AS (SELECT *, lag(t) OVER (PARTITION BY group_id ORDER BY idx) AS p FROM k),
 g AS (SELECT group_id, count(*) AS n, count(DISTINCT variation_id) = count(*) AND min(variation_id) = 1 AND max(variation_id) = count(*) AS sequential, count(*) FILTER (t < p) = 0 AS chronological FROM b GROUP BY group_id)"""
 
+
+
+def _json_shapes(s, d):
+    """Documents written as JSON files of several shapes, 50 to a file, and read back with one pattern."""
+    rows = F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("question"), F.col("text").alias("output"), F.array("source").alias("data"))
+    files = table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("g")).agg(F.to_json(F.sort_array(F.collect_list(rows))).alias("list"))
+    shape = F.pmod("g", F.lit(4))
+    named = [F.concat(F.lit(f'{{"n": 1, "{k}": '), "list", F.lit("}")) for k in ("data", "samples", "examples")]
+    text = F.when(shape == 0, F.col("list")).when(shape == 1, named[0]).when(shape == 2, named[1]).otherwise(named[2])
+    files.select("g", text.alias("value")).write.partitionBy("g").text(folder := scratch(s, "json-shapes"))
+    return to_samples(read_json(s, f"{folder}/g=*/*")).select("id", "source_line", "instruction", F.sha2("response", 256).alias("response"))
+
+
 QUERIES = {
+    "json_shapes": _json_shapes,
     "quality_profile": _pipeline,
     "conv_to_samples": lambda s, d: convs(s, d),
     "field_fallback": lambda s, d: to_samples(docs(s, d).select("idx", F.when(F.pmod("idx", F.lit(3)) == 0, F.col("instruction")).alias("instruction"), F.col("source_type").alias("question"), F.col("response").alias("answer"))).select("idx", "instruction", "response"),
@@ -157,7 +173,7 @@ QUERIES = {
     "remove_invalid": lambda s, d: validate.valid_only(docs(s, d)).select("idx", "source_type"),
     "validate_math": lambda s, d: convs(s, d).select("idx", F.array_join(validate.math_warnings(F.col("response")), "|").alias("warnings")),
     "validate_qa": lambda s, d: convs(s, d).select("idx", F.array_join(validate.qa_warnings(F.col("instruction"), F.col("response")), "|").alias("warnings")),
-    "code_blocks": lambda s, d: convs(s, d).select("idx", F.array_join(validate.code_blocks(F.concat(F.lit("```py\n"), "response", F.lit("\n```\n"), "instruction")), "|").alias("blocks")),
+    "code_blocks": lambda s, d: convs(s, d).select("idx", F.array_join(validate.code_blocks(F.replace("response", F.lit(" the "), F.lit("```"))), "|").alias("blocks")),
     "validate_code": lambda s, d: convs(s, d).select("idx", F.size(validate.code_warnings(F.col("response"))).alias("n")),
     "score_components": _scored,
     "score_conversations": lambda s, d: score.score(convs(s, d)).select("idx", *[F.round(c, 9).alias(c) for c in NAMES]),
@@ -212,6 +228,7 @@ NUMBERED = f"list_transform({USABLE}, lambda l: CASE WHEN regexp_matches(l, '\\A
 BARE = f"list_transform({NUMBERED}, lambda l: regexp_replace({_strip(r"regexp_replace(l, '\A[-*•]+', '')")}, '{QUOTES}', '', 'g'))"
 
 SQL = {
+    "json_shapes": "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS INTEGER) AS source_line, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
     "parse_variations": f"WITH {DOCS} SELECT idx, array_to_string(list_filter({BARE}, lambda v: length(v) > 15 AND lower(v) <> lower(instruction)), '|') AS v FROM docs",
     "clean_fact": f"{CLEAN_SQL} SELECT idx, nullif(f, '') AS fact FROM s{len(FACT_STEPS)}",
     "quality_profile": FLAGSHIP_SQL,
@@ -225,7 +242,8 @@ SQL = {
       CASE WHEN NOT {_any('response', ['+', '-', '*', '/', '=', '^'])} THEN 'Response may not contain mathematical notation' END], lambda x: x IS NOT NULL), '|') AS warnings FROM convs""",
     "validate_qa": f"""WITH {CONVS} SELECT idx, array_to_string(list_filter([CASE WHEN NOT {QUESTION} THEN 'Instruction may not be a question' END,
       CASE WHEN length(response) < length(instruction) THEN 'Response may be too short relative to question' END], lambda x: x IS NOT NULL), '|') AS warnings FROM convs""",
-    "code_blocks": f"WITH {CONVS} SELECT idx, CASE WHEN contains(response || instruction, '```') THEN NULL ELSE {_strip('response')} END AS blocks FROM convs",
+    "code_blocks": f"""WITH {CONVS} SELECT idx, array_to_string(list_transform(list_filter(string_split(replace(response, ' the ', '```'), '```'), lambda p, i: i % 2 = 0),
+      lambda p: {_strip(f"CASE WHEN contains(p, {NL}) THEN substr(p, strpos(p, {NL}) + 1) ELSE p END")}), '|') AS blocks FROM convs""",
     "score_components": f"{DOC_BASE}{SCORED} SELECT idx, {ROUNDED} FROM scored",
     "score_conversations": f"{CONV_BASE}{SCORED} SELECT idx, {ROUNDED} FROM scored",
     "thresholds": f"{DOC_BASE}{SCORED} {THRESHOLDS_SQL}",

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import logging
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip
 from quillmill.sources.records import to_samples
 
+log = logging.getLogger("quillmill.sources")
+#: Names under which a JSON file keeps its list, the first of them that occurs.
+LISTS = ("data", "samples", "examples")
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".parquet": "parquet", ".txt": "txt"}
 
 
@@ -15,14 +22,32 @@ def _located(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def json_items(value: Column) -> Column:
+    """The records in a file's text, as JSON texts: of a list, of the list under data, samples or examples, or the one
+    record. Null if the text is none of these."""
+    head, keys = F.regexp_extract(value, r"\A\s*(.)", 1), F.json_object_keys(value)
+    inner = F.coalesce(*[F.when(F.array_contains(keys, k), F.struct(F.get_json_object(value, f"$.{k}").alias("list"))) for k in LISTS])
+    listed = F.when(inner.isNull(), F.array(value)).otherwise(F.from_json(inner["list"], "array<string>"))
+    return F.when(head == "[", F.from_json(value, "array<string>")).when((head == "{") & keys.isNotNull(), listed)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, a record with data, samples or examples, or one record."""
-    df = _located(spark.read.json(path, multiLine=True))
-    for key in ("data", "samples", "examples"):
-        if key in df.columns and df.schema[key].dataType.typeName() == "array":
-            return df.select("source_file", F.posexplode(key)).select(F.col("col.*"), "source_file", (F.col("pos") + 1).alias("source_line"))
-    at = F.row_number().over(Window.partitionBy("source_file").orderBy(F.monotonically_increasing_id()))  # a JSON file is read by one task
-    return df.withColumn("source_line", at)
+    """Records of JSON files, each file by its own shape (see `json_items`), numbered from 1.
+
+    Files are read whole, so a file goes to one task. A file that isn't JSON of such a shape is left out with a warning, an
+    item that isn't an object is left out but counted."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), json_items(F.col("value")).alias("items"))
+    rows = whole.select("source_file", F.posexplode("items").alias("at", "line")).where(F.startswith("line", F.lit("{")))
+    kind = F.schema_of_variant_agg(F.try_parse_json("line"))
+    bad = whole.where("items is null").agg(F.count(F.lit(1)), F.min("source_file")).first()
+    if bad[0]:
+        log.warning("%d files of %s hold no JSON records, such as %s", bad[0], path, bad[1])
+    found = rows.agg(kind).first()[0]
+    if not found.startswith("OBJECT<"):
+        return rows.select("source_file", (F.col("at") + 1).alias("source_line")).limit(0)
+    schema = re.sub(r"(: |ARRAY<)(VOID|VARIANT)(?=[,>])", r"\1STRING", found).replace("OBJECT<", "STRUCT<")
+    out = rows.select(F.from_json("line", schema).alias("r"), "source_file", (F.col("at") + 1).alias("source_line")).where("r is not null")
+    return out.select("r.*", "source_file", "source_line")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +103,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.row_index") + 1).alias("source_line"))
+    """The schema is merged over all files, since Spark takes any one file's otherwise, corrupt or not."""
+    return spark.read.options(ignoreCorruptFiles="true", mergeSchema="true").parquet(path).select("*", F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.row_index") + 1).alias("source_line"))
 
 
 def read_marked_text(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +121,10 @@ READERS = {"json": read_json, "jsonl": read_jsonl, "csv": read_csv, "parquet": r
 
 
 def load(spark: SparkSession, paths: str | list[str], **fields) -> DataFrame:
-    """Samples of all files, by suffix; a path may be a pattern. No path at all is an error."""
+    """Samples of all files, by suffix; a path may be a pattern. No path at all is an error.
+
+    A pattern without files and a suffix without a reader are left out with a warning, and so are files that can't be read
+    (Spark logs those of Parquet and text); if nothing is left, there are no rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no path given")
@@ -103,7 +132,18 @@ def load(spark: SparkSession, paths: str | list[str], **fields) -> DataFrame:
     for p in paths:
         kind = next((k for s, k in SUFFIXES.items() if p.rstrip("/").endswith(s)), None)
         if kind is None:
-            raise ValueError(f"no reader for {p}")
-        df = to_samples(READERS[kind](spark, p), **fields)
+            log.warning("no reader for %s", p)
+            continue
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            log.warning("no file matches %s", p)
+            continue
+        try:
+            df = to_samples(READERS[kind](spark, p), **fields)
+        except AnalysisException as e:
+            log.warning("can't read %s: %s", p, e)
+            continue
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], "source_file string, source_line int, instruction string, response string")
     return out.withColumn("source_type", F.lit("fileloader"))

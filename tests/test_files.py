@@ -52,3 +52,38 @@ def test_codec(spark):
     back = records.decode(lines.union(spark.createDataFrame([("{bad",), ("[1]",), ("7",)], "line string"))).collect()
     assert [(r.id, r.instruction, r.tags, r.quality_score) for r in back] == [("x", 'say "hi"', ["t", "u"], 0.5), (None, "é😀", None, None), (None, "i", [], None), (None, "i", None, None)]
     assert json.loads(back[0].custom_json) == {"group_id": "g", "n": {"k": [1, 2.5]}} and back[1].custom_json is None
+
+
+def test_each_json_file_by_its_own_shape(spark, tmp_path, caplog):
+    texts = {
+        "list": '\n [{"question": "a", "output": "1", "data": [1, 2]}, 7, "x", null, {"question": "b", "output": "2", "data": "text"}]',
+        "data": '{"data": [{"question": "c", "output": "3", "n": 1.5}], "samples": [{"question": "no", "output": "no"}]}',
+        "samples": '{"samples": [{"question": "d", "output": "4"}, {"question": "e", "output": {"k": [1]}}]}',
+        "examples": '{"x": 1, "examples": [{"question": "f", "output": "6"}]}',
+        "one": '{"question": "g", "output": "7"}',
+        "null": '{"data": null}',
+        "scalar": "7",
+        "bad": '{"question": "h", "output": ',
+        "cut": '[{"question": "i", "output": "9"}, {"que',
+        "empty": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    with caplog.at_level("WARNING", "quillmill.sources"):
+        got = files.load(spark, [f"{tmp_path}/*.json", f"{tmp_path}/*.jsonl", f"{tmp_path}/a.docx"]).collect()
+    found = {(r.source_file.rsplit("/", 1)[1][:-5], r.source_line): (r.instruction, r.response) for r in got}
+    assert {k: v for k, v in found.items() if k[0] != "cut"} == {
+        ("list", 1): ("a", "1"), ("list", 5): ("b", "2"), ("data", 1): ("c", "3"), ("samples", 1): ("d", "4"), ("samples", 2): ("e", '{"k":[1]}'),
+        ("examples", 1): ("f", "6"), ("one", 1): ("g", "7"),
+    }
+    said = " ".join(r.getMessage() for r in caplog.records)
+    assert "hold no JSON records" in said and "no file matches" in said and "no reader" in said
+    assert {r.data for r in got if r.data} == {"[1,2]", "text"}
+    assert files.load(spark, [f"{tmp_path}/*.csv"]).count() == 0 and files.read_json(spark, f"{tmp_path}/scalar.json").count() == 0
+
+
+def test_a_corrupt_file_is_left_out(spark, tmp_path):
+    spark.createDataFrame([("i", "r")], "instruction string, response string").coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    (next((tmp_path / "a.parquet").glob("*.parquet")).parent / "c.parquet").write_bytes(b"PAR1 not really")
+    (tmp_path / "b.parquet").write_bytes(b"PAR1 not really")
+    assert [r.instruction for r in files.load(spark, [f"{tmp_path}/b.parquet", f"{tmp_path}/a.parquet"]).collect()] == ["i"]

@@ -196,3 +196,11 @@ def test_html():
 def test_config_layers():
     c = Config({"dev": {"extends": "base", "llm": {"timeout": 5}}, "base": {"llm": {"timeout": 1, "top_p": 0.5}}}, "dev", {"x": 1}, {"QM_STORAGE__BASE_PATH": "/d"})
     assert (c.get("llm.timeout"), c.get("llm.top_p"), c.get("x"), c.get("storage.base_path"), c.get("no.such", 7)) == (5, 0.5, 1, "/d", 7)
+
+
+def test_code_of_any_depth(spark):
+    """Code that the parser gives up on has a message, and the job goes on."""
+    deep = ["(" * 5000 + ")" * 5000, "-" * 200_000 + "1", "[" * 90 + "]" * 90, "x = " + "+".join(["1"] * 100_000), "def f(:", "ok = 1"]
+    df = spark.createDataFrame([(k, f"```py\n{c}\n```") for k, c in enumerate(deep)], "idx int, response string")
+    got = {r.idx: len(r.w) for r in df.select("idx", validate.code_warnings(F.col("response")).alias("w")).collect()}
+    assert got[0] == got[1] == got[4] == 1 and got[2] == got[5] == 0 and len(got) == 6
