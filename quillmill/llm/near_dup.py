@@ -5,11 +5,15 @@ class. `TREES` independent trees then branch the classes: a node picks one, at t
 hash of its path (2 with probability `SECOND`, so that a pair at the threshold survives each level about once on
 average) and deals its members out by the least value. Nodes of up to `SMALL` classes are compared exhaustively on the
 full sets; larger ones branch again. A node whose members hardly part (`DENSE`), or that is left after `LEVELS`, is
-compared whole in blocks of `BLOCK` x `BLOCK`, each a task of its own, so that no task grows with a group. A pair of
+compared whole: first with `PIVOTS` of its members, and what the links with them leave open (by the triangle inequality of
+1 - similarity) in pairs of blocks of `BLOCK` members and `BLOCK_BYTES` at most, each a task of its own. So a family of near
+copies costs a few comparisons a member, and no task grows with a group; only members of a dense node that are linked with
+no pivot, or lie between stars, meet in all pairs. A pair of
 similarity s meets in the first level of one of T trees with probability 1 - (1 - s)^T, above 0.9999999 at s = 0.85 and
 T = 12; deeper levels are only reached where many documents share their least values.
 
-A block emits the spanning forest of its links, not the pairs, and every link is confirmed on the full sets. Nodes with
+A block emits the spanning forest of its links, not the pairs, and every link is confirmed on the full sets. Shingles are
+64-bit hashes throughout, so two shingles count as one if their hashes are equal (by chance once in 10^19 pairs). Nodes with
 the same members in several trees are compared once. Components come from the distributed star algorithm.
 
 Defined cases: null and empty texts, and texts without words, have the empty set, are linked with nothing and stay;
@@ -22,10 +26,12 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.operators.components import components
 
@@ -40,6 +46,9 @@ SECOND = 0.4
 DENSE = 0.8
 LEVELS = 10
 BLOCK = 512
+BLOCK_BYTES = 32 << 20
+PIVOTS = 16
+HASH_JOIN, HASH_BYTES = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -123,8 +132,9 @@ def _sets(rows: DataFrame, words: int, functions: int) -> DataFrame:
     return rows.mapInArrow(run, "rep long, hashes binary, least array<long>")
 
 
-def links(sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links of some sets; with sides, of links between the two sides only."""
+def links(sets: list[np.ndarray], percent: int, sides: list[int] | None = None, stars: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of some sets; with sides, of links between the two sides only; sets of one star (-1:
+    of none) are known to be in one component and not linked."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     if n == 2:
@@ -146,6 +156,9 @@ def links(sets: list[np.ndarray], percent: int, sides: list[int] | None = None)
     if sides is not None:
         s = np.array(sides)
         linked &= s[:, None] != s[None, :]
+    if stars is not None:
+        s = np.array(stars)
+        linked &= (s[:, None] != s[None, :]) | (s[:, None] < 0)
     root, out = list(range(n)), []
 
     def top(x):
@@ -161,36 +174,137 @@ def links(sets: list[np.ndarray], percent: int, sides: list[int] | None = None)
     return out
 
 
+def _runs(batches, columns: list[str]):
+    """Rows of batches as tuples of the columns, those of equal first column as one list."""
+    of, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            if row[0] != of and held:
+                yield held
+                held = []
+            of = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of tasks, whose rows (task, cross, side, rep, hashes) lie together in each partition."""
+    """Links of tasks, whose rows (task, cross, side, star, rep, hashes) lie together in each partition."""
+
+    def run(batches):
+        for held in _runs(batches, ["task", "cross", "side", "star", "rep", "hashes"]):
+            if len(held) > 1:
+                _, cross, sides, stars, reps, hashes = zip(*held, strict=True)
+                found = links([np.frombuffer(h, dtype=np.uint64) for h in hashes], percent, sides if cross[0] else None, stars)
+                yield _pairs([(reps[a], reps[b]) for a, b in found if reps[a] != reps[b]])
+
+    return rows.mapInArrow(run, "src long, dst long")
+
+
+def _beside_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """node, rep, n, star (the first pivot linked, -1: none), joined (further pivots linked), near (pivots that anything linked
+    with the row may be linked with). Rows: task, node, pivot (its number; null for members), rep, n, hashes; in each
+    partition, a task's pivots come before its members, which are held one at a time."""
 
     def run(batches):
-        task, cross, held = None, False, []
+        task, pivots, out = None, [], []
 
-        def close():
-            out = links([np.frombuffer(h, dtype=np.uint64) for _, h, _ in held], percent, [s for *_, s in held] if cross else None) if len(held) > 1 else []
-            return [(held[a][0], held[b][0]) for a, b in out if held[a][0] != held[b][0]]
+        def index():
+            values, owner = np.concatenate(pivots), np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
+            values, at = np.unique(values, return_inverse=True)
+            holds = np.zeros((len(values), len(pivots)), dtype=np.int32)
+            holds[at, owner] = 1
+            return values, holds, np.array([len(p) for p in pivots])
+
+        def batch():
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["node", "rep", "n", "star", "joined", "near"])
 
         for b in batches:
-            part, out = b.to_pydict(), []
-            for t, c, s, r, h in zip(part["task"], part["cross"], part["side"], part["rep"], part["hashes"], strict=True):
+            for t, node, pivot, rep, n, hashes in zip(*(b.column(c).to_pylist() for c in ("task", "node", "pivot", "rep", "n", "hashes")), strict=True):
                 if t != task:
-                    out += close()
-                    task, cross, held = t, c, []
-                held.append((r, h, s))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in close()], pa.int64()) for i in (0, 1)], names=["src", "dst"])
-
-    return rows.mapInArrow(run, "src long, dst long")
+                    task, pivots, values = t, [], None
+                x = np.frombuffer(hashes, dtype=np.uint64)
+                if pivot is not None:
+                    pivots.append(x)
+                    continue
+                if values is None:
+                    values, holds, sizes = index()
+                at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                both = holds[at[values[at] == x]].sum(axis=0)
+                union = sizes + len(x) - both
+                linked = np.flatnonzero((100 * both >= percent * union) & (both > 0)).tolist()
+                # 1 - similarity is a metric: what is linked with both lies within two of its bounds
+                near = np.flatnonzero(100 * both >= (2 * percent - 100) * union).tolist()
+                out.append((node, rep, n, linked[0] if linked else -1, linked[1:], near))
+            yield batch()
+            out = []
+
+    return rows.mapInArrow(run, "node long, rep long, n long, star int, joined array<int>, near array<int>")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _labels(pairs: pd.Series) -> pd.Series:
+    """The least pivot of each pivot's component, of pairs as a * PIVOTS + b."""
+
+    def of(found):
+        label = list(range(PIVOTS))
+        for x in found:
+            a, b = sorted((label[x // PIVOTS], label[x % PIVOTS]))
+            label = [a if k == b else k for k in label]
+        return label
+
+    return pairs.map(of)
+
+
+def _contracted(large: DataFrame, sets: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Links of members with their node's pivots, and the members (node, rep, n, star) left to compare with each other.
+
+    Members linked with pivots of one component need no further comparison among them; a pair of two stars, or of a star
+    and a member of none, can only be linked if each is near a pivot of the other's star."""
+    order = Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep")
+    pivots = large.withColumn("pivot", F.row_number().over(order) - 1).where(F.col("pivot") < PIVOTS)
+    pivots = keep(pivots.select("node", "rep", "n", "blocks", "pivot"), "pivots")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = pivots.select("node", "rep", "n", at.alias("block"), "pivot").unionByName(
+        large.select("node", "rep", "n", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).alias("block"), F.lit(None).cast("int").alias("pivot"))
+    )
+    rows = rows.withColumn("task", F.xxhash64("node", "block")).join(sets.select("rep", "hashes"), "rep")
+    found = keep(_beside_pivots(rows.repartition("task").sortWithinPartitions("task", F.asc_nulls_last("pivot")), percent), "beside")
+    joined = found.select("node", "star", F.explode("joined").alias("other")).distinct()
+    labels = joined.groupBy("node").agg(F.collect_set(F.col("star") * PIVOTS + F.col("other")).alias("pairs")).select("node", _labels("pairs").alias("labels"))
+    by_pivot = pivots.select("node", F.col("pivot").alias("star"), F.col("rep").alias("dst"))
+    links_ = found.where("star >= 0").select("node", F.col("rep").alias("src"), "star").join(by_pivot, ["node", "star"]).select("src", "dst")
+    also = joined.join(by_pivot, ["node", "star"]).select("node", F.col("other").alias("star"), F.col("dst").alias("src")).join(by_pivot, ["node", "star"]).select("src", "dst")
+    # written, so that AQE may split the joins with a node of many members
+    labels = keep(large.select("node").distinct().join(labels, "node", "left"), "labels")
+    label = lambda x: F.coalesce(F.element_at("labels", x + 1), x)
+    found = found.join(labels, "node").withColumn("star", F.when(F.col("star") >= 0, label(F.col("star"))).otherwise(-1))
+    found = found.withColumn("near", F.array_distinct(F.transform("near", label)))
+    wanted = keep(found.where("star < 0").select("node", F.explode("near").alias("star")).distinct().withColumn("wanted", F.lit(True)), "wanted")
+    found = found.join(wanted, ["node", "star"], "left")
+    beside = F.size(F.filter("near", lambda x: x != F.col("star"))) > 0
+    left = found.where((F.col("star") < 0) | beside | F.col("wanted")).select("node", "rep", "n", "star")
+    return links_.unionByName(also), keep(left, "left")
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """node, size, content: of nodes with two members or more. Partial counts go before the shuffle.
+    """node, size, total (of n), content: of nodes with two members or more. Partial counts go before the shuffle.
 
     Content is sums of hashes, which no repeated member cancels; as decimals, they don't overflow.
     """
     content = F.concat_ws(",", *[F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(20,0)")) for k in (0, 1)], F.count(F.lit(1)))
-    return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), content.alias("content")).where("size > 1")
+    return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), content.alias("content")).where("size > 1")
+
+
+def _blocks(size: Column | str, total: Column | str) -> Column:
+    """Blocks of a node of so many members and shingles."""
+    size, total = (F.col(x) if isinstance(x, str) else x for x in (size, total))
+    return F.greatest(F.ceil(size / BLOCK), F.least(F.ceil(8 * total / BLOCK_BYTES), size)).cast("long")
 
 
 def groups(
@@ -205,19 +319,23 @@ def groups(
         return common.written(df, folders[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = common.written(_prints(rows, words, trees), common.scratch(spark, "near-prints"))
-    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    prints = common.written(_prints(rows, words, trees), common.scratch(spark, "near-prints"))  # read by the result
+    classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     # classes go by their digest, since an id may have several texts
-    classes = classes.withColumn("rep", F.xxhash64("digest"))
-    classes = common.written(classes, common.scratch(spark, "near-classes"))
+    classes = keep(classes.withColumn("rep", F.xxhash64("digest")), "classes")
 
     # the first level of all trees; then branch what is too large
-    nodes = classes.select(F.explode("keys").alias("node"), "rep")
+    nodes = classes.select(F.explode("keys").alias("node"), "rep", "n")
     # sizes are written, so that both sides of a join with them are dealt anew and AQE may split a hot node
     members = keep(nodes.join(keep(_sized(nodes), "sizes"), "node"), "level")
     candidates = members.select("rep").distinct().join(classes.select("rep", "digest", F.col("id").alias("doc_id")), "rep")
-    texts = rows.join(candidates.hint("shuffle_hash"), "doc_id")
-    sets = keep(_sets(texts, words, FUNCTIONS), "sets")
+    before = spark.conf.get(HASH_JOIN)
+    spark.conf.set(HASH_JOIN, HASH_BYTES)  # a hash join where all partitions of the candidates are that small, else by sorting
+    try:
+        sets = keep(_sets(rows.join(candidates, "doc_id"), words, FUNCTIONS), "sets")
+    finally:
+        spark.conf.set(HASH_JOIN, before)
     final = [members.where(F.col("size") <= SMALL)]
     large = members.where(F.col("size") > SMALL)
     for level in range(LEVELS):
@@ -229,40 +347,45 @@ def groups(
         twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * SECOND)
         at = F.explode(F.when(twice, F.array(*pick)).otherwise(F.array(pick[0])))
         below = large.withColumnRenamed("size", "above").withColumn("at", at).join(sets.select("rep", "least"), "rep")
-        below = keep(below.select(F.xxhash64("node", "at", F.element_at("least", F.col("at").cast("int"))).alias("node"), "rep", "above"), "level")
+        below = keep(below.select(F.xxhash64("node", "at", F.element_at("least", F.col("at").cast("int"))).alias("node"), "rep", "n", "above"), "level")
         members = keep(below.join(keep(_sized(below), "sizes"), "node"), "level")
         ends = (F.col("size") <= SMALL) | (F.col("size") > DENSE * F.col("above"))
         final.append(members.where(ends).drop("above"))
         large = members.where(~ends).drop("above")
     final.append(large)
-    final = [f.select("node", "rep", "size", "content") for f in final]
+    final = [f.select("node", "rep", "n", "size", "total", "content") for f in final]
     ready = final[0]
     for f in final[1:]:
         ready = ready.unionByName(f)
     ready = keep(ready, "nodes")
     once = ready.groupBy("content").agg(F.min("node").alias("node"))
-    ready = ready.join(once.select("node"), "node", "left_semi")
-
-    # blocks of a node; a pair of blocks is a task
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    ready = ready.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")))
+    ready = keep(ready.join(once.select("node"), "node", "left_semi").withColumn("blocks", _blocks("size", "total")), "once")
+
+    # members of large nodes are held against pivots first; blocks of what is left, a pair of blocks a task
+    by_pivot, left = _contracted(ready.where("blocks > 1"), sets, percent, keep)
+    of_node = keep(left.groupBy("node").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")), "left-sizes")
+    ready = ready.where("blocks = 1").select("node", "rep", F.lit(-1).alias("star"), "blocks")
+    ready = ready.unionByName(left.join(of_node, "node").select("node", "rep", "star", "blocks"))
+    ready = ready.withColumn("mine", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")))
     ready = ready.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = ready.select(
         F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"),
         (F.col("mine") != F.col("other")).alias("cross"),
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "star",
         "rep",
     )
     tasks = tasks.join(sets.select("rep", "hashes"), "rep").repartition("task").sortWithinPartitions("task")
-    edges = keep(_compared(tasks, percent), "links")
+    edges = keep(_compared(tasks, percent).unionByName(by_pivot), "links")
     for side in ("src", "dst"):
         edges = edges.join(classes.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id")), side)
     edges = keep(edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).where("src != dst"), "edges")
-    found = common.written(components(edges), common.scratch(spark, "near-components"))
+    found = keep(components(edges), "components")
+    of_class = classes.join(found, classes["id"] == found["vertex"], "left").select("digest", F.coalesce("component", "id").alias("component"))
+    of_class = common.written(of_class, common.scratch(spark, "near-of-class"))
     for f in folders:
         common.remove(spark, f)
 
-    of_class = classes.join(found, classes["id"] == found["vertex"], "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = prints.drop("keys").join(of_class, "digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))

@@ -57,7 +57,7 @@ def test_the_machine_learns_pairs_of_terms_that_say_nothing_alone():
 def test_near_dup_nodes_with_repeated_members(spark):
     """Nodes of different members never have one content, even where each member comes twice."""
     rows = [(n, r) for n, rs in ((1, (10, 11)), (2, (12, 13))) for r in rs for _ in (0, 1)]
-    got = near_dup._sized(spark.createDataFrame(rows, "node long, rep long")).collect()
+    got = near_dup._sized(spark.createDataFrame(rows, "node long, rep long").withColumn("n", F.lit(1))).collect()
     assert len({r.content for r in got}) == 2 and {r.size for r in got} == {4}
 
 
