@@ -265,7 +265,13 @@ def _contracted(large: DataFrame, sets: DataFrame, percent: int, keep) -> tuple[
     """Links of members with their node's pivots, and the members (node, rep, n, star) left to compare with each other.
 
     Members linked with pivots of one component need no further comparison among them; a pair of two stars, or of a star
-    and a member of none, can only be linked if each is near a pivot of the other's star."""
+    and a member of none, can only be linked if each is near a pivot of the other's star. The nodes of a family, one or more
+    in each tree, nearly always share their member of least hash: nodes with one such lead are taken together first."""
+    lead = F.min(F.struct(F.xxhash64("rep").alias("hash"), "rep"))["rep"]
+    lead = keep(large.groupBy("node").agg(lead.alias("lead")), "leads")
+    large = keep(large.join(lead, "node").select(F.col("lead").alias("node"), "rep", "n").distinct(), "families")
+    of_node = keep(large.groupBy("node").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")), "family-sizes")
+    large = keep(large.join(of_node, "node"), "large")
     order = Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep")
     pivots = large.withColumn("pivot", F.row_number().over(order) - 1).where(F.col("pivot") < PIVOTS)
     pivots = keep(pivots.select("node", "rep", "n", "blocks", "pivot"), "pivots")

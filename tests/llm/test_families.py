@@ -69,8 +69,8 @@ def test_a_family_takes_linear_work(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_beside_pivots", spy("pivots", beside))
     got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
-    # some 25 dense nodes of nearly all members, and 16 pivots to each block of 20
-    assert count["pivots"] < 50 * 1500 * (1 + 16 / 20) and count["blocks"] < 30 * 1500
+    # a few families of nearly all members, and 16 pivots to each block of 20
+    assert count["pivots"] < 6 * 1500 * (1 + 16 / 20) and count["blocks"] < 3 * 1500
 
 
 def test_blocks_are_bounded_in_bytes(spark):
