@@ -52,7 +52,7 @@ HASHED = (128, 32, 128)
 GRID = np.arange(-4, 4.01, 0.25)
 SHARP = 256
 #: Bytes of a text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Labelled ids up to this number are broadcast, as 16 bytes each.
 BROADCAST_IDS = 500_000
 

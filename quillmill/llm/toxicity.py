@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +108,13 @@ def paired(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     d, place = max(1, len(pool)), np.full(len(seen), -1, dtype=np.int32)
     place[pool] = np.arange(len(pool))
     short = [p[p >= 0] for p in (place[x] for x in rows)]
-    order = np.argsort(np.concatenate(short), kind="stable").astype(np.int32)
-    holds = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in short])[order]
+    low = max(1, len(rows).bit_length())
+    held = np.empty(sum(map(len, short)), dtype=np.int64)
+    for r, (end, x) in enumerate(zip(np.cumsum([len(x) for x in short]), short, strict=True)):
+        held[end - len(x) : end] = x.astype(np.int64) << low | r
+    held.sort()
+    holds = (held & ((1 << low) - 1)).astype(np.int32)
+    del held
     ends = np.cumsum([0, *seen[pool].astype(np.int64)])
 
     def count(which: np.ndarray) -> np.ndarray:
@@ -147,7 +153,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     seen, hits = _counts(rows, labels)
     known = evidence(hits, seen, rate) >= EVIDENCE
     # copies of a row are no further evidence of its pairs
-    apart = list({(x.tobytes(), y): k for k, (x, y) in enumerate(zip(rows, labels, strict=True))}.values())
+    apart = list({(xxhash.xxh3_128_digest(x), y): k for k, (x, y) in enumerate(zip(rows, labels, strict=True))}.values())
     known[paired([rows[k] for k in apart], labels[apart])] = True
     rows = [x[known[x]] for x in rows]
     rng = np.random.default_rng(seed)
@@ -186,9 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
             found = [terms(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "label", "terms"])
 
-    got = texts.select("text", F.xxhash64("id").alias("key"), "label").mapInArrow(run, "key long, label int, terms binary").collect()
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
-    return fit([np.frombuffer(r[2], dtype=np.int32) for r in got], np.array([r[1] for r in got], dtype=np.float64))
+    got = texts.select("text", F.xxhash64("id").alias("key"), "label").mapInArrow(run, "key long, label int, terms binary").toArrow()
+    got = got.sort_by([("key", "ascending"), ("label", "ascending"), ("terms", "ascending")])
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("terms")]
+    return fit(rows, got.column("label").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
