@@ -114,7 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, make:
         case "generate", "self-instruct":
             rows = written(generate.self_instruct(store.load(a.seeds), model, a.per_seed, a.target), scratch(spark, "instructed"))
             number = F.row_number().over(Window.orderBy("seed", "instruction", "response")) - 1  # `target` rows at most
-            rows = rows.select(number.cast("long").alias("idx"), "*", F.lit("generated").alias("source_type"), F.array(F.lit("self-instruct")).alias("tags"))
+            rows = rows.select(number.cast("long").alias("idx"), "*")
             rows = rows.withColumns({"quality_score": F.lit(None).cast("double"), "review_status": F.lit("pending")})
             say(json.dumps({"sample_count": store.save(rows, a.name, "parquet")["sample_count"]}))
         case "generate", "temporal-facts":

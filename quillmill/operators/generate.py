@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import WS, strip
+from quillmill.sources.records import generated_samples
 
 #: Prefixes of fallback variations, words of lines that aren't variations, markers that end a fact.
 PREFIXES = ["According to reports, ", "It was reported that ", "Sources indicate that ", "Officials confirmed that ", "Data shows that "]
@@ -97,13 +98,31 @@ def generated(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "p
     return df.mapInArrow(run, df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
-def self_instruct(seeds: DataFrame, make: Callable[[], TextGenerator], per_seed: int = 5, target: int = 100) -> DataFrame:
-    """instruction, response, seed: new instructions after each seed, then their answers; short ones are dropped."""
+#: The seeds of a run that names none.
+SEEDS = [
+    "Write a function to calculate the factorial of a number",
+    "Explain the concept of object-oriented programming",
+    "Describe how to make a basic web server",
+    "Write a poem about nature",
+    "Explain the Pythagorean theorem",
+    "Describe the water cycle",
+    "Write a tutorial on binary search",
+    "Explain quantum computing in simple terms",
+    "Describe the process of photosynthesis",
+    "Write a guide to basic data structures",
+]
+
+
+def self_instruct(seeds: DataFrame | None, make: Callable[[], TextGenerator], per_seed: int = 5, target: int = 100) -> DataFrame:
+    """instruction, response, seed, and metadata: new instructions after each seed (`SEEDS` if there are none), then their
+    answers; short ones are dropped."""
+    if seeds is None:
+        seeds = SparkSession.active().createDataFrame([(x,) for x in SEEDS], "instruction string")
     ask = F.concat(F.lit("Write one new instruction, different from this one: "), F.col("seed"), F.lit(" Number "), F.col("k").cast("string"))
     rows = seeds.select(F.col("instruction").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(per_seed))).alias("k")).withColumn("prompt", ask)
     rows = generated(rows, make, out="instruction").where(F.length("instruction") >= 20)
     rows = generated(rows.withColumn("prompt", F.col("instruction")), make, out="response").where(F.length("response") >= 50)
-    return rows.select("instruction", "response", "seed").limit(target)
+    return generated_samples(rows.limit(target), ("self_instruct",), ("seed",), seed_task=F.col("seed"), generation_index=F.col("k") - 1)
 
 
 def evolve(instructions: DataFrame, make: Callable[[], TextGenerator], rounds: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from quillmill.plans.pipeline import Pipeline
 from quillmill.plans.scratch import scratch
 from quillmill.sources.files import read_json
 from quillmill.sources.html import clean_html
-from quillmill.sources.records import to_samples
+from quillmill.sources.records import generated_samples, hub_samples, to_samples
 
 NL = "chr(10)"
 
@@ -164,6 +164,12 @@ def _json_shapes(s, d):
 
 QUERIES = {
     "json_shapes": _json_shapes,
+    "hub_defaults": lambda s, d: hub_samples(table(s, d, "documents").select("doc_id", F.col("lang").alias("prompt"), F.col("text").alias("target"), F.col("source").alias("author")), "corpus", "doc_id").select(
+        "doc_id", "id", "source_type", "source_url", "author", F.size("tags").alias("n_tags"), "instruction", F.sha2("response", 256).alias("response")
+    ),
+    "generated_metadata": lambda s, d: generated_samples(docs(s, d), ("made", "x"), author=F.col("source_type"), seed_task=F.col("source_type"), generation_index=F.col("idx")).select(
+        "source_type", "author", F.array_join("tags", ",").alias("tags"), "custom_json"
+    ),
     "quality_profile": _pipeline,
     "conv_to_samples": lambda s, d: convs(s, d),
     "field_fallback": lambda s, d: to_samples(docs(s, d).select("idx", F.when(F.pmod("idx", F.lit(3)) == 0, F.col("instruction")).alias("instruction"), F.col("source_type").alias("question"), F.col("response").alias("answer"))).select("idx", "instruction", "response"),
@@ -228,6 +234,8 @@ NUMBERED = f"list_transform({USABLE}, lambda l: CASE WHEN regexp_matches(l, '\\A
 BARE = f"list_transform({NUMBERED}, lambda l: regexp_replace({_strip(r"regexp_replace(l, '\A[-*•]+', '')")}, '{QUOTES}', '', 'g'))"
 
 SQL = {
+    "hub_defaults": "SELECT doc_id, 'corpus_' || doc_id AS id, 'datasetloader' AS source_type, 'https://huggingface.co/datasets/corpus' AS source_url, source AS author, CAST(0 AS INTEGER) AS n_tags, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
+    "generated_metadata": """SELECT 'generated' AS source_type, source AS author, 'made,x' AS tags, '{"seed_task":"' || source || '","generation_index":' || doc_id || '}' AS custom_json FROM documents""",
     "json_shapes": "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS INTEGER) AS source_line, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
     "parse_variations": f"WITH {DOCS} SELECT idx, array_to_string(list_filter({BARE}, lambda v: length(v) > 15 AND lower(v) <> lower(instruction)), '|') AS v FROM docs",
     "clean_fact": f"{CLEAN_SQL} SELECT idx, nullif(f, '') AS fact FROM s{len(FACT_STEPS)}",

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.operators import query
+
 FORMATS = ("jsonl", "json", "csv", "parquet")
 
 
@@ -51,11 +53,26 @@ class Store:
             "sample_count": self.read(path, format, samples.schema).count(),
             "created_at": catalog.get(name, {}).get("created_at", now),
             "updated_at": now,
+            "statistics": self.statistics(self.read(path, format, samples.schema)),
             "custom_metadata": metadata if metadata is not None else catalog.get(name, {}).get("custom_metadata", {}),
         }
         self._put(catalog)
         return catalog[name]
 
+    @staticmethod
+    def statistics(samples: DataFrame) -> dict:
+        """Counts by source type, tag and review status, and the quality scores' mean, std, min and max, where there are any."""
+        names = {"source": "source_types", "tag": "tags", "status": "review_statuses"}
+        needed = {"source_type": "string", "tags": "array<string>", "review_status": "string", "quality_score": "double"}
+        df = samples.select(*[(F.col(c).cast(t) if c in samples.columns else F.lit(None).cast(t)).alias(c) for c, t in needed.items()])
+        out: dict = {n: {} for n in names.values()}
+        for r in query.distributions(df).where("kind != 'quality'").orderBy("kind", "value").collect():
+            out[names[r.kind]][r.value] = r.n
+        q = query.store_metadata(df).first()
+        if q.n_scored:
+            out["quality_statistics"] = {k: q[k] for k in ("mean", "std", "min", "max")}
+        return out if q.n else {}
+
     def read(self, path: str, format: str, schema: T.StructType) -> DataFrame:
         if format == "parquet":
             return self.spark.read.parquet(path)

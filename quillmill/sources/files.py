@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip
-from quillmill.sources.records import to_samples
+from quillmill.sources.records import hub_samples, to_samples
 
 log = logging.getLogger("quillmill.sources")
 #: Names under which a JSON file keeps its list, the first of them that occurs.
@@ -147,3 +147,17 @@ def load(spark: SparkSession, paths: str | list[str], **fields) -> DataFrame:
     if out is None:
         out = spark.createDataFrame([], "source_file string, source_line int, instruction string, response string")
     return out.withColumn("source_type", F.lit("fileloader"))
+
+
+def load_hub(spark: SparkSession, base: str, name: str, split: str = "train", subset: str | None = None, **fields) -> DataFrame:
+    """Samples of a hub data set's export, base/name[/subset]/split*.parquet or .jsonl, numbered over its files from 0."""
+    if not name:
+        raise ValueError("a data set needs a name")
+    stem = "/".join([base.rstrip("/"), name, *([subset] if subset else []), split])
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{stem}*.parquet")
+    parquet = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    rows = read_parquet(spark, f"{stem}*.parquet") if parquet else read_jsonl(spark, f"{stem}*.jsonl")
+    earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = rows.groupBy("source_file").agg(F.max("source_line").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rows = rows.join(before.drop("n"), "source_file").withColumn("idx", F.col("before") + F.col("source_line") - 1).drop("before")
+    return hub_samples(rows, name, **fields)

@@ -66,6 +66,38 @@ def to_samples(df: DataFrame, instruction: str | None = None, response: str | No
     return out.where("instruction is not null and instruction != '' and response is not null and response != ''")
 
 
+def hub_samples(df: DataFrame, name: str, number: str = "idx", **fields) -> DataFrame:
+    """Samples of a hub export's rows, numbered by a column: id (the row's own, else name_number), address, tags, licence
+    and author."""
+    own = lambda c, default: F.col(c) if c in df.columns else F.lit(default)
+    tags = F.col("tags").cast("array<string>") if "tags" in df.columns else F.array().cast("array<string>")
+    df = df.withColumns(
+        {
+            "id": F.col("id").cast("string") if "id" in df.columns else F.concat(F.lit(f"{name}_"), F.col(number).cast("string")),
+            "source_type": F.lit("datasetloader"),
+            "source_url": F.lit(f"https://huggingface.co/datasets/{name}"),
+            "tags": F.coalesce(tags, F.array().cast("array<string>")),
+            "license": own("license", None).cast("string"),
+            "author": own("author", None).cast("string"),
+        }
+    )
+    return to_samples(df, hub=True, **fields)
+
+
+def generated_samples(df: DataFrame, tags: tuple[str, ...] = (), keep: tuple[str, ...] = (), **metadata: Column) -> DataFrame:
+    """instruction, response, the columns to keep, source_type, tags, the named metadata given, and custom_json with all other metadata."""
+    custom = [c.alias(k) for k, c in metadata.items() if k not in METADATA]
+    return df.select(
+        "instruction",
+        "response",
+        *keep,
+        F.lit("generated").alias("source_type"),
+        F.array(*map(F.lit, tags)).cast("array<string>").alias("tags"),
+        *[c.alias(k) for k, c in metadata.items() if k in METADATA and k not in ("source_type", "tags")],
+        (F.to_json(F.struct(*custom)) if custom else F.lit("{}")).alias("custom_json"),
+    )
+
+
 #: Types of the metadata fields, in the order of METADATA.
 METADATA_TYPES = ["string", "string", "string", "int", "string", "string", "string", "array<string>", "double", "string"]
 

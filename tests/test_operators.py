@@ -204,3 +204,41 @@ def test_code_of_any_depth(spark):
     df = spark.createDataFrame([(k, f"```py\n{c}\n```") for k, c in enumerate(deep)], "idx int, response string")
     got = {r.idx: len(r.w) for r in df.select("idx", validate.code_warnings(F.col("response")).alias("w")).collect()}
     assert got[0] == got[1] == got[4] == 1 and got[2] == got[5] == 0 and len(got) == 6
+
+
+def test_config_files(tmp_path):
+    for name, text in (("a.json", '{"llm": {"timeout": 5}}'), ("a.yaml", "llm:\n  timeout: 5\n")):
+        (tmp_path / name).write_text(text)
+        c = Config(user=str(tmp_path / name), environ={"QM_LLM__TOP_P": "0.5"})
+        assert c.get("llm.timeout") == 5 and c.get("llm.top_p") == 0.5 and c.get("storage.base_path") == "datasets"
+        c.save(str(tmp_path / f"saved-{name}"))
+        assert Config(user=str(tmp_path / f"saved-{name}"), environ={}).data == c.data
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    for name in ("bad.json", "list.yaml", "none.yaml"):
+        assert Config(user=str(tmp_path / name), environ={}).data == Config(environ={}).data
+
+
+def test_store_statistics(spark, tmp_path):
+    rows = [("i", "r", "a", ["x", "y"], 0.5, "approved"), ("i", "r", "a", ["x"], 1.0, "pending"), ("i", "r", "b", None, None, "pending")]
+    df = spark.createDataFrame(rows, "instruction string, response string, source_type string, tags array<string>, quality_score double, review_status string")
+    store = Store(spark, f"file://{tmp_path}")
+    got = store.save(df, "s")["statistics"]
+    assert got == {"source_types": {"a": 2, "b": 1}, "tags": {"x": 2, "y": 1}, "review_statuses": {"approved": 1, "pending": 2}, "quality_statistics": {"mean": 0.75, "std": 0.25, "min": 0.5, "max": 1.0}}
+    assert store.save(df.limit(0), "e")["statistics"] == {} and store.catalog()["s"]["statistics"] == got
+
+
+def test_self_instruct_without_seeds(spark):
+    got = generate.self_instruct(None, generate.EchoGenerator, per_seed=2, target=1000).collect()
+    assert {r.seed for r in got} == set(generate.SEEDS) and got[0].tags == ["self_instruct"] and got[0].source_type == "generated"
+    assert {json.loads(r.custom_json)["generation_index"] for r in got} == {0, 1} and all(json.loads(r.custom_json)["seed_task"] == r.seed for r in got)
+
+
+def test_hub_splits(spark, tmp_path):
+    for part, n in (("train-0", 3), ("train-1", 2), ("test-0", 1)):
+        rows = [{"prompt": f"{part}-{k}", "target": "t" if k != 1 else None, "tags": ["g"], "license": "MIT"} for k in range(n)]
+        (tmp_path / "d" / "en").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "d" / "en" / f"{part}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = sorted((r.id, r.instruction, r.source_url.endswith("/d"), r.tags, r.license, r.author) for r in files.load_hub(spark, str(tmp_path), "d", subset="en").collect())
+    assert got == [(f"d_{k}", i, True, ["g"], "MIT", None) for k, i in ((0, "train-0-0"), (2, "train-0-2"), (3, "train-1-0"))]
+    assert files.load_hub(spark, str(tmp_path), "d", "test", "en").count() == 1
