@@ -70,19 +70,29 @@ def similar_pairs(samples: DataFrame, field: str = "instruction", threshold: flo
     """i, j, sim between first samples of different texts, and each other sample with the first of its text (sim 1)."""
     rows = samples.select("idx", F.coalesce(F.col(field).cast("string"), F.lit("")).alias("t"))
     firsts = rows.groupBy("t").agg(F.min("idx").alias("first"))
-    counts = F.array(*[F.length("t") - F.length(F.replace("t", F.lit(c))) for c in LETTERS])
-    counts = F.concat(counts, F.array(F.length(F.translate("t", LETTERS, ""))))
-    firsts = written(firsts.select("t", "first", F.length("t").alias("n"), counts.alias("c")), scratch(samples.sparkSession, "near-texts"))
+    counts = [*(F.length("t") - F.length(F.replace("t", F.lit(c))) for c in LETTERS), F.length(F.translate("t", LETTERS, ""))]
+    names = [f"c{k}" for k in range(len(counts))]  # plain columns, so that their bound is compiled into the join
+    firsts = firsts.select("t", "first", F.length("t").alias("n"), *[c.alias(m) for c, m in zip(counts, names, strict=True)])
+    firsts = written(firsts, scratch(samples.sparkSession, "near-texts"))
     same = rows.join(firsts, "t").where(F.col("idx") != F.col("first")).select(F.col("first").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("sim"))
     # lengths a <= b can reach t only if b / a <= (2 - t) / t; one band is that wide, so partners lie in bands k and k + 1
     step = math.log((2 - threshold) / threshold) if threshold < 1 else 1e-9
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / step).cast("long")
-    left = firsts.select(F.col("first").alias("i"), F.col("t").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.explode(F.array(band, band + 1, band - 1)).alias("band"))
-    right = firsts.select(F.col("first").alias("j"), F.col("t").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), band.alias("band"))
-    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)  # no subsequence is longer
+    of = lambda i, n, side: (F.col("first").alias(i), F.col("n").alias(n), *[F.col(m).alias(side + m) for m in names])
+    # a band's pairs are dealt to tasks by salts of their left rows; few bytes but much work, so the number of tasks is set
+    spark, salts = samples.sparkSession, 1 + firsts.count() // 500
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = firsts.select(*of("i", "na", "a"), F.explode(F.array(band, band + 1, band - 1)).alias("band"), F.pmod(F.xxhash64("first"), F.lit(salts)).alias("salt"))
+    right = firsts.select(*of("j", "nb", "b"), band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
+    left, right = (x.repartition(tasks, "band", "salt") for x in (left, right))
+    common = sum((F.least(f"a{m}", f"b{m}") for m in names), F.lit(0))  # no subsequence is longer
     needed = (threshold - 1e-9) * (F.col("na") + F.col("nb"))
     near = (F.col("i") < F.col("j")) & (2.0 * F.least("na", "nb") >= needed)
-    pairs = left.join(right, "band").where(near).where(2.0 * common >= needed).select("i", "j", "a", "b")
+    pairs = left.join(right, ["band", "salt"]).where(near).where(2.0 * common >= needed).select("i", "j")
+    # texts join what is left of the pairs
+    for i, t in (("i", "a"), ("j", "b")):
+        pairs = pairs.join(firsts.select(F.col("first").alias(i), F.col("t").alias(t)), i)
+    pairs = pairs.repartition(tasks, "i", "j")
 
     @F.pandas_udf("double")
     def sim(a: pd.Series, b: pd.Series) -> pd.Series:
