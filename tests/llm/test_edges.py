@@ -163,3 +163,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert stage(spark, base.limit(0), str(tmp_path)).count() == 0, name
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {3, 4, 5, 6, 7, 8}
+
+
+def test_pipeline_on_clashing_columns_and_an_empty_table(spark, docs, tmp_path):
+    """Stages keep extra columns, whatever their names; all five run on no rows."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    named = docs.withColumns({c: F.lit(1) for c in ("id", "label", "rep", "node", "star", "n", "half", "file", "at")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, str(tmp_path))
+        assert out.schema.names == named.columns, name
+        assert 0 < out.count() <= named.count(), name
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
