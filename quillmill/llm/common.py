@@ -63,3 +63,39 @@ def ranges(df: DataFrame, id_: Column, tie: Column, weight: Column, target: int,
     sums = np.cumsum([w for *_, w in rows])
     at = np.searchsorted(sums, sums[-1] * np.arange(1, count) / count)
     return Ranges([rows[i][:2] for i in np.unique(np.minimum(at, len(rows) - 1))])
+
+
+def words(text: str | None) -> list[bytes]:
+    """The words of a text: what stands between ASCII white space."""
+    return (text or "").encode("utf-8").split()
+
+
+def interned(found: list) -> np.ndarray:
+    """A number from 0 for each item, equal items alike."""
+    of: dict = {}
+    return np.fromiter((of.setdefault(w, len(of)) for w in found), dtype=np.int64, count=len(found))
+
+
+def window_numbers(ids: np.ndarray, size: int) -> np.ndarray:
+    """A number for each window of `size` (a power of 2) items, equal windows alike: exact, by doubling."""
+    out, step = ids, 1
+    while step < size:
+        if len(out) <= step:
+            return out[:0]
+        _, out = np.unique(out[:-step] * (int(out.max()) + 1) + out[step:], return_inverse=True)
+        step *= 2
+    return out
+
+
+def hash_bound(n: int, sample: int) -> int:
+    """The 64-bit hashes of about 1.1 times `sample` (and 100) of n rows lie below it; of any number, as it isn't rounded to a grain."""
+    return min(-(1 << 63) + ((1 << 64) * (11 * sample + 1000)) // (10 * n), (1 << 63) - 1)
+
+
+def few(df: DataFrame, sample: int, key: str = "id") -> DataFrame:
+    """The rows of df if they are `sample` at most, else that many: those of least hash of the key, sorted out of few more."""
+    n = df.count()
+    if n <= sample:
+        return df
+    h = F.xxhash64(key)
+    return df.where(h < F.lit(hash_bound(n, sample))).orderBy(h, key).limit(sample)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, near_dup, packing, quality, sharding, toxicity, url_filter, warc
+from . import ann, audit, bpe, exact_dedup, line_crf, near_dup, packing, periodic, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_ann": ann.query,
     "op9_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_periodic": periodic.query,
+    "op12_audit": audit.query,
+    "op13_line_crf": line_crf.query,
 }
-SQL = {"op4_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op4_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_audit": audit.SQL}
