@@ -79,9 +79,9 @@ def test_lines_of_a_mixed_text(spark):
     docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     field = line_crf.train(docs, labels)
     good = "The thore of the anere is onthe that, and thoning as hered by the rest of it."
-    mixed = "\n".join([good, "And %%% thing&&& ouer*** ther$$$ anded### of%%% the&&& ting*** onare$$$ ed###", "BUY!! NOW!! ALL!! OF!! IT!! BUY!! NOW!! ALL!! OF!! IT!!", good])
-    (r,) = line_crf.label(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), field).collect()
-    assert r.lines == [True, False, False, True]
+    mixed = "\n".join([good] * 4 + ["And %%% thing&&& ouer*** ther$$$ anded### of%%% the&&& ting*** onare$$$ ed###", "BUY!! NOW!! ALL!! OF!! IT!! BUY!! NOW!! ALL!! OF!! IT!!"])
+    rows = line_crf.label(spark.createDataFrame([(1, "\n".join([good] * 3)), (2, mixed)], "doc_id long, text string"), field).orderBy("doc_id").collect()
+    assert rows[0].lines == [True] * 3 and rows[1].lines[-2:] == [False, False] and rows[1].content_share < 1
 
 
 def test_edges(spark):
