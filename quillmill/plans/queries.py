@@ -9,7 +9,7 @@ from quillmill.operators import dedup, generate, query, repair, score, series, t
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
 from quillmill.plans.scratch import scratch
-from quillmill.sources.files import read_json
+from quillmill.sources.files import load, read_json
 from quillmill.sources.html import clean_html
 from quillmill.sources.records import generated_samples, hub_samples, to_samples
 
@@ -162,8 +162,31 @@ def _json_shapes(s, d):
     return to_samples(read_json(s, f"{folder}/g=*/*")).select("id", "source_line", "instruction", F.sha2("response", 256).alias("response"))
 
 
+def _csv_headers(s, d):
+    """Documents written as CSV files of three headers, of which one pattern reads each by its own."""
+    df = table(s, d, "documents").withColumn("part", F.pmod("doc_id", F.lit(3)))
+    shapes = [("a.csv", ["doc_id AS id", "lang AS instruction", "text AS response"]), ("B.CSV", ["text AS output", "source AS extra", "lang AS question", "doc_id AS id"]), ("c.csv", ["doc_id AS id", "text AS answer", "lang AS query"])]
+    folder = scratch(s, "csv-headers")
+    for k, (name, columns) in enumerate(shapes):
+        df.where(F.col("part") == k).selectExpr(*columns).write.csv(f"{folder}/{name}", header=True, escape='"')
+    s.range(1).select(F.lit("no samples").alias("value")).write.text(f"{folder}/other.docx")
+    return load(s, f"{folder}/*").select(F.col("id").cast("long").alias("id"), "instruction", F.sha2("response", 256).alias("response"), "extra", "source_type")
+
+
+def _parquet_types(s, d):
+    """Documents written as Parquet files whose columns have other names and types, read with one pattern."""
+    df = table(s, d, "documents").withColumn("part", F.pmod("doc_id", F.lit(3)))
+    folder = scratch(s, "parquet-types")
+    shapes = [["doc_id", "lang AS instruction", "text AS response", "n_chars AS k"], ["doc_id", "lang AS input", "text AS output", "source AS k"], ["doc_id", "array(n_chars) AS k", "text AS completion", "lang AS question"]]
+    for k, columns in enumerate(shapes):
+        df.where(F.col("part") == k).selectExpr(*columns).write.parquet(f"{folder}/{k}.parquet")
+    return load(s, f"{folder}/*.parquet").select("doc_id", "instruction", F.sha2("response", 256).alias("response"), "k")
+
+
 QUERIES = {
     "json_shapes": _json_shapes,
+    "csv_headers": _csv_headers,
+    "parquet_types": _parquet_types,
     "hub_defaults": lambda s, d: hub_samples(table(s, d, "documents").select("doc_id", F.col("lang").alias("prompt"), F.col("text").alias("target"), F.col("source").alias("author")), "corpus", "doc_id").select(
         "doc_id", "id", "source_type", "source_url", "author", F.size("tags").alias("n_tags"), "instruction", F.sha2("response", 256).alias("response")
     ),
@@ -237,6 +260,9 @@ SQL = {
     "hub_defaults": "SELECT doc_id, 'corpus_' || doc_id AS id, 'datasetloader' AS source_type, 'https://huggingface.co/datasets/corpus' AS source_url, source AS author, CAST(0 AS INTEGER) AS n_tags, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
     "generated_metadata": """SELECT 'generated' AS source_type, source AS author, 'made,x' AS tags, '{"seed_task":"' || source || '","generation_index":' || doc_id || '}' AS custom_json FROM documents""",
     "json_shapes": "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS INTEGER) AS source_line, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
+    "csv_headers": "SELECT doc_id AS id, lang AS instruction, sha256(text) AS response, CASE WHEN doc_id % 3 = 1 THEN nullif(source, '') END AS extra, 'fileloader' AS source_type FROM documents WHERE text <> '' AND lang <> ''",
+    "parquet_types": """SELECT doc_id, lang AS instruction, sha256(text) AS response, CASE doc_id % 3 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN source ELSE '[' || n_chars || ']' END AS k
+      FROM documents WHERE text <> '' AND lang <> ''""",
     "parse_variations": f"WITH {DOCS} SELECT idx, array_to_string(list_filter({BARE}, lambda v: length(v) > 15 AND lower(v) <> lower(instruction)), '|') AS v FROM docs",
     "clean_fact": f"{CLEAN_SQL} SELECT idx, nullif(f, '') AS fact FROM s{len(FACT_STEPS)}",
     "quality_profile": FLAGSHIP_SQL,

@@ -12,19 +12,25 @@ HUB_FIELDS = (FILE_FIELDS[0] + ["prompt", "text"], FILE_FIELDS[1] + ["target", "
 METADATA = ["source_type", "source_url", "source_file", "source_line", "collection_timestamp", "license", "author", "tags", "quality_score", "review_status"]
 
 
+def quoted(name: str) -> str:
+    """A column's name where a dot would be taken for a field."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def first_of(df: DataFrame, names: list[str]) -> Column:
     """The first field that is neither null nor empty, as text; false and 0 count as empty."""
     found = []
     for n in names:
         if n in df.columns:
             kind = df.schema[n].dataType
-            c = F.col(n).cast("string")
+            of = F.col(quoted(n))
+            c = of.cast("string")
             if isinstance(kind, T.NumericType):
-                c = F.when(F.col(n) != 0, c)
+                c = F.when(of != 0, c)
             elif isinstance(kind, T.BooleanType):
-                c = F.when(F.col(n), c)
+                c = F.when(of, c)
             elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-                c = F.to_json(n)
+                c = F.to_json(of)
             found.append(F.nullif(c, F.lit("")))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
@@ -62,7 +68,7 @@ def to_samples(df: DataFrame, instruction: str | None = None, response: str | No
     if hub and "conversations" in df.columns:
         ci, cr = pair(F.col("conversations"), df.schema["conversations"].dataType.elementType)
         i, r = F.coalesce(i, ci), F.coalesce(r, cr)
-    out = df.select(*[c for c in df.columns if c not in ("instruction", "response")], i.alias("instruction"), r.alias("response"))
+    out = df.select(*[quoted(c) for c in df.columns if c not in ("instruction", "response")], i.alias("instruction"), r.alias("response"))
     return out.where("instruction is not null and instruction != '' and response is not null and response != ''")
 
 

@@ -1,8 +1,13 @@
 """Readers whose line numbers must survive splits, prompt lists and document folders."""
 
+import csv
+import io
 import json
+import random
 
-from quillmill.sources import files, records
+import pytest
+
+from quillmill.sources import csv_records, files, records
 
 
 def test_line_numbers_over_splits(spark, tmp_path):
@@ -69,6 +74,7 @@ def test_each_json_file_by_its_own_shape(spark, tmp_path, caplog):
     }
     for name, text in texts.items():
         (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "a.docx").write_text("x")
     with caplog.at_level("WARNING", "quillmill.sources"):
         got = files.load(spark, [f"{tmp_path}/*.json", f"{tmp_path}/*.jsonl", f"{tmp_path}/a.docx"]).collect()
     found = {(r.source_file.rsplit("/", 1)[1][:-5], r.source_line): (r.instruction, r.response) for r in got}
@@ -79,7 +85,9 @@ def test_each_json_file_by_its_own_shape(spark, tmp_path, caplog):
     said = " ".join(r.getMessage() for r in caplog.records)
     assert "hold no JSON records" in said and "no file matches" in said and "no reader" in said
     assert {r.data for r in got if r.data} == {"[1,2]", "text"}
-    assert files.load(spark, [f"{tmp_path}/*.csv"]).count() == 0 and files.read_json(spark, f"{tmp_path}/scalar.json").count() == 0
+    assert files.read_json(spark, f"{tmp_path}/scalar.json").count() == 0
+    rejects = files.scan(spark, [f"{tmp_path}/*.json", f"{tmp_path}/a.docx"])[1].collect()
+    assert {r.source_file.rsplit("/", 1)[1] for r in rejects} >= {"a.docx", "null.json", "scalar.json", "bad.json"}
 
 
 def test_a_corrupt_file_is_left_out(spark, tmp_path):
@@ -87,3 +95,71 @@ def test_a_corrupt_file_is_left_out(spark, tmp_path):
     (next((tmp_path / "a.parquet").glob("*.parquet")).parent / "c.parquet").write_bytes(b"PAR1 not really")
     (tmp_path / "b.parquet").write_bytes(b"PAR1 not really")
     assert [r.instruction for r in files.load(spark, [f"{tmp_path}/b.parquet", f"{tmp_path}/a.parquet"]).collect()] == ["i"]
+
+
+def pairs(df):
+    return sorted((r.instruction, r.response) for r in df.collect())
+
+
+def test_paths_without_files(spark, tmp_path, caplog):
+    (tmp_path / "a.txt").write_text("plain text")
+    with pytest.raises(FileNotFoundError):
+        files.load(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/b.txt"])
+    with pytest.raises(ValueError):
+        files.load(spark, f"{tmp_path}/*.csv")
+    with pytest.raises(ValueError):
+        files.load(spark, [])
+    with caplog.at_level("WARNING", "quillmill.sources"):
+        assert files.load(spark, [f"{tmp_path}/*.csv", f"{tmp_path}/a.txt"]).count() == 0
+    assert "no file matches" in caplog.text
+
+
+def test_each_file_by_its_own_suffix_and_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("instruction,response\nI1,R1\n")
+    (tmp_path / "U.CSV").write_text("response,instruction,extra\nR2,I2,x\n\nR3,I3,\n")
+    (tmp_path / "q.csv").write_text('\ufeffquestion,answer,answer\r\n"I ""4"", a","R\r\n4",no\r\n')
+    (tmp_path / "long.csv").write_text("instruction,response\nI,R\nI,R,more\n")
+    (tmp_path / "odd[1]{x}.Csv").write_text("input,output\nI5,R5")
+    (tmp_path / "l.JSONL").write_text('{"query": "I6", "completion": "R6"}\n')
+    (tmp_path / "n.xyz").write_text("I7")
+    (tmp_path / "s.txt").write_text("x === INSTRUCTION ===\nI8\n=== RESPONSE ===\n R8 \n=== END ===\n=== INSTRUCTION ===\nI9\n=== END ===\n\n=== INSTRUCTION ===I10=== RESPONSE ===R10")
+    got, rejects = files.scan(spark, f"{tmp_path}/*")
+    assert pairs(got) == sorted([("I1", "R1"), ("I2", "R2"), ("I3", "R3"), ('I "4", a', "R\n4"), ("I5", "R5"), ("I6", "R6"), ("x \nI8".strip(), "R8"), ("I10", "R10")])
+    assert {(r.instruction, r.source_line) for r in got.collect()} >= {("I2", 2), ("I3", 3), ("I5", 2), ("I6", 1), ("I10", None)}
+    assert {r.extra for r in got.collect()} == {"x", None} and {r["answer.1"] for r in got.collect()} == {"no", None}
+    assert sorted((r.source_file.rsplit("/", 1)[1], r.reason.split()[0]) for r in rejects.collect()) == [("long.csv", "a"), ("n.xyz", "no")]
+
+
+def test_parquet_files_of_other_types(spark, tmp_path):
+    for k, kind in enumerate(("int", "string", "int", "array<int>")):
+        value = {"int": 7, "string": "seven", "array<int>": [7]}[kind]
+        spark.createDataFrame([(f"i{k}", f"r{k}", value)], f"{'instruction' if k else 'question'} string, response string, k {kind}").coalesce(1).write.parquet(f"{tmp_path}/{k}.parquet")
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not really")
+    got, rejects = files.scan(spark, f"{tmp_path}/*.parquet")
+    assert sorted((r.instruction, r.response, r.k) for r in got.collect()) == [("i0", "r0", "7"), ("i1", "r1", "seven"), ("i2", "r2", "7"), ("i3", "r3", "[7]")]
+    assert [r.source_file.rsplit("/", 1)[1] for r in rejects.collect()] == ["bad.parquet"]
+    assert len(files.parquet_groups(spark, [p for k in range(4) for p in files._listed(spark, f"{tmp_path}/{k}.parquet")])[0]) == 4
+
+
+def test_csv_records_over_splits(spark, tmp_path):
+    rng, want = random.Random(4), {}
+    for name in ("a", "b", "c"):
+        rows = [["instruction", "response", "n"]]
+        for k in range(400):
+            cell = lambda: "".join(rng.choice(["x", "y ", '"', '""', ",", "\n", "\n\n", "é", "'"]) for _ in range(rng.randrange(0, 12)))
+            rows.append([f"{name}{k}" + cell(), cell(), str(k)])
+        out = io.StringIO(newline="")
+        csv.writer(out, lineterminator="\r\n" if name == "b" else "\n").writerows(rows)
+        (tmp_path / f"{name}.csv").write_bytes(out.getvalue().encode())
+        want |= {(name, k): [c or None for c in r] for k, r in enumerate(rows, 1)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {(r.source_file[-5], r.record): r.cells for r in csv_records.records(spark, [f"{tmp_path}/{n}.csv" for n in "abc"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "h.csv").write_text("instruction,response\n")
+    (tmp_path / "stray.csv").write_text('instruction,response\n5" pipe,a "word" b\n"open to the end,\nof the file\n')
+    assert pairs(files.read_csv(spark, [f"{tmp_path}/{n}.csv" for n in ("e", "h", "stray")])) == [('5" pipe', 'a "word" b'), ("open to the end,\nof the file", None)]
