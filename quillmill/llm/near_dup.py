@@ -18,9 +18,9 @@ the same members in several trees are compared once. Components come from the di
 
 Defined cases: null and empty texts, and texts without words, have the empty set, are linked with nothing and stay;
 fewer words than five make one shingle of the whole sequence; a row without an id takes no part, has a null component
-and stays; rows that repeat an id with one text are alike, rows that share an id count as one vertex, which has the links of all their
-texts; an empty table
-gives no rows; other columns are ignored.
+and stays; rows that repeat an id with one text are alike; in `groups`, rows that share an id count as one vertex, which
+has the links of all their texts, while `keep_one` decides by texts; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def least(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, words: int, trees: int) -> DataFrame:
-    """doc_id, n_shingles, digest, keys: the first level's nodes."""
+    """doc_id, mark, n_shingles, digest, keys: the first level's nodes."""
     odd = _functions(trees)
     tree = _mix(np.arange(1, trees + 1, dtype=np.uint64))
 
@@ -100,14 +100,15 @@ def _prints(rows: DataFrame, words: int, trees: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([_mix(least(s, odd) ^ tree).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "keys"],
+                    names=["doc_id", "mark", "n_shingles", "digest", "keys"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, keys array<long>")
 
 
 def _sets(rows: DataFrame, words: int, functions: int) -> DataFrame:
@@ -313,10 +314,8 @@ def _blocks(size: Column | str, total: Column | str) -> Column:
     return F.greatest(F.ceil(size / BLOCK), F.least(F.ceil(8 * total / BLOCK_BYTES), size)).cast("long")
 
 
-def groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, trees: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Prints of all rows; classes (rep, digest, id: the least of its rows); links of classes, src and dst; folders to remove."""
     spark = docs.sparkSession
     folders: list[str] = []
 
@@ -325,21 +324,22 @@ def groups(
         return common.written(df, folders[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))  # tells the texts of an id apart
     prints = common.written(_prints(rows, words, trees), common.scratch(spark, "near-prints"))  # read by the result
     classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-    classes = classes.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    classes = classes.agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     # classes go by their digest, since an id may have several texts
-    classes = keep(classes.withColumn("rep", F.xxhash64("digest")), "classes")
+    classes = keep(classes.select("digest", "keys", "n", F.col("least.doc_id").alias("id"), "least.mark", F.xxhash64("digest").alias("rep")), "classes")
 
     # the first level of all trees; then branch what is too large
     nodes = classes.select(F.explode("keys").alias("node"), "rep", "n")
     # sizes are written, so that both sides of a join with them are dealt anew and AQE may split a hot node
     members = keep(nodes.join(keep(_sized(nodes), "sizes"), "node"), "level")
-    candidates = members.select("rep").distinct().join(classes.select("rep", "digest", F.col("id").alias("doc_id")), "rep")
+    candidates = members.select("rep").distinct().join(classes.select("rep", "digest", F.col("id").alias("doc_id"), "mark"), "rep")
     before = spark.conf.get(HASH_JOIN)
     spark.conf.set(HASH_JOIN, HASH_BYTES)  # a hash join where all partitions of the candidates are that small, else by sorting
     try:
-        sets = keep(_sets(rows.join(candidates, "doc_id"), words, FUNCTIONS), "sets")
+        sets = keep(_sets(rows.join(candidates, ["doc_id", "mark"]), words, FUNCTIONS), "sets")
     finally:
         spark.conf.set(HASH_JOIN, before)
     final = [members.where(F.col("size") <= SMALL)]
@@ -383,25 +383,49 @@ def groups(
     )
     tasks = tasks.join(sets.select("rep", "hashes"), "rep").repartition("task").sortWithinPartitions("task")
     edges = keep(_compared(tasks, percent).unionByName(by_pivot), "links")
+    return prints, classes, edges, folders
+
+
+def groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    spark = docs.sparkSession
+    prints, classes, edges, folders = _linked(docs, id_col, text_col, words, percent, trees)
     for side in ("src", "dst"):
         edges = edges.join(classes.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id")), side)
-    edges = keep(edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).where("src != dst"), "edges")
-    found = keep(components(edges), "components")
+    edges = edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).where("src != dst")
+    found = common.written(components(edges), at := common.scratch(spark, "near-components"))
     of_class = classes.join(found, classes["id"] == found["vertex"], "left").select("digest", F.coalesce("component", "id").alias("component"))
     of_class = common.written(of_class, common.scratch(spark, "near-of-class"))
-    for f in folders:
+    for f in [*folders, at]:
         common.remove(spark, f)
 
-    out = prints.drop("keys").join(of_class, "digest", "left")
+    out = prints.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, all columns: one document of each group."""
-    gone = groups(docs, id_col, text_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+    """The rows of docs that stay, all columns: one text of each group of linked texts, in its row of least id.
+
+    Texts are what is linked here, not ids: of an id with unlike texts, each stays or goes by its own links. Rows that repeat
+    an id and a text stay or go together; a row without an id stays."""
+    spark = docs.sparkSession
+    prints, classes, edges, folders = _linked(docs, id_col, text_col, words, percent, trees)
+    found = common.written(components(edges.where("src != dst")), at := common.scratch(spark, "near-components"))
+    linked = classes.join(found, classes["rep"] == found["vertex"], "left").select("digest", "id", F.coalesce("component", "rep").alias("component"))
+    linked = common.written(linked, at_linked := common.scratch(spark, "near-linked"))
+    stays = common.written(linked.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("stays")), at_stays := common.scratch(spark, "near-stays"))
+    of_class = common.written(linked.join(stays, "component").select("digest", "stays"), common.scratch(spark, "near-of-class"))
+    for f in [*folders, at, at_linked, at_stays]:
+        common.remove(spark, f)
+    gone = prints.where("n_shingles > 0 and doc_id is not null").select("doc_id", "mark", "digest").join(of_class, "digest")
+    gone = gone.where((F.col("digest") != F.col("stays.digest")) | (F.col("doc_id") != F.col("stays.id"))).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    left = docs.where(docs[id_col].isNotNull())
+    same = (left[id_col].cast("long") == gone["__gone"]) & (F.xxhash64(left[text_col].cast("string")) == gone["__mark"])
+    return left.join(gone, same, "left_anti").unionByName(docs.where(docs[id_col].isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
