@@ -9,7 +9,7 @@ unlabelled rows and hands those it is surest of (`SURE` and more, calibrated), i
 `SHARE` of the unlabelled rows, to the other as pseudo-labels. Each view is calibrated on labelled rows that took no part
 in training; in the end the sum of both log-odds, less the prior's, calibrated on the same rows, scores every document.
 
-Only the labelled rows are a bounded sample, of about `SAMPLE` by hash of the id, whose features reach the driver. Bin edges
+Only the labelled rows are a bounded sample, the `SAMPLE` of least hash of the id, whose features reach the driver. Bin edges
 are quantiles over all documents (to a part in 2^10, from counts that don't depend on partitions). Unlabelled rows stay
 distributed, as numbers of bins and buckets: a round counts them by log-odds for the bounds above which rows are handed over
 (rows at a bound by hash of the id), and writes the rows handed over apart from those left; counts of words and every Newton
@@ -486,11 +486,6 @@ def _quantiles(rows: DataFrame) -> list[np.ndarray]:
     return out
 
 
-def _few(df: DataFrame, n: int, sample: int) -> DataFrame:
-    """About `sample` of n rows at most, by hash of the id."""
-    return df if n <= sample else df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / n)))
-
-
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
 
@@ -508,7 +503,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     n = known.count()
-    labelled, marked = F.broadcast(_few(known, n, sample)), known.select("id").distinct()
+    labelled, marked = F.broadcast(common.few(known, sample)), known.where("id is not null").select("id").distinct()
     marked = F.broadcast(marked) if n <= BROADCAST_IDS else marked
     rows = _inputs(docs, id_col, text_col).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(8)).cast("int"))
     names = {"text": 1, "source": 2, "lang": 3, "n_chars": 4}
@@ -540,7 +535,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cells = [c.cells(part).astype(np.int16) for c, part in zip(bins, (x[:, :MEASURES], x[:, MEASURES:]), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([c.tobytes() for c in m], pa.binary()) for m in cells), b.column(3), b.column(4)], names=["key", "half", "text", "meta", "pages", "last"])
 
-    unlabelled = all_.join(marked, "id", "left_anti").select(F.xxhash64("id").alias("key"), F.col("half").bitwiseAND(1).alias("half"), "found", "pages", "last")
+    # null ids have no label; they pass beside the join, as it would take them to one task
+    unlabelled = all_.where("id is not null").join(marked, "id", "left_anti").unionByName(all_.where("id is null")).select(F.xxhash64("id").alias("key"), F.col("half").bitwiseAND(1).alias("half"), "found", "pages", "last")
     unlabelled.mapInArrow(binned, POOL).write.parquet(cells := common.scratch(spark, "quality-cells"))
     common.remove(spark, folder)
     # texts, not ids, part training from calibration and the halves, so that copies of a text lie on one side
