@@ -49,13 +49,13 @@ def select(
     statuses: list[str] | None = None,
     mode: str = "bucket",
 ) -> DataFrame:
-    """The samples that meet all given conditions."""
+    """The samples that meet all given conditions; an empty list is none."""
     keep = in_quality(*quality, mode=mode)
-    if source_types is not None:
+    if source_types:
         keep = keep & F.col("source_type").isin(source_types)
-    if tags is not None:
+    if tags:
         keep = keep & has_tags(tags, tag_mode)
-    if statuses is not None:
+    if statuses:
         keep = keep & F.col("review_status").isin(statuses)
     return samples.where(keep)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import WORD, WS
-from quillmill.operators import dedup, generate, query, repair, score, series, temporal, validate
+from quillmill.operators import dedup, generate, postings, query, repair, score, series, temporal, validate
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
 from quillmill.plans.scratch import scratch
@@ -183,7 +183,46 @@ def _parquet_types(s, d):
     return load(s, f"{folder}/*.parquet").select("doc_id", "instruction", F.sha2("response", 256).alias("response"), "k")
 
 
+#: Filters that the index answers, as arguments of `postings.matching`; their names are those of the queries that scan.
+FILTERS = {
+    "quality": {"quality": (0.5, None)},
+    "tags_any": {"tags": ["de", "fr"]},
+    "tags_all": {"tags": ["es"], "tag_mode": "all"},
+    "no_both": {"tags": ["de", "fr"], "tag_mode": "all"},
+    "combined": {"quality": (0.5, 1.0), "source_types": ["src1", "src2", "src3"], "tags": ["en"], "statuses": ["approved"]},
+    "status": {"statuses": ["rejected", "flagged"]},
+    "everything": {},
+}
+
+
+def _index(s, d):
+    """The index of the first two thirds of the samples, added to by the others."""
+    df, path = docs(s, d), scratch(s, "postings")
+    postings.save(df.where("idx % 3 != 0"), path)
+    return postings.save(df.where("idx % 3 = 0"), path, append=True)
+
+
+def _postings_filters(s, d):
+    index, out = _index(s, d), None
+    for name, how in FILTERS.items():
+        one = postings.numbers(postings.matching(index, **how)).select(F.lit(name).alias("filter"), "idx")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _postings_counts(s, d):
+    index, out = _index(s, d), None
+    for name, how in FILTERS.items():
+        one = postings.count(postings.matching(index, **how)).select(F.lit(name).alias("filter"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "postings_filters": _postings_filters,
+    "postings_counts": _postings_counts,
+    "postings_select": lambda s, d: postings.select(docs(s, d), postings.matching(_index(s, d), **FILTERS["combined"])).select("idx", F.sha2("response", 256).alias("response"), "quality_score"),
+    "postings_distributions": lambda s, d: postings.distributions(_index(s, d)),
     "json_shapes": _json_shapes,
     "csv_headers": _csv_headers,
     "parquet_types": _parquet_types,
@@ -256,7 +295,16 @@ USABLE = f"list_filter({LINES}, lambda l: l <> '' AND NOT {_any('lower(l)', gene
 NUMBERED = f"list_transform({USABLE}, lambda l: CASE WHEN regexp_matches(l, '\\A\\p{{Nd}}') THEN {_strip(r"regexp_replace(l, '\A[^.]*\.', '')")} ELSE l END)"
 BARE = f"list_transform({NUMBERED}, lambda l: regexp_replace({_strip(r"regexp_replace(l, '\A[-*•]+', '')")}, '{QUOTES}', '', 'g'))"
 
+POSTINGS_SQL = f"""WITH {DOCS}, f AS (SELECT 'quality' AS filter, idx FROM docs WHERE quality_score IS NOT NULL AND {BUCKET} >= 0.5
+  UNION ALL SELECT 'tags_any', idx FROM docs WHERE list_has_any(tags, ['de', 'fr']) UNION ALL SELECT 'tags_all', idx FROM docs WHERE list_has_all(tags, ['es'])
+  UNION ALL SELECT 'no_both', idx FROM docs WHERE list_has_all(tags, ['de', 'fr'])
+  UNION ALL SELECT 'combined', idx FROM docs WHERE {BUCKET} BETWEEN 0.5 AND 1.0 AND quality_score IS NOT NULL AND source_type IN ('src1', 'src2', 'src3') AND list_has_any(tags, ['en']) AND review_status = 'approved'
+  UNION ALL SELECT 'status', idx FROM docs WHERE review_status IN ('rejected', 'flagged') UNION ALL SELECT 'everything', idx FROM docs)"""
+
 SQL = {
+    "postings_filters": f"{POSTINGS_SQL} SELECT filter, idx FROM f",
+    "postings_counts": f"{POSTINGS_SQL} SELECT n.filter, count(f.idx) AS n FROM (SELECT unnest(['quality', 'tags_any', 'tags_all', 'no_both', 'combined', 'status', 'everything']) AS filter) n LEFT JOIN f USING (filter) GROUP BY n.filter",
+    "postings_select": f"{POSTINGS_SQL} SELECT idx, sha256(response) AS response, quality_score FROM f JOIN docs USING (idx) WHERE filter = 'combined'",
     "hub_defaults": "SELECT doc_id, 'corpus_' || doc_id AS id, 'datasetloader' AS source_type, 'https://huggingface.co/datasets/corpus' AS source_url, source AS author, CAST(0 AS INTEGER) AS n_tags, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
     "generated_metadata": """SELECT 'generated' AS source_type, source AS author, 'made,x' AS tags, '{"seed_task":"' || source || '","generation_index":' || doc_id || '}' AS custom_json FROM documents""",
     "json_shapes": "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS INTEGER) AS source_line, lang AS instruction, sha256(text) AS response FROM documents WHERE text <> '' AND lang <> ''",
@@ -317,3 +365,4 @@ SQL = {
       SELECT idx, sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, 1, strpos(response, '{m}') - 1)")} ELSE " for m in generate.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN array_to_string(p[:-2], {NL} || {NL}) ELSE response END {"END " * 5}) AS thought,
       sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, strpos(response, '{m}'))")} ELSE " for m in generate.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN p[-1] ELSE '{generate.STOCK_SOLUTION}' END {"END " * 5}) AS answer FROM p""",
 }
+SQL["postings_distributions"] = SQL["index_distributions"]
