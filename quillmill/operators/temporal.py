@@ -29,27 +29,45 @@ def row_errors(least: int = LEAST, most: int = MOST) -> Column:
     return F.transform(F.filter(F.array(text, when, group, number), lambda x: x.isNotNull()), lambda x: F.concat(lead, x))
 
 
-def groups(facts: DataFrame, evolution: bool = False) -> DataFrame:
+#: List numbers that a piece of a group spans: at most so many rows of a group are sorted together.
+PIECE = 100_000
+
+
+def _order(facts: DataFrame, piece: int) -> DataFrame:
+    """group_id, read (times that can be), falls: how often the time falls in list order.
+
+    A group's rows are cut at multiples of `piece` list numbers. A piece is summed up by its first and last time and the falls
+    within; pieces, one row each, are put together at their borders."""
+    ts = F.try_to_timestamp("timestamp")
+    rows = facts.select("group_id", "idx", ts.alias("t"), F.floor(F.col("idx") / piece).alias("piece"))
+    before = F.lag("t").over(Window.partitionBy("group_id", "piece").orderBy("idx"))
+    rows = rows.withColumn("fell", F.col("t") < before)
+    pieces = rows.groupBy("group_id", "piece").agg(
+        F.count("t").alias("read"), F.count_if("fell").alias("falls"), F.min_by("t", "idx").alias("first"), F.max_by("t", "idx").alias("last")
+    )
+    border = F.col("first") < F.lag("last").over(Window.partitionBy("group_id").orderBy("piece"))
+    return pieces.withColumn("fell", border).groupBy("group_id").agg(F.sum("read").alias("read"), (F.sum("falls") + F.count_if("fell")).alias("falls"))
+
+
+def groups(facts: DataFrame, evolution: bool = False, piece: int = PIECE) -> DataFrame:
     """group_id, n, sequential, duplicate_facts, chronological.
 
     Numbers are sequential if they are 1..n; facts are duplicates if equal without case and outer white space; times must
-    not fall in list order, and are only judged where all can be read. Nothing of a group is gathered: three aggregates
-    over rows, of which only the last needs a window."""
+    not fall in list order, and are only judged where all can be read. Nothing of a group is gathered, and no task takes a
+    group whole: counts combine before the shuffle, distinct numbers and facts are spread, and times are judged by pieces (see
+    `_order`). List numbers, `idx`, differ within a group. A null group is one of its own."""
     low = F.lower(strip(F.coalesce("fact", F.lit(""))))
     same = facts.groupBy("group_id", F.sha2(low, 256).alias("f")).agg(F.count(F.lit(1)).alias("k"))
     same = same.groupBy("group_id").agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("duplicate_facts"))
-    ts = F.try_to_timestamp("timestamp")
-    before = facts.select("*", ts.alias("__ts"), F.lag(ts).over(Window.partitionBy("group_id").orderBy("idx")).alias("__before"))
-    out = before.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("variation_id").alias("given"),
-        F.countDistinct("variation_id").alias("distinct"),
-        F.min("variation_id").alias("low"),
-        F.max("variation_id").alias("high"),
-        F.count("__ts").alias("read"),
-        F.count_if(F.col("__ts") < F.col("__before")).alias("falls"),
+    numbers = facts.groupBy("group_id", "variation_id").agg(F.count(F.lit(1)).alias("k"))
+    numbers = numbers.groupBy("group_id").agg(
+        F.sum("k").alias("n"), F.sum(F.when(F.col("variation_id").isNotNull(), F.col("k")).otherwise(0)).alias("given"), F.count("variation_id").alias("distinct"), F.min("variation_id").alias("low"), F.max("variation_id").alias("high")
     )
-    return out.join(same, "group_id").select(
+    out = numbers
+    for part in (_order(facts, piece), same):  # one row a group each
+        part = part.withColumnRenamed("group_id", "__group")
+        out = out.join(part, out["group_id"].eqNullSafe(part["__group"])).drop("__group")
+    return out.select(
         "group_id",
         "n",
         ((F.col("given") == F.col("n")) & (F.col("distinct") == F.col("n")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("sequential"),

@@ -269,6 +269,7 @@ QUERIES = {
     "repair_report": lambda s, d: repair.report(docs(s, d), REPAIR_LIMITS),
     "temporal_rows": lambda s, d: facts(s, d).select("idx", F.array_join(temporal.row_errors(), "|").alias("errors")),
     "temporal_groups": lambda s, d: temporal.groups(facts(s, d)),
+    "temporal_one_group": lambda s, d: temporal.groups(facts(s, d).withColumn("group_id", F.when(F.pmod("idx", F.lit(10)) == 0, F.col("group_id")).otherwise("most")), piece=256),
     "temporal_summary": lambda s, d: temporal.summary(facts(s, d)),
     "temporal_stats": lambda s, d: temporal.statistics(facts(s, d)),
     "ts_grid": lambda s, d: series.grid(s, "2024-01-01", "2024-01-07").select("i", F.date_format("ts", series.ISO).alias("timestamp")),
@@ -348,6 +349,7 @@ SQL = {
     "repair_report": f"{REPAIR_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'already_valid') AS already_valid, count(*) FILTER (status = 'repaired') AS repaired, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status <> 'failed') AS valid_after FROM done",
     "temporal_rows": f"WITH {FACTS} SELECT idx, array_to_string(list_transform({FACT_ERRORS}, lambda x: 'Sample ' || idx || ': ' || x), '|') AS errors FROM facts",
     "temporal_groups": f"{GROUPS_SQL} SELECT group_id, n, sequential, duplicate_facts, chronological FROM g JOIN d USING (group_id)",
+    "temporal_one_group": f"""{GROUPS_SQL.replace("FROM facts),", "FROM (SELECT * REPLACE (CASE WHEN idx % 10 = 0 THEN group_id ELSE 'most' END AS group_id) FROM facts)),", 1)} SELECT group_id, n, sequential, duplicate_facts, chronological FROM g JOIN d USING (group_id)""",
     "temporal_summary": f"""{GROUPS_SQL}, e AS (SELECT {FACT_ERRORS} AS e FROM facts)
       SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (len(e) = 0) AS valid, CAST(sum(len(e)) AS BIGINT) AS n_errors FROM e),
       (SELECT count(*) AS group_count, CAST(sum(CAST(NOT sequential AS INT) + CAST(duplicate_facts > 0 AS INT) + CAST(NOT chronological AS INT)) AS BIGINT) AS n_warnings FROM g JOIN d USING (group_id))""",
