@@ -32,11 +32,16 @@ BROADCAST_BYTES = 8 << 20
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def _small(host: Column) -> Column:
+    """A-Z lower-cased, and no other letter, for hosts of pages and of the list alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return _small(host), path
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -58,7 +63,7 @@ def build(keys: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (the entry that decided, else null), verdict; listed: host, path, verdict."""
     spark = pages.sparkSession
-    entries = listed.select(F.lower(F.coalesce("host", F.lit(""))).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
+    entries = listed.select(_small(F.coalesce("host", F.lit(""))).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
     entries = entries.groupBy("h", "p").agg(F.when(F.max(F.col("verdict") == "block"), "block").otherwise(F.min("verdict")).alias("verdict"))
     entries = entries.select(F.concat("h", "p").alias("rule"), F.concat_ws("\x01", "h", "p").alias("key"), F.length("h").alias("h_len"), F.length("p").alias("p_len"), "verdict")
     entries = common.written(entries, common.scratch(spark, "url-list"))
@@ -66,7 +71,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         F.count(F.lit(1)), F.collect_set("p_len"), F.collect_set(F.size(F.split(F.element_at(F.split("key", "\x01"), 1), r"\.")))
     ).first()
     blocks = 1 << max(0, math.ceil(math.log2(max(1, n) * BITS_PER_KEY / 256)))
-    bloom = build(entries, blocks)
+    # written, since an aggregate ties a join to its keys and keeps AQE from splitting a block that many probes reach
+    bloom = common.written(build(entries, blocks), common.scratch(spark, "url-bloom"))
     if blocks * 80 <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
 
