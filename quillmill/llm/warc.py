@@ -101,12 +101,35 @@ class _Roller:
         if self.bytes >= self.roll:
             yield self.close()
 
+    def _holds(self, path: str) -> bool:
+        """Whether the file is there and has the size and the checksum of what was written."""
+        info = self.fs.get_file_info(path)
+        if info.type != pafs.FileType.File or info.size != self.bytes:
+            return False
+        seen = hashlib.sha256()
+        with self.fs.open_input_stream(path, compression=None) as f:
+            while data := f.read(1 << 20):
+                seen.update(data)
+        return seen.digest() == self.sum.digest()
+
+    def _move(self, final: str) -> None:
+        """To the final name, over a torn file of that name if there is one."""
+        try:
+            self.fs.move(self.temporary, final)
+        except OSError:  # where a move never goes over a file
+            if self._holds(final):  # another attempt came first
+                self.fs.delete_file(self.temporary)
+                return
+            self.fs.delete_file(final)
+            self.fs.move(self.temporary, final)
+
     def close(self) -> tuple:
         self.out.close()
         final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier attempt, which wrote the same bytes
-            self.fs.delete_file(final)
-        self.fs.move(self.temporary, final)
+        if self._holds(final):  # of an earlier attempt, which wrote the same bytes: a committed file is never taken away
+            self.fs.delete_file(self.temporary)
+        else:
+            self._move(final)
         row = (self.name, self.shard, self.number, self.records, self.bytes, self.sum.hexdigest())
         self.out, self.number = None, self.number + 1
         return row
@@ -139,8 +162,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         roller, of, refers = None, object(), {}
         for b in batches:
             done = []
-            for i in range(b.num_rows):
-                id_, url, body, tie, same, target, shard = (b.column(k)[i].as_py() for k in range(7))
+            for id_, url, body, tie, same, target, shard in _rows(b):
                 if of != (id_, tie):
                     of, refers = (id_, tie), {}
                 if same is not None:
@@ -157,6 +179,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return common.written(manifest, f"{folder}/_manifest")
 
 
+def _rows(b: pa.RecordBatch, at_once: int = 64) -> Iterator[tuple]:
+    for at in range(0, b.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in b.slice(at, at_once).columns), strict=True)
+
+
 def _batch(done: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate(kinds)], names=["path", "shard", "number", "records", "bytes", "sha256"])
