@@ -88,7 +88,7 @@ class Pipeline:
         scored = score.score(self.samples, c.get("weights")).drop(*score.WEIGHTS)
         scored = scored.drop("quality_score").withColumnRenamed("overall", "quality_score")
         # written: filters on the score would otherwise be pushed below it and compute it again
-        return written(scored, scratch(self.spark, "scored"))
+        return written(scored, scratch(self.spark, "scored"))  # read by later steps and by undo
 
     def _deduplicate(self, c: dict) -> DataFrame:
         out = dedup.unique(self.samples, c.get("field", "instruction")) if c.get("exact", True) else self.samples

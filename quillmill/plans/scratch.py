@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the scratch folders named within: for steps whose result is written before it."""
+    _made.append(mine := [])
+    try:
+        yield
+    finally:
+        _made.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillmill/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillmill/{tag}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
