@@ -50,7 +50,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), folder := common.scratch(spark, f"pipeline-{name}"))
+        folder = common.scratch(spark, f"pipeline-{name}")
+        with common.removed_after(spark):  # what a stage wrote on its way
+            docs = common.written(stage(spark, docs, sf_dir), folder)
         if before:
             common.remove(spark, before)
         before = folder

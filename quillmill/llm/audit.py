@@ -11,8 +11,8 @@ by a collision of hashes, is grouped by the texts themselves.
 Masks are counted per part; what a filter removes, alone, first or in any order, depends on these counts only. With
 kept(S) the rows of a part that fail none of the filters in S, all 600 rows of a part are differences of its 32 values of
 kept: a filter at its step removes kept(those before) - kept(those and it), and its Shapley total weighs these over all S
-by the number of orders in which S comes before it. So the data is read twice, only rows in doubt move their texts, and
-counts are combined before the shuffle, whatever part is hot.
+by the number of orders in which S comes before it. So the data is read twice, a text moves once at most, copies of it
+only once a task, and counts are combined before the shuffle, whatever part or class is hot.
 
 Defined cases: a null text is empty, a null part the empty string; a null identifier neither fails E nor makes another
 row fail it; rows that share an identifier are each counted, are good or toxic if any label of the identifier says so, and
@@ -86,9 +86,9 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     folders.append(common.scratch(spark, "audit-rows"))
     thin = common.written(_masked(rows).select("doc_id", "part", "mask", chain.alias("chain")), folders[-1])
     keys = final_keys(thin.select("doc_id", "chain"), folders)
-    # full texts of the rows in doubt: copies combine before the shuffle
+    # full texts of a class: copies combine before the shuffle
     held = rows.where("doc_id is not null").withColumn("key", F.element_at(chain, -1))
-    compared = held.select("key", "text").join(keys.select("key"), "key", "left_semi").groupBy("key").agg((F.min("text") == F.max("text")).alias("equal"))
+    compared = held.groupBy("key").agg((F.min("text") == F.max("text")).alias("equal"))  # before the join, which would deal a hot class to one task
     folders.append(common.scratch(spark, "audit-compared"))
     compared = common.written(keys.join(compared, "key"), folders[-1])
     bit = F.lit(1 << FILTERS.index("E")) * F.coalesce((F.col("doc_id") > F.col("first")).cast("int"), F.lit(0))

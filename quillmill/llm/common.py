@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.plans.scratch import remove, scratch, shared_dir, written  # noqa: F401
+from quillmill.plans.scratch import remove, removed_after, scratch, shared_dir, written  # noqa: F401
 
 #: Sampled keys that reach the driver to place cuts, at any size of the input (Spark's range partitioner takes up to 10^6).
 KEYS = 400_000
