@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import WORD, WS
 from quillmill.operators import dedup, generate, postings, query, repair, score, series, temporal, validate
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
@@ -14,6 +13,8 @@ from quillmill.sources.html import clean_html
 from quillmill.sources.records import generated_samples, hub_samples, to_samples
 
 NL = "chr(10)"
+#: Patterns of a word and of white space.
+WORD, WS = r"[\p{L}\p{N}_]+", r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
 def _strip(c: str) -> str:
@@ -48,7 +49,25 @@ def _clamp(c: str) -> str:
     return f"greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), {c}))"
 
 
-S = score
+class S:
+    """Fixed values, stated here anew, so that SQL and operators are held against each other."""
+
+    QUESTION_WORDS = ["what", "when", "where", "who", "why", "how", "which"]
+    VAGUE_WORDS = ["something", "anything", "somehow", "whatever", "stuff", "things"]
+    CLAUSE_MARKS = [",", ";", ":", "because", "therefore", "however"]
+    LIST_MARKS = ["1.", "2.", "-", "*"]
+    CONCLUSIONS = ["therefore", "thus", "in conclusion", "summary", "finally"]
+    TRANSITIONS = ["first", "second", "next", "then", "finally", "however", "therefore", "thus", "additionally", "furthermore", "moreover", "consequently"]
+    STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
+    WEIGHTS = {"instruction_clarity": 0.2, "instruction_complexity": 0.15, "response_completeness": 0.25, "response_coherence": 0.2, "alignment": 0.15, "diversity": 0.05}
+    FACT_ENDS = ["Example:", "Your fact", "Generate"]
+    INSTRUCTION_WORDS = ["example", "variation", "write", "rewrite", "original"]
+    PREFIXES = ["According to reports, ", "It was reported that ", "Sources indicate that ", "Officials confirmed that ", "Data shows that "]
+    SOLUTION_MARKS = ["Final answer:", "Therefore,", "The solution is", "Answer:", "Result:"]
+    STOCK_SOLUTION = "The solution follows from the reasoning above."
+    LIMITS = {"instruction": (10, 5000), "response": (20, 10000)}
+
+
 SCORED = f"""w AS (SELECT *, {_words('instruction')} AS wi, {_words('response')} AS wr, lower(instruction) AS li, lower(response) AS lr,
   string_split(response, '.') AS parts, {_words("lower(instruction || ' ' || response)")} AS wb,
   list_filter(list_distinct(regexp_extract_all(lower(instruction), '{WORD}')), lambda k: NOT list_contains({S.STOP_WORDS}, k)) AS ks FROM base),
@@ -83,7 +102,7 @@ ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in NAMES)
 
 
 def _errors(limits=None) -> str:
-    limits = limits or validate.LIMITS
+    limits = limits or S.LIMITS
     missing, lengths, empty = [], [], []
     for c in ("instruction", "response"):
         a, b = limits[c]
@@ -249,6 +268,7 @@ QUERIES = {
     "dedup_exact": lambda s, d: dedup.unique(docs(s, d), "response").select("idx"),
     "dedup_exact_removed": lambda s, d: dedup.exact(docs(s, d), "response").where("removed").select("idx"),
     "near_pairs": lambda s, d: dedup.similar_pairs(docs(s, d)).select("i", "j", F.round("sim", 9).alias("sim")),
+    "near_whole_pairs": lambda s, d: dedup.similar_pairs(docs(s, d), "response").select("i", "j", F.round("sim", 9).alias("sim")),
     "near_flag": lambda s, d: dedup.near_groups(docs(s, d)).where("component is not null").select("idx", "component"),
     "near_remove_first": lambda s, d: dedup.near_remove(docs(s, d)).select("idx"),
     "near_remove_last": lambda s, d: dedup.near_remove(docs(s, d), keep="last").select("idx"),
@@ -288,11 +308,11 @@ FACT_STEPS = [
     f"CASE WHEN contains(f, ':') THEN {_strip(r"regexp_replace(f, '\A[^:]*:', '')")} ELSE f END",
     f"CASE WHEN regexp_matches(f, '\\A\\p{{Nd}}') AND contains(f, '.') THEN {_strip(r"regexp_replace(f, '\A[^.]*\.', '')")} ELSE f END",
     f"regexp_replace(f, '{QUOTES}', '', 'g')",
-    *[f"CASE WHEN contains(f, '{m}') THEN {_strip(f"split_part(f, '{m}', 1)")} ELSE f END" for m in generate.FACT_ENDS],
+    *[f"CASE WHEN contains(f, '{m}') THEN {_strip(f"split_part(f, '{m}', 1)")} ELSE f END" for m in S.FACT_ENDS],
 ]
 CLEAN_SQL = f"WITH {DOCS}, s0 AS (SELECT idx, {_strip('instruction')} AS f FROM docs)" + "".join(f", s{k + 1} AS (SELECT idx, {x} AS f FROM s{k})" for k, x in enumerate(FACT_STEPS))
 LINES = f"list_transform(string_split({_strip('response')}, {NL}), lambda x: {_strip('x')})"
-USABLE = f"list_filter({LINES}, lambda l: l <> '' AND NOT {_any('lower(l)', generate.INSTRUCTION_WORDS)} AND NOT (regexp_matches(l, '\\A\\p{{Nd}}') AND NOT contains(l, '.')))"
+USABLE = f"list_filter({LINES}, lambda l: l <> '' AND NOT {_any('lower(l)', S.INSTRUCTION_WORDS)} AND NOT (regexp_matches(l, '\\A\\p{{Nd}}') AND NOT contains(l, '.')))"
 NUMBERED = f"list_transform({USABLE}, lambda l: CASE WHEN regexp_matches(l, '\\A\\p{{Nd}}') THEN {_strip(r"regexp_replace(l, '\A[^.]*\.', '')")} ELSE l END)"
 BARE = f"list_transform({NUMBERED}, lambda l: regexp_replace({_strip(r"regexp_replace(l, '\A[-*•]+', '')")}, '{QUOTES}', '', 'g'))"
 
@@ -362,9 +382,9 @@ SQL = {
       FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07', INTERVAL 1 HOUR) g(t), range(5) r(s)""",
     "timestamp_ranges": """SELECT CAST(g AS BIGINT) AS group_idx, CAST(v AS INTEGER) AS variation_idx, strftime(make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + CAST(round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(TIMESTAMP '2024-01-01')) * g / 20) AS BIGINT) + v * 3600000000), '%Y-%m-%dT%H:%M:%S') AS "timestamp"
       FROM range(20) a(g), range(7) b(v)""",
-    "fallback_variations": f"WITH {DOCS}, l AS (SELECT idx, instruction, lower(substr(instruction, 1, 1)) || substr(instruction, 2) AS low FROM docs) SELECT idx, array_to_string(list_prepend(instruction, list_transform({generate.PREFIXES}, lambda p: p || low)), '|') AS v FROM l",
+    "fallback_variations": f"WITH {DOCS}, l AS (SELECT idx, instruction, lower(substr(instruction, 1, 1)) || substr(instruction, 2) AS low FROM docs) SELECT idx, array_to_string(list_prepend(instruction, list_transform({S.PREFIXES}, lambda p: p || low)), '|') AS v FROM l",
     "cot_split": f"""WITH {DOCS}, p AS (SELECT idx, response, string_split({_strip('response')}, {NL} || {NL}) AS p FROM docs)
-      SELECT idx, sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, 1, strpos(response, '{m}') - 1)")} ELSE " for m in generate.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN array_to_string(p[:-2], {NL} || {NL}) ELSE response END {"END " * 5}) AS thought,
-      sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, strpos(response, '{m}'))")} ELSE " for m in generate.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN p[-1] ELSE '{generate.STOCK_SOLUTION}' END {"END " * 5}) AS answer FROM p""",
+      SELECT idx, sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, 1, strpos(response, '{m}') - 1)")} ELSE " for m in S.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN array_to_string(p[:-2], {NL} || {NL}) ELSE response END {"END " * 5}) AS thought,
+      sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, strpos(response, '{m}'))")} ELSE " for m in S.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN p[-1] ELSE '{S.STOCK_SOLUTION}' END {"END " * 5}) AS answer FROM p""",
 }
 SQL["postings_distributions"] = SQL["index_distributions"]
