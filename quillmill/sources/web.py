@@ -1,7 +1,9 @@
 """Web APIs as samples: a fetcher, a Data Source of paged JSON replies, and questions, issues and read-me files from it.
 
-Each first page is a partition of the source, walked page by page; second requests (answers, comments) run in Arrow
-batches, one fetcher a task. `rate` holds for a task, so the number of partitions times 1/rate is the load on a server.
+A host is one task's: first pages of a host are one partition of the source, walked page by page, and rows of second
+requests (answers, comments) are dealt to tasks by host. So `rate` seconds lie between two requests to a host, whatever the
+number of tasks, and its robots.txt is read once a task; a task with several hosts takes them in turn, so that none waits for
+another. A host that most rows name takes as long as its rate says: that is the point.
 Replies differ from call to call: write a result before it is used twice.
 """
 
@@ -31,7 +33,7 @@ ISSUES = "array<struct<number:long,title:string,body:string,html_url:string,comm
 
 @dataclass
 class Fetcher:
-    """GET, or POST with data, at most once in `rate` seconds; None where robots.txt forbids it or all tries failed."""
+    """GET, or POST with data, once in `rate` seconds a host at most; None where robots.txt forbids it or all tries failed."""
 
     rate: float = 1.0
     retries: int = 3
@@ -39,7 +41,7 @@ class Fetcher:
     agent: str = "quillmill"
     robots: bool = True
     rules: dict = field(default_factory=dict)
-    last: float = 0.0
+    last: dict = field(default_factory=dict)
 
     def allowed(self, url: str) -> bool:
         at = urlsplit(url)
@@ -48,6 +50,7 @@ class Fetcher:
             return True
         if base not in self.rules:
             rules = urllib.robotparser.RobotFileParser(f"{base}/robots.txt")
+            self.wait(url)
             try:
                 rules.read()
             except OSError:
@@ -55,14 +58,19 @@ class Fetcher:
             self.rules[base] = rules
         return self.rules[base] is None or self.rules[base].can_fetch(self.agent, url)
 
+    def wait(self, url: str) -> None:
+        """Until the host may be asked again."""
+        host = (urlsplit(url).hostname or "").lower()
+        time.sleep(max(0.0, self.last.get(host, -self.rate) + self.rate - time.monotonic()))
+        self.last[host] = time.monotonic()
+
     def __call__(self, url: str, data: dict | None = None) -> tuple[str, str] | None:
         """Body and Link header."""
         if not self.allowed(url):
             return None
         ask = urllib.request.Request(url, urlencode(data).encode() if data else None, {"User-Agent": self.agent})
         for k in range(self.retries):
-            time.sleep(max(0.0, self.last + self.rate - time.monotonic()))
-            self.last = time.monotonic()
+            self.wait(url)
             try:
                 with urllib.request.urlopen(ask, timeout=self.timeout) as reply:
                     return reply.read().decode("utf-8", "replace"), reply.headers.get("Link", "")
@@ -78,10 +86,12 @@ class Fetcher:
 
 @dataclass
 class _Pages(InputPartition):
-    url: str
+    """First pages of one host."""
+
+    urls: list[str]
 
     def __post_init__(self):
-        super().__init__(self.url)
+        super().__init__(self.urls)
 
 
 class PagedJson(DataSource):
@@ -103,13 +113,21 @@ class _PagedReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Pages(u) for u in json.loads(self.options["urls"])]
+        hosts: dict[str, list[str]] = {}
+        for u in json.loads(self.options["urls"]):
+            hosts.setdefault((urlsplit(u).hostname or "").lower(), []).append(u)
+        return [_Pages(us) for us in hosts.values()]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
         o = self.options
         get = Fetcher(float(o.get("rate", 1)), int(o.get("retries", 3)), robots=o.get("robots", "true") == "true")
-        for page in range(1, int(o.get("most", 1_000_000)) + 1):
-            got = get(partition.url.replace("{page}", str(page)))
+        for url in partition.urls:
+            yield from self._walk(get, url, int(o.get("most", 1_000_000)))
+
+    @staticmethod
+    def _walk(get: Fetcher, url: str, most: int) -> Iterator[tuple]:
+        for page in range(1, most + 1):
+            got = get(url.replace("{page}", str(page)))
             if got is None:
                 return
             try:
@@ -119,7 +137,7 @@ class _PagedReader(DataSourceReader):
             listed = said if isinstance(said, list) else said.get("items", [said])
             if not listed:
                 return
-            yield partition.url, page, got[0]
+            yield url, page, got[0]
             if not (said.get("has_more", False) if isinstance(said, dict) else 'rel="next"' in got[1]):
                 return
             if isinstance(said, dict):
@@ -133,17 +151,36 @@ def pages(spark: SparkSession, urls: list[str], **options) -> DataFrame:
     return reader.options(**{k: str(v).lower() for k, v in options.items()}).load()
 
 
+def in_turn(urls: list[str | None]) -> list[int]:
+    """The order that takes hosts in turn: each one's first address, then each one's second, and so on."""
+    seen: dict[str, int] = {}
+    rounds = []
+    for u in urls:
+        host = (urlsplit(u).hostname or "").lower() if u else ""
+        rounds.append(seen.get(host, 0))
+        seen[host] = rounds[-1] + 1
+    return sorted(range(len(urls)), key=rounds.__getitem__)
+
+
 def fetched(df: DataFrame, url: str, out: str = "reply", **how) -> DataFrame:
-    """df with the body behind the address in a column; null where there is none."""
+    """df with the body behind the address in a column; null where there is none. Rows are dealt to tasks by the address's host."""
     at, names = df.columns.index(url), [*df.columns, out]
 
     def run(batches):
         get = Fetcher(**how)
         for b in batches:
-            got = [get(u) if u else None for u in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g and g[0] for g in got], pa.string())], names=names)
-
-    return df.mapInArrow(run, df.select("*", F.lit(None).cast("string").alias(out)).schema)
+            urls = b.column(at).to_pylist()
+            got: list[str | None] = [None] * len(urls)
+            for k in in_turn(urls):
+                said = get(urls[k]) if urls[k] else None
+                got[k] = said and said[0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=names)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    host = F.lower(F.regexp_extract(F.col(url), r"(?s)\A[^:]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+    # rows without an address ask nobody
+    slot = F.when(F.col(url).isNull(), F.floor(F.rand(7) * tasks)).otherwise(F.pmod(F.xxhash64(host), F.lit(tasks))).cast("int")
+    return df.repartitionById(tasks, slot).mapInArrow(run, df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
 def _full(df: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import base64
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
 
@@ -89,3 +90,37 @@ def test_completion_server(api):
     assert model.healthy() and model.generate("say") == "say 9" and model.generate("none") is None
     gone = HttpGenerator("http://127.0.0.1:9", timeout=2)
     assert not gone.healthy() and gone.generate("say") is None
+
+
+def test_hosts_are_asked_one_at_a_time(spark):
+    """Rows of two hosts over many tasks: a host's requests lie the rate apart, and hosts don't wait for each other."""
+    times: dict[str, list[float]] = {}
+
+    class Clock(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def do_GET(self):
+            times.setdefault(self.headers["Host"].split(":")[0], []).append(time.monotonic())
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"items": [1], "has_more": false}')
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Clock)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    port, hosts = server.server_port, ("127.0.0.1", "localhost")
+    rows = [(k, f"http://{hosts[k % 2]}:{port}/{k}") for k in range(16)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, address string").repartition(8)
+    got = web.fetched(df, "address", rate=0.5, robots=False).collect()
+    assert len(got) == 17 and sum(r.reply is None for r in got) == 1
+    for h in hosts:
+        at = sorted(times[h])
+        assert len(at) == 8 and min(b - a for a, b in zip(at, at[1:])) > 0.3
+    times.clear()
+    urls = [f"http://{h}:{port}/p{k}?page={{page}}" for k in range(4) for h in hosts]
+    assert web.pages(spark, urls, rate=0.5, robots=False).count() == 8
+    for h in hosts:
+        at = sorted(times[h])
+        assert len(at) == 4 and min(b - a for a, b in zip(at, at[1:])) > 0.3
+    server.shutdown()
+    assert web.in_turn(["http://a/1", "http://a/2", None, "http://b/1", "http://a/3", "http://b/2"]) == [0, 2, 3, 1, 5, 4]
