@@ -16,10 +16,22 @@ from quillmill.operators import series
 from quillmill.operators.generate import TextGenerator, clean_fact, cut_event, fallback_variations, generated, parse_variations, verdict
 from quillmill.plans.scratch import scratch, written
 
-#: Domains of facts; words of outline lines that aren't events; the event that fills up a short outline.
+#: Domains of facts; words of outline lines that aren't events; the event that fills up a short outline; what
+#: a line of an outline is told with, if the model gives nothing.
 DOMAINS = ["news", "science", "business", "sports", "social", "entertainment", "technology"]
+#: What a model is told of each domain.
+GUIDANCE = {
+    "news": "an event of public interest, with place, date and counts",
+    "science": "a finding with what was measured, by how much and on how many cases",
+    "business": "a company's result or deal, with amounts and the change in per cent",
+    "sports": "a match or record, with the score or time and who set it",
+    "social": "a change in how people live, with the share of people and the years compared",
+    "entertainment": "a release or award, with sales, viewers or ratings",
+    "technology": "a product or system, with a measured speed, size or price",
+}
 OUTLINE_WORDS = ["example", "requirement", "write", "event:", "bullet"]
 FILLER = "Additional developments continued in the ongoing situation."
+AFTERWARDS, SHORT = "Following the previous developments, ", "At this stage of the unfolding events, "
 
 Make = Callable[[], TextGenerator]
 
@@ -70,7 +82,7 @@ def variations(spark: SparkSession, make: Make, groups: int = 20, per_group: int
     """group_idx, facts: variations of one fact a group, filled up with it."""
     if domain not in DOMAINS:
         raise ValueError(f"unknown domain {domain!r}")
-    ask = F.concat(F.lit(f"Write one {domain} fact with figures. Number "), (F.col("id") + 1).cast("string"))
+    ask = F.concat(F.lit(f"Write one {domain} fact with figures: {GUIDANCE[domain]}. Number "), (F.col("id") + 1).cast("string"))
     rows = generated(spark.range(groups).select(F.col("id").alias("group_idx"), ask.alias("prompt")), make, **how)
     rows = rows.select("group_idx", clean_fact(F.col("answer")).alias("seed")).where("seed is not null")
     rows = rows.withColumn("prompt", F.concat(F.lit(f"Say this in {per_group} other ways, one a line, with the same figures: "), "seed"))
@@ -113,7 +125,9 @@ def stories(spark: SparkSession, make: Make, groups: int = 20, per_group: int =
     """group_idx, facts: an outline of events a group, each told with the two before it in view.
 
     Outlines of less than 60 % of the events are no outlines. An event without a usable answer is its outline's line."""
-    ask = F.concat(F.lit(f"Outline a {domain} story in {per_group} connected events, one a line. Number "), (F.col("id") + 1).cast("string"))
+    if domain not in DOMAINS:
+        raise ValueError(f"unknown domain {domain!r}")
+    ask = F.concat(F.lit(f"Outline a {domain} story, on {GUIDANCE[domain]}, in {per_group} connected events, one a line. Number "), (F.col("id") + 1).cast("string"))
     rows = generated(spark.range(groups).select(F.col("id").alias("group_idx"), ask.alias("prompt")), make, **how)
     rows = rows.select("group_idx", outline(F.col("answer")).alias("lines")).where(F.size("lines") >= max(1, 0.6 * per_group))
     lines = F.slice(F.concat("lines", F.array_repeat(F.lit(FILLER), per_group)), 1, per_group)
@@ -122,8 +136,8 @@ def stories(spark: SparkSession, make: Make, groups: int = 20, per_group: int =
         line = F.col("lines")[k]
         before = F.array_join(F.transform(F.slice("facts", F.lit(max(1, k - 1)), F.lit(2)), lambda x: F.substring(x, 1, 100)), "\n- ")
         ask = F.concat(F.lit("Tell this event in full: "), line, F.lit("\nBefore it:\n- "), before)
-        plain = line if k == 0 else F.concat(F.lit("Following the previous developments, "), F.lower(line))
-        plain = F.when(F.length(plain) < 50, F.concat(F.lit("At this stage of the unfolding events, "), plain)).otherwise(plain)
+        plain = line if k == 0 else F.concat(F.lit(AFTERWARDS), F.lower(line))
+        plain = F.when(F.length(plain) < 50, F.concat(F.lit(SHORT), plain)).otherwise(plain)
         rows = generated(rows.withColumn("prompt", ask), make, **how)
         told = F.coalesce(cut_event(clean_event(F.col("answer")), most), plain)
         rows = rows.select("group_idx", "lines", F.concat("facts", F.array(told)).alias("facts"))

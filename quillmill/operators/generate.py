@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import WS, strip
 from quillmill.sources.records import generated_samples
 
-#: Prefixes of fallback variations, words of lines that aren't variations, markers that end a fact.
+#: Prefixes of fallback variations, words of lines that aren't variations, markers that end a fact, marks of a
+#: solution and the stock one, types of evolution.
 PREFIXES = ["According to reports, ", "It was reported that ", "Sources indicate that ", "Officials confirmed that ", "Data shows that "]
 INSTRUCTION_WORDS = ["example", "variation", "write", "rewrite", "original"]
 FACT_ENDS = ["Example:", "Your fact", "Generate"]

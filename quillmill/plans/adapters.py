@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.sources.records import to_samples
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,14 +35,9 @@ DOCS = """docs AS (SELECT d.doc_id AS idx, split_part(text, chr(10), 1) AS instr
 
 def convs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as idx, instruction, response: the turns of each role joined by blank lines."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    said = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-
-    def of(role: str):
-        return F.array_join(F.transform(F.filter("t", lambda x: x["role"] == role), lambda x: x["text"]), "\n\n")
-
-    both = F.exists("t", lambda x: x["role"] == "user") & F.exists("t", lambda x: x["role"] == "assistant")
-    return said.where(both).select(F.col("conv_id").alias("idx"), of("user").alias("instruction"), of("assistant").alias("response"))
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return to_samples(said.withColumnRenamed("conv_id", "idx"), hub=True).select("idx", "instruction", "response")
 
 
 CONVS = """convs AS (SELECT * FROM (SELECT conv_id AS idx,

@@ -42,6 +42,19 @@ def _append(df: DataFrame | None, new: DataFrame) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True)
 
 
+#: Strategies of the `generate` operation by name; further ones take the samples, the maker of models and their options.
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {
+    "self_instruct": generate.self_instruct,
+    "evol_instruct": generate.evolve,
+    "distillation": generate.respond,
+    "response_gen": generate.respond,
+    "instruction_gen": generate.ask_about,
+    "chain_of_thought": generate.reason,
+}
+#: Operations beside the pipeline's own methods: each takes the samples and its config.
+OPERATIONS: dict[str, Callable[[DataFrame | None, dict], DataFrame]] = {}
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, config: dict, store: Store | None = None, make: Callable[[], generate.TextGenerator] | None = None):
         self.spark, self.operations, self.store, self.make = spark, parse(config), store, make
@@ -55,6 +68,8 @@ class Pipeline:
 
     def apply(self, op: Operation) -> None:
         step = getattr(self, f"_{op.type}", None)
+        if op.type in OPERATIONS:
+            step = lambda config: OPERATIONS[op.type](self.samples, config)
         if step is None:
             raise ValueError(f"unknown operation {op.type!r}")
         self.history.append((op.name, self.samples))
@@ -70,7 +85,7 @@ class Pipeline:
         return _append(self.samples if c.get("append", True) else None, files.load(self.spark, c.get("paths") or c["path"]))
 
     def _generate(self, c: dict) -> DataFrame:
-        strategy = {"self_instruct": generate.self_instruct, "evol_instruct": generate.evolve, "distillation": generate.respond, "response_gen": generate.respond, "instruction_gen": generate.ask_about, "chain_of_thought": generate.reason}[c["strategy"]]
+        strategy = STRATEGIES[c["strategy"]]
         make = self.make or (lambda: generate.HttpGenerator(c["url"]))
         options = {k: v for k, v in c.items() if k not in ("strategy", "url")}
         return _append(self.samples, strategy(self.samples, make, **options))

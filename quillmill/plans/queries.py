@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.operators import dedup, generate, postings, query, repair, score, series, temporal, validate
+from quillmill.operators import dedup, generate, postings, query, repair, score, series, temporal, textindex, validate
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
 from quillmill.plans.scratch import scratch
-from quillmill.sources.files import load, read_json
+from quillmill.sources.files import load, read_json, write_records
 from quillmill.sources.html import clean_html
 from quillmill.sources.records import generated_samples, hub_samples, to_samples
 
@@ -181,6 +181,31 @@ def _json_shapes(s, d):
     return to_samples(read_json(s, f"{folder}/g=*/*")).select("id", "source_line", "instruction", F.sha2("response", 256).alias("response"))
 
 
+def _search_indexed(s, d):
+    """Samples in files by source, of which searches read those that may hold the needle."""
+    df, folder = docs(s, d), scratch(s, "search")
+    df.repartitionByRange(16, "source_type", "idx").write.parquet(folder)
+    textindex.build(s, folder, index := scratch(s, "search-index"))
+    out = None
+    for needle in ("THAT", "licensed under the apache", "idiot", "zu", "(499) 555-6503", "no such text"):
+        one = textindex.search(s, folder, index, needle)[0].select(F.lit(needle).alias("needle"), "idx")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _records(s, d):
+    """Events as points of series, written in each format and read back."""
+    points = table(s, d, "events").select(F.date_format("ts", series.ISO).alias("timestamp"), F.round(F.col("value") * 100).cast("long").alias("value"), F.concat(F.lit("user_"), "user_id").alias("series_id"))
+    folder, out = scratch(s, "records"), None
+    for kind in ("jsonl", "json", "csv"):
+        write_records(points, f"{folder}/{kind}", kind)
+        back = {"jsonl": lambda p: s.read.json(p), "json": lambda p: read_json(s, p), "csv": lambda p: s.read.csv(p, header=True)}[kind](f"{folder}/{kind}")
+        one = back.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+        one = one.select(F.lit(kind).alias("format"), "series_id", "n", "total", "first", "last")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _csv_headers(s, d):
     """Documents written as CSV files of three headers, of which one pattern reads each by its own."""
     df = table(s, d, "documents").withColumn("part", F.pmod("doc_id", F.lit(3)))
@@ -238,6 +263,8 @@ def _postings_counts(s, d):
 
 
 QUERIES = {
+    "search_indexed": _search_indexed,
+    "records_written": _records,
     "postings_filters": _postings_filters,
     "postings_counts": _postings_counts,
     "postings_select": lambda s, d: postings.select(docs(s, d), postings.matching(_index(s, d), **FILTERS["combined"])).select("idx", F.sha2("response", 256).alias("response"), "quality_score"),
@@ -323,6 +350,10 @@ POSTINGS_SQL = f"""WITH {DOCS}, f AS (SELECT 'quality' AS filter, idx FROM docs
   UNION ALL SELECT 'status', idx FROM docs WHERE review_status IN ('rejected', 'flagged') UNION ALL SELECT 'everything', idx FROM docs)"""
 
 SQL = {
+    "search_indexed": f"""WITH {DOCS}, n AS (SELECT unnest(['THAT', 'licensed under the apache', 'idiot', 'zu', '(499) 555-6503', 'no such text']) AS needle)
+      SELECT needle, idx FROM docs JOIN n ON contains(lower(instruction), lower(needle)) OR contains(lower(response), lower(needle))""",
+    "records_written": """SELECT format, 'user_' || user_id AS series_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS first, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last
+      FROM events, (SELECT unnest(['jsonl', 'json', 'csv']) AS format) GROUP BY ALL""",
     "postings_filters": f"{POSTINGS_SQL} SELECT filter, idx FROM f",
     "postings_counts": f"{POSTINGS_SQL} SELECT n.filter, count(f.idx) AS n FROM (SELECT unnest(['quality', 'tags_any', 'tags_all', 'no_both', 'combined', 'status', 'everything']) AS filter) n LEFT JOIN f USING (filter) GROUP BY n.filter",
     "postings_select": f"{POSTINGS_SQL} SELECT idx, sha256(response) AS response, quality_score FROM f JOIN docs USING (idx) WHERE filter = 'combined'",

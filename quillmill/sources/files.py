@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -290,3 +292,55 @@ def load_hub(spark: SparkSession, base: str, name: str, split: str = "train", su
     before = rows.groupBy("source_file").agg(F.max("source_line").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     rows = rows.join(before.drop("n"), "source_file").withColumn("idx", F.col("before") + F.col("source_line") - 1).drop("before")
     return hub_samples(rows, name, **fields)
+
+
+def count(spark: SparkSession, paths: str | list[str], **fields) -> int | None:
+    """Samples of files; None where they can't be read."""
+    try:
+        return load(spark, paths, **fields).count()
+    except (OSError, ValueError, PySparkException):
+        return None
+
+
+def count_hub(spark: SparkSession, base: str, name: str, split: str = "train", subset: str | None = None, streaming: bool = False) -> int | None:
+    """Rows of a hub data set's export, from the footers of its Parquet files or the lines of the others; None for a stream
+    and where it can't be read."""
+    stem = "/".join([base.rstrip("/"), name, *([subset] if subset else []), split])
+    if streaming:
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{stem}*.parquet")
+    try:
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            return spark.read.parquet(f"{stem}*.parquet").count()  # reads no column
+        return spark.read.text(f"{stem}*.jsonl").where(strip(F.col("value")) != "").count()
+    except PySparkException:
+        return None
+
+
+def register(kind: str, suffixes: tuple[str, ...], reader: Callable[..., DataFrame]) -> None:
+    """A further reader: `scan` gives it the session and the list of its files, and takes rows with source_file from it."""
+    READERS[kind] = reader
+    SUFFIXES.update(dict.fromkeys((x.lower() for x in suffixes), kind))
+
+
+def write_records(df: DataFrame, path: str, format: str = "jsonl") -> None:
+    """Points of series, facts or other records as jsonl, json (each file one list) or csv (with a header)."""
+    if format == "jsonl":
+        df.write.option("ignoreNullFields", "false").json(path)
+    elif format == "csv":
+        df.write.csv(path, header=True, escape='"')
+    elif format == "json":
+        lines = df.select(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+        def listed(batches):
+            first = True
+            for b in batches:
+                if b.num_rows:
+                    texts = b.column(0).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([("[" if first and k == 0 else ",") + t for k, t in enumerate(texts)], pa.string())], names=["value"])
+                    first = False
+            yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+        lines.mapInArrow(listed, "value string").write.text(path)
+    else:
+        raise ValueError(f"unsupported format {format!r}")
