@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.operators import dedup, generate, postings, query, repair, score, series, temporal, textindex, validate
+from quillmill.plans import round_trips
 from quillmill.plans.adapters import CONVS, DOCS, FACTS, convs, docs, facts, table
 from quillmill.plans.pipeline import Pipeline
 from quillmill.plans.scratch import scratch
@@ -419,3 +420,8 @@ SQL = {
       sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, strpos(response, '{m}'))")} ELSE " for m in S.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN p[-1] ELSE '{S.STOCK_SOLUTION}' END {"END " * 5}) AS answer FROM p""",
 }
 SQL["postings_distributions"] = SQL["index_distributions"]
+QUERIES |= round_trips.QUERIES
+SQL |= round_trips.SQL
+SQL["curated_stream"] = DOC_BASE.replace("base AS (SELECT * FROM docs)", f"base AS (SELECT * FROM docs WHERE len({_errors()}) = 0)") + SCORED + " SELECT idx, round(overall, 9) AS overall FROM scored"
+SQL["pipeline_undone"] = f"""{DOC_BASE.replace("base AS (SELECT * FROM docs)", f"base AS (SELECT * FROM docs WHERE len({_errors()}) = 0 AND list_has_any(tags, ['en', 'de']))")} t AS (SELECT 'quality' AS kind, CASE WHEN quality_score IS NOT NULL THEN printf('%.1f', {BUCKET}) END AS value FROM base
+  UNION ALL SELECT 'source', source_type FROM base UNION ALL SELECT 'status', review_status FROM base UNION ALL SELECT 'tag', unnest(tags) FROM base) SELECT kind, value, count(*) AS n FROM t WHERE value IS NOT NULL GROUP BY kind, value"""
