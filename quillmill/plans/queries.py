@@ -182,6 +182,12 @@ def _json_shapes(s, d):
     return to_samples(read_json(s, f"{folder}/g=*/*")).select("id", "source_line", "instruction", F.sha2("response", 256).alias("response"))
 
 
+def _days(s, d):
+    """The first day of the events, the day after the last, and how many types of events there are."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return table(s, d, "events").agg(day(F.min("ts")), day(F.date_add(F.max("ts"), 1)), F.countDistinct("event_type")).first()
+
+
 def _search_indexed(s, d):
     """Samples in files by source, of which searches read those that may hold the needle."""
     df, folder = docs(s, d), scratch(s, "search")
@@ -320,9 +326,9 @@ QUERIES = {
     "temporal_one_group": lambda s, d: temporal.groups(facts(s, d).withColumn("group_id", F.when(F.pmod("idx", F.lit(10)) == 0, F.col("group_id")).otherwise("most")), piece=256),
     "temporal_summary": lambda s, d: temporal.summary(facts(s, d)),
     "temporal_stats": lambda s, d: temporal.statistics(facts(s, d)),
-    "ts_grid": lambda s, d: series.grid(s, "2024-01-01", "2024-01-07").select("i", F.date_format("ts", series.ISO).alias("timestamp")),
-    "ts_values": lambda s, d: series.values(s, "2024-01-01", "2024-01-07", noise=0.0, variation=0.0, weekly=15.0),
-    "timestamp_ranges": lambda s, d: series.ranges(s, "2024-01-01", "2024-01-31"),
+    "ts_grid": lambda s, d: series.grid(s, *_days(s, d)[:2]).select("i", F.date_format("ts", series.ISO).alias("timestamp")),
+    "ts_values": lambda s, d: series.values(s, *_days(s, d)[:2], series=_days(s, d)[2], noise=0.0, variation=0.0, weekly=15.0),
+    "timestamp_ranges": lambda s, d: series.ranges(s, *_days(s, d)[:2]),
     "clean_html": lambda s, d: table(s, d, "pages").select("page_id", clean_html("html").alias("text")),
     "fallback_variations": lambda s, d: docs(s, d).select("idx", F.array_join(generate.fallback_variations(F.col("instruction")), "|").alias("v")),
     "cot_split": lambda s, d: docs(s, d).select("idx", *[F.sha2(c, 256).alias(n) for n, c in zip(("thought", "answer"), generate.chain_split(F.col("response")), strict=True)]),
@@ -350,6 +356,8 @@ POSTINGS_SQL = f"""WITH {DOCS}, f AS (SELECT 'quality' AS filter, idx FROM docs
   UNION ALL SELECT 'combined', idx FROM docs WHERE {BUCKET} BETWEEN 0.5 AND 1.0 AND quality_score IS NOT NULL AND source_type IN ('src1', 'src2', 'src3') AND list_has_any(tags, ['en']) AND review_status = 'approved'
   UNION ALL SELECT 'status', idx FROM docs WHERE review_status IN ('rejected', 'flagged') UNION ALL SELECT 'everything', idx FROM docs)"""
 
+DAYS = "WITH days AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS a, (date_trunc('day', max(ts)) + INTERVAL 1 DAY)::TIMESTAMP AS b, count(DISTINCT event_type) AS kinds FROM events)"
+
 SQL = {
     "search_indexed": f"""WITH {DOCS}, n AS (SELECT unnest(['THAT', 'licensed under the apache', 'idiot', 'zu', '(499) 555-6503', 'no such text']) AS needle)
       SELECT needle, idx FROM docs JOIN n ON contains(lower(instruction), lower(needle)) OR contains(lower(response), lower(needle))""",
@@ -409,11 +417,12 @@ SQL = {
       h AS (SELECT avg(x) AS h FROM (SELECT epoch(lead(t) OVER (ORDER BY idx) - t) / 3600 AS x FROM a))
       SELECT count(*) AS total_facts, count(DISTINCT group_id) AS num_groups, round(count(*) / count(DISTINCT group_id), 1) AS avg_facts_per_group, strftime(min(t), '%Y-%m-%dT%H:%M:%S') AS start_date, strftime(max(t), '%Y-%m-%dT%H:%M:%S') AS end_date,
       CAST(floor(epoch(max(t) - min(t)) / 86400) AS BIGINT) AS days, (SELECT CASE WHEN h BETWEEN 0.9 AND 1.1 THEN 'hourly' WHEN h BETWEEN 23 AND 25 THEN 'daily' WHEN h BETWEEN 0.015 AND 0.025 THEN 'minutes' ELSE printf('~%.1f hours', h) END FROM h) AS detected_frequency FROM f""",
-    "ts_grid": "SELECT row_number() OVER (ORDER BY t) - 1 AS i, strftime(t, '%Y-%m-%dT%H:%M:%S') AS \"timestamp\" FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07', INTERVAL 1 HOUR) g(t)",
-    "ts_values": """SELECT 'series_' || s AS series_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS "timestamp", round(100.0::DOUBLE + 10 * sin(2 * pi() * hour(t) / 24) + 15 * sin(2 * pi() * (isodow(t) - 1) / 7), 2) AS value
-      FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07', INTERVAL 1 HOUR) g(t), range(5) r(s)""",
-    "timestamp_ranges": """SELECT CAST(g AS BIGINT) AS group_idx, CAST(v AS INTEGER) AS variation_idx, strftime(make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + CAST(round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(TIMESTAMP '2024-01-01')) * g / 20) AS BIGINT) + v * 3600000000), '%Y-%m-%dT%H:%M:%S') AS "timestamp"
-      FROM range(20) a(g), range(7) b(v)""",
+    "ts_grid": f"{DAYS} SELECT row_number() OVER (ORDER BY t) - 1 AS i, strftime(t, '%Y-%m-%dT%H:%M:%S') AS \"timestamp\" FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM days)",
+    "ts_values": f"""{DAYS} SELECT 'series_' || s AS series_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS "timestamp", round(100.0::DOUBLE + 10 * sin(2 * pi() * hour(t) / 24) + 15 * sin(2 * pi() * (isodow(t) - 1) / 7), 2) AS value
+      FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM days), (SELECT unnest(range(kinds)) AS s FROM days)""",
+    "timestamp_ranges": f"""{DAYS} SELECT CAST(g AS BIGINT) AS group_idx, CAST(v AS INTEGER) AS variation_idx, strftime(make_timestamp(epoch_us(a) + CAST(round((epoch_us(b) - epoch_us(a)) * g / 20) AS BIGINT) + v * 3600000000), '%Y-%m-%dT%H:%M:%S') AS "timestamp"
+      FROM days, range(20) x(g), range(7) y(v)""",
+    "generate_answers": f"""WITH {DOCS} SELECT instruction, 'Answer ' || array_to_string(list_transform(range(24), lambda k: substr(sha256(instruction), CAST(k AS INT) + 1, 4)), ' ') || '.' AS response FROM docs""",
     "fallback_variations": f"WITH {DOCS}, l AS (SELECT idx, instruction, lower(substr(instruction, 1, 1)) || substr(instruction, 2) AS low FROM docs) SELECT idx, array_to_string(list_prepend(instruction, list_transform({S.PREFIXES}, lambda p: p || low)), '|') AS v FROM l",
     "cot_split": f"""WITH {DOCS}, p AS (SELECT idx, response, string_split({_strip('response')}, {NL} || {NL}) AS p FROM docs)
       SELECT idx, sha256({"".join(f"CASE WHEN contains(response, '{m}') THEN {_strip(f"substr(response, 1, strpos(response, '{m}') - 1)")} ELSE " for m in S.SOLUTION_MARKS)} CASE WHEN len(p) > 1 THEN array_to_string(p[:-2], {NL} || {NL}) ELSE response END {"END " * 5}) AS thought,
