@@ -19,24 +19,14 @@ BITS = 1 << 18
 
 def _trigrams(text: Column) -> Column:
     """Distinct positions of a lower-cased text's trigrams, from 1."""
-    low = F.lower(text)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(0))), lambda k: F.substring(low, k, F.lit(3)))
-    each = F.when(F.length(low) >= 3, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    each = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
     return F.transform(each, lambda g: F.pmod(F.xxhash64(g), F.lit(BITS)) + 1)
 
 
-def _letters(text: Column) -> Column:
-    """The text in pieces that overlap by two characters, since taking a long text apart character by character is quadratic."""
-    size = 512
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / size))
-    return F.transform(starts, lambda k: F.substring(text, (k * size + 1).cast("int"), F.lit(size + 2)))
-
-
 def build(spark: SparkSession, table: str, path: str, fields: tuple[str, ...] = ("instruction", "response")) -> DataFrame:
     """file, bucket, bits: the filters of the table's files, written to `path`."""
     rows = spark.read.parquet(table).select(F.col("_metadata.file_path").alias("file"), F.explode(F.array(*(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))).alias("text"))
-    pieces = rows.select("file", F.explode(_letters(F.col("text"))).alias("piece"))
-    at = pieces.select("file", F.explode(_trigrams(F.col("piece"))).alias("at"))
+    at = rows.select("file", F.explode(_trigrams(F.col("text"))).alias("at")).distinct()  # by hashing: the bitmaps' aggregate sorts
     bits = at.groupBy("file", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits.write.mode("overwrite").parquet(path)
     files = rows.select("file").distinct()  # a file without trigrams has no bitmap
