@@ -55,6 +55,24 @@ class HttpGenerator:
         except (OSError, ValueError):
             return False
 
+    def wait_ready(self, timeout: float = 60.0, pause: float = 0.5) -> bool:
+        """Whether the server became healthy in so many seconds."""
+        until = time.monotonic() + timeout
+        while not self.healthy():
+            if time.monotonic() + pause > until:
+                return False
+            time.sleep(pause)
+        return True
+
+    def properties(self) -> dict:
+        """What the server says of itself at {url}/props; nothing if it doesn't answer."""
+        try:
+            with urllib.request.urlopen(f"{self.url}/props", timeout=self.timeout) as reply:
+                found = json.load(reply)
+                return found if isinstance(found, dict) else {}
+        except (OSError, ValueError):
+            return {}
+
     def generate(self, prompt: str) -> str | None:
         body = {"prompt": prompt, "temperature": self.temperature, "top_p": self.top_p, "top_k": self.top_k, "n_predict": self.max_tokens, "stop": list(self.stop)}
         ask = urllib.request.Request(f"{self.url}/completion", json.dumps(body).encode(), {"Content-Type": "application/json"})

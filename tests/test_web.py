@@ -48,6 +48,8 @@ class Replies(BaseHTTPRequestHandler):
             body = {"content": base64.b64encode("Läs".encode()).decode()}
         elif path == "/health":
             body = {"status": "ok"}
+        elif path == "/props":
+            body = {"n_ctx": 4096}
         elif path == "/robots.txt":
             body = None
         else:
@@ -124,3 +126,10 @@ def test_hosts_are_asked_one_at_a_time(spark):
         assert len(at) == 4 and min(b - a for a, b in zip(at, at[1:])) > 0.3
     server.shutdown()
     assert web.in_turn(["http://a/1", "http://a/2", None, "http://b/1", "http://a/3", "http://b/2"]) == [0, 2, 3, 1, 5, 4]
+
+
+def test_a_model_server_is_waited_for(api):
+    model = HttpGenerator(api, timeout=5)
+    assert model.properties() == {"n_ctx": 4096} and model.wait_ready(1)
+    absent = HttpGenerator("http://127.0.0.1:9", timeout=1)
+    assert absent.properties() == {} and not absent.wait_ready(0.2, 0.05)
