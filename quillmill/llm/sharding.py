@@ -5,9 +5,11 @@ smallest even number of bits that holds N, with cycle walking back into 0..N-1,
 gives shard p mod S and slot p div S. Shard sizes in rows differ by one at most (law `rows`), slots are gapless, and
 both directions are computable from (N, key, S) alone: `place` and `locate`.
 
-The numbering needs one thin shuffle (id, size, checksum): range cuts from a hash-chosen sample of keys of fixed size, a
-row number within each range and the ranges' counts, of which the driver holds one long each. Cuts also fall within a
-null or repeated id, between its checksums. The row number doesn't depend on how many ranges there are.
+The numbering needs two thin shuffles. Rows alike in id, checksum and size become one with a count, partly before the first;
+then come range cuts from a hash-chosen sample of keys of fixed size, running sums of counts within each range, and the
+ranges' counts, of which the driver holds one long each. Cuts also fall within a null or repeated id, between its checksums,
+and copies are numbered in steps of `COPIES`, each a row that any task may take: a row that is a third of all is no task's
+load. The row number doesn't depend on how many ranges there are.
 
 Defined cases: a null text has size 1 and checksum 0; null ids come first in the order; rows alike in id, checksum and
 size are interchangeable; an empty table gives no rows; other columns are ignored.
@@ -26,6 +28,8 @@ SHARDS = 16
 KEY = 20240229
 ROUNDS = 6
 RANGE_ROWS = 200_000
+#: Copies of a row that one step numbers.
+COPIES = 65_536
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -72,19 +76,21 @@ def locate(shard: np.ndarray, slot: np.ndarray, n: int, shards: int = SHARDS, ke
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """doc_id, size, text_crc32, row (0..N-1 in total order), and N."""
     spark = docs.sparkSession
+    key = ["doc_id", "text_crc32", "size"]
     thin = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    thin = common.written(thin, common.scratch(spark, "shard-rows"))
-    n = thin.count()
+    # rows alike in all three are one with a count, which the numbering passes over in one step
+    thin = common.written(thin.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), common.scratch(spark, "shard-rows"))
+    n, most = thin.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
     tie = F.shiftleft("text_crc32", 31) + F.least("size", F.lit((1 << 31) - 1))
     cuts = common.ranges(thin, F.col("doc_id"), tie, F.lit(1), max(1, n // ranges))
     thin = thin.withColumn("__range", cuts.of(F.col("doc_id"), tie))
     starts = np.zeros(cuts.count + 1, dtype=np.int64)
-    for r, c in thin.groupBy("__range").count().collect():
+    for r, c in thin.groupBy("__range").agg(F.sum("__n")).collect():
         starts[r + 1] = c
     starts = np.cumsum(starts)
 
@@ -92,9 +98,15 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def start(r):
         return pd.Series(starts[r.to_numpy()])
 
-    order = Window.partitionBy("__range").orderBy("doc_id", "text_crc32", "size")
-    out = thin.withColumn("__rank", F.row_number().over(order).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", (start("__range") + F.col("__rank") - 1).alias("row")), n
+    order = Window.partitionBy("__range").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+    out = thin.withColumn("__first", start("__range") + F.sum("__n").over(order) - F.col("__n"))
+    # copies in steps of COPIES, which are dealt anew where there are so many
+    out = out.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+    if most > COPIES:
+        out = out.repartition(*key, "__step")
+    last = F.least(F.col("__n"), (F.col("__step") + 1) * COPIES) - 1
+    rows = F.explode(F.sequence(F.col("__first") + F.col("__step") * COPIES, F.col("__first") + last)).alias("row")
+    return out.select("doc_id", "size", "text_crc32", rows), n
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

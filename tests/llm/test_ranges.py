@@ -127,3 +127,22 @@ def test_archives_over_shards(spark, monkeypatch):
     # an attempt that comes again finds its names taken and writes the same
     assert sorted(map(tuple, warc.write(pages, folder, roll=5000).collect())) == manifest
     assert sorted(((*r[:6], bytes(r[6])) for r in warc.read(spark, folder).collect()), key=key) == sorted(want, key=key)
+
+
+def test_copies_of_a_row_are_numbered_in_steps(spark, monkeypatch):
+    """A row that is most of the table takes consecutive numbers, given out in steps."""
+    rows = [(None, None)] * 700 + [(5, "x")] * 333 + [(k, f"t{k % 3}") for k in range(200)] + [(5, "y")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    whole = sorted(tuple(r) for r in sharding.shard(df).select("row", "doc_id", "size", "text_crc32", "shard", "slot").collect())
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 40)
+    out = sharding.shard(df)
+    assert sorted(tuple(r) for r in out.select("row", "doc_id", "size", "text_crc32", "shard", "slot").collect()) == whole
+    assert [r[0] for r in whole] == list(range(len(rows)))
+    keys = [(r[1] is not None, r[1] or 0, r[3], r[2]) for r in whole]
+    assert keys == sorted(keys) and sorted((r[4], r[5]) for r in whole) == sorted((p % 16, p // 16) for p in range(len(rows)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 0.6 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
