@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import dedup, generate, query, repair, score, validate
+from quillmill.plans.job import GenerationJob
 from quillmill.plans.scratch import scratch, written
 from quillmill.plans.store import Store
 from quillmill.sources import files
 
+log = logging.getLogger("quillmill.plans")
+
 
 @dataclass
 class Operation:
@@ -85,10 +89,20 @@ class Pipeline:
         return _append(self.samples if c.get("append", True) else None, files.load(self.spark, c.get("paths") or c["path"]))
 
     def _generate(self, c: dict) -> DataFrame:
+        """With `job`, a folder, responses come from a job that goes on where an earlier run of this pipeline was stopped."""
         strategy = STRATEGIES[c["strategy"]]
         make = self.make or (lambda: generate.HttpGenerator(c["url"]))
-        options = {k: v for k, v in c.items() if k not in ("strategy", "url")}
-        return _append(self.samples, strategy(self.samples, make, **options))
+        options = {k: v for k, v in c.items() if k not in ("strategy", "url", "job")}
+        if "job" not in c:
+            return _append(self.samples, strategy(self.samples, make, **options))
+        if strategy is not generate.respond:
+            raise ValueError("only responses are written by jobs")
+        per_batch = options.pop("per_batch", 10_000)
+        job = GenerationJob(self.spark, c["job"], make, **options)
+        job.submit(self.samples.select(F.col("idx").alias("id"), F.col("instruction").alias("prompt")), per_batch)
+        told = job.run().agg(F.sum("n").alias("n"), F.sum("answered").alias("answered")).first()
+        log.info("job %s: %s of %s prompts answered", c["job"], told.answered, told.n)
+        return _append(self.samples, job.answers().select(F.col("prompt").alias("instruction"), F.col("answer").alias("response")))
 
     def _validate(self, c: dict) -> DataFrame:
         limits = {k: tuple(c.get(k, v)) for k, v in validate.LIMITS.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import temporal
 from quillmill.plans.job import GenerationJob, answered
+from quillmill.plans.pipeline import Pipeline
 
 
 def models(folder, dies=None):
@@ -65,6 +66,26 @@ def test_goes_on_after_a_kill(spark, tmp_path):
     assert left.errors().count() == 8 and left.answers().count() == 0
 
 
+def test_a_pipeline_goes_on_with_its_job(spark, tmp_path):
+    made = tmp_path / "calls"
+    made.mkdir()
+    at, samples = str(made), spark.createDataFrame([(k, f"p{k:02}", "old") for k in range(12)], "idx long, instruction string, response string").coalesce(1)
+    step = {"type": "generate", "config": {"strategy": "response_gen", "job": str(tmp_path / "job"), "per_batch": 4, "tries": 1, "pause": 0.0}}
+
+    def run(dies=None):
+        p = Pipeline(spark, {"operations": [step]}, make=models(at, dies))
+        p.samples = samples
+        return p.run()
+
+    with pytest.raises(Exception):
+        run("p09")
+    out = run().collect()
+    assert sorted(r.response for r in out if r.response != "old") == sorted(f"P{k:02}" for k in range(12) if k not in (7, 9)) and len(out) == 22
+    assert all(n == 1 for p, n in calls(made).items() if p < "p04")
+    with pytest.raises(ValueError):
+        Pipeline(spark, {"operations": [{"type": "generate", "config": step["config"] | {"strategy": "evol_instruct"}}]}, make=models(at)).run()
+
+
 def test_calls_in_flight_are_bounded(spark):
     class Slow:
         running = most = 0
