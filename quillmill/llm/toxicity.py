@@ -190,10 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "label", "terms"])
 
     got = texts.select("text", F.xxhash64("id").alias("key"), "label").mapInArrow(run, "key long, label int, terms binary")
-    got = got.orderBy("key", "label", "terms").limit(sample).toArrow()  # where ids repeat, the rows may be more
+    if texts.select("id").count() > sample:  # ids repeat
+        got = got.orderBy("key", "label", "terms").limit(sample)
+    got = got.toArrow()
     got = got.sort_by([("key", "ascending"), ("label", "ascending"), ("terms", "ascending")])
     rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("terms")]
-    return fit(rows, got.column("label").to_numpy().astype(np.float64))
+    machine = fit(rows, got.column("label").to_numpy().astype(np.float64))
+    del rows, got
+    pa.default_memory_pool().release_unused()  # the driver's, before other steps
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
