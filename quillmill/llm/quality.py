@@ -519,7 +519,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = rows.schema["id"].dataType.simpleString()
     all_ = common.written(rows.mapInArrow(measured, f"id {kind}, found array<double>, pages binary, last binary, half int"), folder := common.scratch(spark, "quality-measures"))
     got = all_.join(labelled, "id").select(F.xxhash64("id").alias("key"), F.col("label").cast("double"), "half", "found", "pages", "last")
-    got = got.orderBy("key", "label", "half", "pages", "last").limit(sample).toArrow()  # where ids repeat, the rows may be more
+    got = got.orderBy("key", "label", "half", "pages", "last").limit(sample) if got.select("key").count() > sample else got  # ids repeat
+    got = got.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     key, y, half = (got.column(j).to_numpy() for j in range(3))
     if not len(y) or y.min() == y.max():
         common.remove(spark, folder)
@@ -543,6 +544,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # texts, not ids, part training from calibration and the halves, so that copies of a text lie on one side
     model = co_train(own, y, half >> 1 == 0, bins, cells, rounds)
     common.remove(spark, cells)
+    del got, xz, terms, own
+    pa.default_memory_pool().release_unused()  # the driver's, before other steps
     return model
 
 
