@@ -1,6 +1,7 @@
 """Edge rows, round trips and brute-force comparisons of the sample operators."""
 
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,20 @@ def test_near_pairs_are_all_pairs(spark):
     assert groups == {i: root.get(i, i) for i in {x for p in want for x in p}}
 
 
+def test_near_pairs_are_compared_where_their_blocks_meet(spark, monkeypatch):
+    """Anagrams, of which all pairs pass the bounds: what is dealt to tasks are texts, once for each block, not pairs."""
+    letters = random.Random(3)
+    texts = ["".join(letters.sample("etaoinshrd" * 6, 60)) for _ in range(400)]
+    texts += [texts[0][:-1], texts[0] + "x" * 21]  # of the band below, or of one above and too long
+    dealt, compared = [], dedup._compared
+    monkeypatch.setattr(dedup, "ROWS", 90)
+    monkeypatch.setattr(dedup, "_compared", lambda rows, t: (dealt.append(rows.count()), compared(rows, t))[1])
+    got = {(r.i, r.j): r.sim for r in dedup.similar_pairs(samples(spark, [(i, t, "r", [], None) for i, t in enumerate(texts)])).collect()}
+    assert len(texts) <= dealt[0] < 20 * len(texts) < len(texts) * (len(texts) - 1) / 2
+    want = {(i, j): s for i in range(len(texts)) for j in range(i + 1, len(texts)) if (s := dedup.ratio(texts[i], texts[j], 0.85)) >= 0.85}
+    assert got == want and (0, 400) in want
+
+
 def test_keep_modes(spark):
     t = "one sentence that is long enough to be compared"
     df = samples(spark, [(0, t, "r", [], 0.2), (1, t + ".", "r", [], 0.9), (2, t + "..", "r", [], 0.9), (3, "other", "r", [], None)])
