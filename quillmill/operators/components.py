@@ -3,7 +3,8 @@
 Each round sends every vertex's larger neighbours, then the smaller ones, to the least vertex known nearby; after about
 log n rounds each component is a star around its least vertex. Edges stay distributed; each round is written to the
 shared folder, so a lost executor costs one round. A hub's neighbours are reduced by a partial minimum before the
-shuffle, and joins back to the minimum are plain joins that AQE may split.
+shuffle, and joins back to the minimum are merge joins that AQE may split: small as they can look, minima are never
+broadcast, so that nothing of a round passes the driver.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             # minima are written: dealt anew on both sides, the joins with them stay open to AQE's splitting of a hub
             low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
             low = written(low, at := scratch(spark, "minima"))
-            large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = sym.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             large = written(large, at_large := scratch(spark, "edges"))
             least = written(large.groupBy("u").agg(F.min("v").alias("m")), at_least := scratch(spark, "minima"))
-            joined = large.join(least, "u")
+            joined = large.join(least.hint("merge"), "u")
             small = joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
             nxt = written(small.where("u != v").distinct(), new := scratch(spark, "edges"))
             now = nxt.agg(F.count(F.lit(1)), mark).first()
@@ -44,4 +45,4 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             seen = now
     stars = e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("vertex")).unionByName(loops.select(F.col("u").alias("vertex"))).distinct()
-    return stars.unionByName(roots.join(stars, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component")))
+    return stars.unionByName(roots.join(stars.hint("merge"), "vertex", "left_anti").select("vertex", F.col("vertex").alias("component")))

@@ -1,5 +1,6 @@
 """Edge rows, round trips and brute-force comparisons of the sample operators."""
 
+import importlib
 import json
 import random
 
@@ -257,3 +258,12 @@ def test_hub_splits(spark, tmp_path):
     got = sorted((r.id, r.instruction, r.source_url.endswith("/d"), r.tags, r.license, r.author) for r in files.load_hub(spark, str(tmp_path), "d", subset="en").collect())
     assert got == [(f"d_{k}", i, True, ["g"], "MIT", None) for k, i in ((0, "train-0-0"), (2, "train-0-2"), (3, "train-1-0"))]
     assert files.load_hub(spark, str(tmp_path), "d", "test", "en").count() == 1
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, put = [], importlib.import_module("quillmill.operators.components")
+    monkeypatch.setattr(put, "written", lambda df, path, f=put.written: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, path))[1])
+    found = components(spark.range(60).selectExpr("id AS src", "id + 1 AS dst"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.component for r in found.collect()} == {0}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
