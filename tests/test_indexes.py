@@ -93,3 +93,17 @@ def test_registries(spark, tmp_path, monkeypatch):
     assert set(facts.GUIDANCE) == set(facts.DOMAINS)
     with pytest.raises(ValueError):
         facts.stories(spark, None, domain="none")
+
+
+def test_text_index_makes_a_bitmap_in_the_task_that_reads_a_file(spark, tmp_path, monkeypatch):
+    """Filters leave a task as bitmaps: a row for each file and bucket at most, not one for each trigram."""
+    rows = [(i, f"{chr(97 + i % 26)}É\u0130 {i * 7919} \U0001f600ß", "" if i % 3 else None) for i in range(3000)]
+    spark.createDataFrame(rows, "idx long, instruction string, response string").repartitionByRange(3, "idx").write.parquet(f"{tmp_path}/t")
+    aggregated, agg = [], textindex.F.bitmap_or_agg
+    monkeypatch.setattr(textindex.F, "bitmap_or_agg", lambda c: (aggregated.append(c), agg(c))[1])
+    index = textindex.build(spark, f"{tmp_path}/t", f"{tmp_path}/i")
+    assert aggregated and 3 <= index.count() <= 3 * textindex.BITS // 32768
+    for needle in ("7919 \U0001f600", "aé", "É\u0130 23757 ", "\U0001f600ß", "i\u0307 0", "nothing"):
+        df, read, total = textindex.search(spark, f"{tmp_path}/t", f"{tmp_path}/i", needle)
+        plain = textindex.find_by_text(spark.read.parquet(f"{tmp_path}/t"), needle, ("instruction", "response"), False)
+        assert sorted(r.idx for r in df.collect()) == sorted(r.idx for r in plain.collect()) and read <= total == 3
