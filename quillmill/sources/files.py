@@ -290,7 +290,7 @@ def load_hub(spark: SparkSession, base: str, name: str, split: str = "train", su
     rows = read_parquet(spark, f"{stem}*.parquet") if parquet else read_jsonl(spark, f"{stem}*.jsonl")
     earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     before = rows.groupBy("source_file").agg(F.max("source_line").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    rows = rows.join(before.drop("n"), "source_file").withColumn("idx", F.col("before") + F.col("source_line") - 1).drop("before")
+    rows = rows.join(F.broadcast(before.drop("n")), "source_file").withColumn("idx", F.col("before") + F.col("source_line") - 1).drop("before")
     return hub_samples(rows, name, **fields)
 
 

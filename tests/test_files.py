@@ -163,3 +163,14 @@ def test_csv_records_over_splits(spark, tmp_path):
     (tmp_path / "h.csv").write_text("instruction,response\n")
     (tmp_path / "stray.csv").write_text('instruction,response\n5" pipe,a "word" b\n"open to the end,\nof the file\n')
     assert pairs(files.read_csv(spark, [f"{tmp_path}/{n}.csv" for n in ("e", "h", "stray")])) == [('5" pipe', 'a "word" b'), ("open to the end,\nof the file", None)]
+
+
+def test_an_export_has_more_files_with_more_text(spark, tmp_path, monkeypatch):
+    from quillmill.plans import round_trips
+
+    spark.range(900).selectExpr("899 - id AS doc_id", "'en' AS lang", "repeat(cast(id AS string), 50) AS text", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(round_trips, "FILE_BYTES", 10_000)
+    monkeypatch.setattr(round_trips, "scratch", lambda s, tag: f"{tmp_path}/{tag}")
+    rows = round_trips._hub_export(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.idx) for r in rows} == {(k, k) for k in range(900)} and len(rows) == 900
+    assert len(list(tmp_path.glob("hub/corpus/en/train-parts.parquet/part-*"))) >= 13
