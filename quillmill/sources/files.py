@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -23,9 +24,22 @@ log = logging.getLogger("quillmill.sources")
 LISTS = ("data", "samples", "examples")
 #: Marks of samples in text files.
 MARKS = ("=== INSTRUCTION ===", "=== RESPONSE ===", "=== END ===")
+#: Tasks that list the folders of a read; by default each folder would be a task of its own.
+LISTING, TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 64
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".parquet": "parquet", ".txt": "txt"}
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """What is read within lists its folders by few tasks, as files are listed when a table is opened."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(TASKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def json_items(value: Column) -> Column:
     """The records in a file's text, as JSON texts: of a list, of the list under data, samples or examples, or the one
     record. Null if the text is none of these."""
@@ -65,20 +79,23 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Files are read in splits, as large ones must be. A split's lines have consecutive row ids, so a line's number is its
     distance from its split's first id, and the number of lines in earlier splits of the file: one row a split."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__at"))
+    with listing(spark):
+        lines = spark.read.text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__at"))
     lines = lines.withColumn("__id", F.monotonically_increasing_id())
     splits = lines.groupBy("source_file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     number = (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("int")
-    return lines.join(splits, ["source_file", "__at"]).select("source_file", number.alias("source_line"), F.col("value").alias("line"))
+    return lines.join(F.broadcast(splits), ["source_file", "__at"]).select("source_file", number.alias("source_line"), F.col("value").alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
     """One record a line, with its physical line number; blank and malformed lines are skipped."""
     lines = numbered_lines(spark, path).where(strip(F.col("line")) != "")
     if schema is None:
-        schema = spark.read.json(path).drop("_corrupt_record").schema
+        with listing(spark):
+            schema = spark.read.json(path).drop("_corrupt_record").schema
     rows = lines.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).where(F.try_parse_json("line").isNotNull() & F.col("r").isNotNull())
     return rows.select("r.*", "source_file", "source_line")
 

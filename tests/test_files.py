@@ -165,6 +165,24 @@ def test_csv_records_over_splits(spark, tmp_path):
     assert pairs(files.read_csv(spark, [f"{tmp_path}/{n}.csv" for n in ("e", "h", "stray")])) == [('5" pipe', 'a "word" b'), ("open to the end,\nof the file", None)]
 
 
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"g={k}").mkdir()
+        (tmp_path / f"g={k}" / "a.jsonl").write_text(f'\n{{"query": "q{k}"}}\n', encoding="utf-8")
+    before = spark.conf.get(files.LISTING)
+    files.TASKS, tasks = 3, files.TASKS
+    spark.sparkContext.setJobGroup("folders", "listing")
+    try:
+        rows = files.read_jsonl(spark, f"{tmp_path}/g=*").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        files.TASKS = tasks
+    assert {(r.query, r.source_line) for r in rows} == {(f"q{k}", 2) for k in range(40)}
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(x) for j in told.getJobIdsForGroup("folders") for x in told.getJobInfo(j).stageIds]
+    assert stages and max(x.numTasks for x in stages if x) < 40 and spark.conf.get(files.LISTING) == before
+
+
 def test_an_export_has_more_files_with_more_text(spark, tmp_path, monkeypatch):
     from quillmill.plans import round_trips
 
