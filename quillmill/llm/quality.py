@@ -55,6 +55,8 @@ SHARP = 256
 CHUNK = 1 << 18
 #: Labelled ids up to this number are broadcast, as 16 bytes each.
 BROADCAST_IDS = 500_000
+#: Tasks that add up sums before they reach the driver.
+FEW, MANY = 4, 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -299,7 +301,8 @@ class Model:
 
 
 def _added(rows: DataFrame, shape: tuple[int, ...], of, deep: bool = False) -> np.ndarray:
-    """The sum over all batches of what `of` gives, an array of the shape; deep: a few tasks add up those of many first."""
+    """The sum over all batches of what `of` gives, an array of the shape. `FEW` tasks, or `MANY` if deep, add up those of all
+    others first, so that what reaches the driver doesn't grow with the partitions."""
 
     def sums(read):
         def run(batches):
@@ -311,11 +314,10 @@ def _added(rows: DataFrame, shape: tuple[int, ...], of, deep: bool = False) -> n
         return run
 
     def again(b):
-        return sum((np.frombuffer(x).reshape(shape) for x in b.column(0).to_pylist()), np.zeros(shape))
+        return sum((np.frombuffer(x).reshape(shape) for x in sorted(b.column(0).to_pylist())), np.zeros(shape))  # in one order
 
     got, out = rows.mapInArrow(sums(of), "total binary"), np.zeros(shape)
-    if deep:
-        got = got.repartition(16).mapInArrow(sums(again), "total binary")
+    got = got.repartition(MANY if deep else FEW).mapInArrow(sums(again), "total binary")
     for r in got.collect():
         out += np.frombuffer(r[0]).reshape(shape)
     return out

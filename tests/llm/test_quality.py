@@ -110,3 +110,10 @@ def test_chunks_change_nothing(monkeypatch):
         monkeypatch.setattr(quality, "CHUNK", n)
         x, terms = quality.features(text)
         assert x == whole[0] and (terms == whole[1]).all()
+
+
+def test_sums_of_many_partitions_reach_the_driver_as_few(spark, monkeypatch):
+    frame, sent = type(spark.range(0)), []
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: (sent.append(out := f(self)), out)[1])
+    got = quality._added(spark.range(0, 1000, 1, 60), (3,), lambda b: np.full(3, float(sum(b.column(0).to_pylist()))))
+    assert got.tolist() == [499500.0] * 3 and len(sent[0]) <= quality.FEW
