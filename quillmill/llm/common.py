@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def releasing(batches: Iterator) -> Iterator:
+    """The batches; after the last, Arrow's free memory goes back to the system: the worker lives on, beside those of later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 class Ranges:
     """Consecutive ranges of the order (id, tie), null ids first. A null or repeated id is cut between its ties."""
 
@@ -37,9 +45,9 @@ class Ranges:
         if self.count == 1:
             return F.lit(0)
 
-        @F.pandas_udf("int")
-        def find(i: pd.Series, null: pd.Series, t: pd.Series) -> pd.Series:
-            return pd.Series(self.find(i.to_numpy(dtype=np.int64), null.to_numpy(dtype=bool), t.to_numpy(dtype=np.int64)))
+        @F.arrow_udf("int")
+        def find(i: pa.Array, null: pa.Array, t: pa.Array) -> pa.Array:
+            return pa.array(self.find(i.to_numpy(), null.to_numpy(zero_copy_only=False), t.to_numpy()), pa.int32())
 
         return find(F.coalesce(id_, F.lit(0)).cast("long"), id_.isNull(), tie)
 

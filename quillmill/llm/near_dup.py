@@ -26,7 +26,6 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -248,8 +247,8 @@ def _beside_pivots(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long, n long, star int, joined array<int>, near array<int>")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _labels(pairs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _labels(pairs: pa.Array) -> pa.Array:
     """The least pivot of each pivot's component, of pairs as a * PIVOTS + b."""
 
     def of(found):
@@ -259,7 +258,7 @@ def _labels(pairs: pd.Series) -> pd.Series:
             label = [a if k == b else k for k in label]
         return label
 
-    return pairs.map(of)
+    return pa.array(map(of, pairs.to_pylist()), pa.list_(pa.int32()))
 
 
 def _contracted(large: DataFrame, sets: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:

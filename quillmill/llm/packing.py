@@ -192,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, length: int = LENGTH, id
         ids_of, shard = tokens(tokenizer, pattern), [0]
 
         def read():
-            for b in batches:
+            for b in common.releasing(batches):
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
                     shard[0] = part.column(3)[0].as_py()

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,6 +64,16 @@ def terms(text: str | None) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int32)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, few at a time. After the last no word is kept: the worker lives on, beside those of later stages."""
+    try:
+        for b in common.releasing(batches):
+            for at in range(0, b.num_rows, 256):
+                yield b.slice(at, 256)
+    finally:
+        _term.cache_clear()
+
+
 class Machine:
     def __init__(self, bias: float, weights: np.ndarray, vectors: np.ndarray):
         self.bias, self.weights, self.vectors = bias, weights, vectors
@@ -185,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id")
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             found = [terms(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "label", "terms"])
 
@@ -208,7 +219,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         m = Machine(*held.value)
-        for b in batches:
+        for b in _parts(batches):
             scores = [m.score(terms(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -223,7 +234,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", limit:
 
     def run(batches):
         m = Machine(*held.value)
-        for b in batches:
+        for b in _parts(batches):
             yield b.filter(pa.array([m.score(terms(t)) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

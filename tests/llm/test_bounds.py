@@ -1,5 +1,7 @@
 """What reaches the driver is bounded where one labelled identifier holds most rows."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +40,15 @@ def test_lines(hot, monkeypatch):
     monkeypatch.setattr(line_crf, "fit", lambda chains, *how: taken.append(len(chains)) or fit(chains, *how))
     line_crf.train(docs, labels, sample=200)
     assert taken == [200]
+
+
+def test_workers_keep_no_words_of_a_task(spark):
+    """A worker's cache of words would stay beside what later stages hold."""
+    docs = spark.createDataFrame([(k, f"word{k} other{k % 7}") for k in range(400)], "doc_id long, text string").repartition(4)
+    m = toxicity.Machine(0.0, np.zeros(1 << toxicity.BITS), np.zeros((1 << toxicity.BITS, toxicity.RANK)))
+    assert toxicity.keep_clean(docs, m).count() == 0 and toxicity.score(docs, m).where("score = 0.5").count() == 400
+
+    def kept(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [toxicity._term.cache_info().currsize]}) for _ in batches)
+
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
