@@ -64,6 +64,26 @@ def test_near_pairs_are_all_pairs(spark):
     assert groups == {i: root.get(i, i) for i in {x for p in want for x in p}}
 
 
+def test_short_texts_are_compared_many_at_once(monkeypatch):
+    rng, ratio = random.Random(3), dedup.ratio
+    assert dedup._links([(1, "ab"), (2, "cd")], None, 0.85) == []
+    edited = lambda t, p: "".join(rng.choice(["", x + rng.choice("aé漢😀")]) if rng.random() < p else x for x in t)
+    for threshold in (0.5, 0.85, 1.0):
+        base = ["".join(rng.choices("abcde é漢😀", k=k)) for k in (1, 30, 63, 64, 65, 128, 129, 500)]
+        rows = list(enumerate(sorted({edited(t, p) for t in base for p in (0, 0.05, 0.1, 0.2)} | {""})))
+        rng.shuffle(rows)
+        want = sorted((min(i, j), max(i, j), sim) for k, (i, a) in enumerate(rows) for j, b in rows[:k] if (sim := ratio(a, b)) >= threshold)
+        half = {i for i, _ in rows[: len(rows) // 2]}
+        assert sorted(dedup._links(rows, None, threshold)) == want
+        monkeypatch.setattr(dedup, "ratio", None)  # one pair at a time
+        monkeypatch.setattr(dedup, "FEW", 0)
+        for cells in (dedup.CELLS, 300):  # tables too large are made for fewer pairs
+            monkeypatch.setattr(dedup, "CELLS", cells)
+            assert sorted(dedup._links(rows, None, threshold)) == want
+            assert sorted(dedup._links(rows[: len(half)], rows[len(half) :], threshold)) == [x for x in want if (x[0] in half) != (x[1] in half)]
+        monkeypatch.undo()
+
+
 def test_near_pairs_are_compared_where_their_blocks_meet(spark, monkeypatch):
     """Anagrams, of which all pairs pass the bounds: what is dealt to tasks are texts, once for each block, not pairs."""
     letters = random.Random(3)
