@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import dedup, generate, query, repair, score, temporal, validate
 from quillmill.operators.components import components
-from quillmill.plans import pipeline
+from quillmill.plans import pipeline, queries
 from quillmill.plans.config import Config
 from quillmill.plans.store import Store
 from quillmill.sources import files, records
@@ -287,3 +287,25 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert {r.component for r in found.collect()} == {0}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_near_queries_leave_whole_texts_where_they_are(spark, tmp_path):
+    """Without broadcasts, what is shuffled are first lines: 300 lines of 40 characters before texts of 6,000."""
+    letters, n = random.Random(5), 300
+    docs = [(i, "".join(letters.choices("abcdefgh ", k=40)) + "\n" + "".join(letters.choices("abcdefghijklmnop", k=6000)), "en", "s", 6041) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sc = spark.sparkContext
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for k in [sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)] for s in (k.apply(i) for i in range(k.size()))}
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for c in names:
+            spark.conf.set(c, "-1")
+        for name in ("near_pairs", "near_flag", "near_remove_best"):
+            before = stages()
+            queries.QUERIES[name](spark, str(tmp_path)).collect()
+            sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            assert 0 < sum(v for k, v in stages().items() if k not in before) < 1000 * n, name
+    finally:
+        for c in names:
+            spark.conf.unset(c)
