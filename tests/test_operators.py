@@ -84,6 +84,25 @@ def test_short_texts_are_compared_many_at_once(monkeypatch):
         monkeypatch.undo()
 
 
+def test_long_texts_are_compared_many_at_once(monkeypatch):
+    """Also where one side ends long before the other, letters are the same in all texts, and links lie at the threshold."""
+    rng, ratio = random.Random(7), dedup.ratio
+    letters = "etaoinshrd lcu" * 230
+    base = ["".join(rng.sample(letters[:k], k)) for k in (300, 1000, 1100, 1500, 2200, 3200)]
+    moved = lambda t, p: "".join(rng.choice(["", x + rng.choice("eta")]) if rng.random() < p else x for x in t)
+    rows = list(enumerate([*base, *(moved(t, p) for t in base for p in (0.1, 0.28, 0.3)), *(t[k:] for t in base for k in (len(t) * 26 // 100, len(t) * 27 // 100)), *(t[90:] + t[:90] for t in base)]))
+    rng.shuffle(rows)
+    want = sorted((min(i, j), max(i, j), sim) for k, (i, a) in enumerate(rows) for j, b in rows[:k] if (sim := ratio(a, b, 0.85)) >= 0.85)
+    monkeypatch.setattr(dedup, "ratio", None)  # one pair at a time
+    monkeypatch.setattr(dedup, "FEW", 0)
+    for cells, lanes in ((dedup.CELLS, dedup.LANES), (3000, 50)):
+        monkeypatch.setattr(dedup, "CELLS", cells)
+        monkeypatch.setattr(dedup, "LANES", lanes)
+        assert sorted(dedup._links(rows, None, 0.85)) == want and len(want) > 18
+        of = {i for i, _ in rows[:15]}
+        assert sorted(dedup._links(rows[:15], rows[15:], 0.85)) == [x for x in want if (x[0] in of) != (x[1] in of)]
+
+
 def test_near_pairs_are_compared_where_their_blocks_meet(spark, monkeypatch):
     """Anagrams, of which all pairs pass the bounds: what is dealt to tasks are texts, once for each block, not pairs."""
     letters = random.Random(3)
