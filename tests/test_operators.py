@@ -117,6 +117,25 @@ def test_near_pairs_are_compared_where_their_blocks_meet(spark, monkeypatch):
     assert got == want and (0, 400) in want
 
 
+def test_near_texts_are_shuffled_as_often_with_many_blocks_as_with_few(spark, monkeypatch):
+    """And found pairs are read again without comparing anew."""
+    letters, sc = random.Random(3), spark.sparkContext
+    texts = ["".join(letters.sample("etaoinshrd" * 6, 60)) for _ in range(500)]
+    texts += [t[: 50 + k] for k, t in enumerate(texts[:9])] + [t * 4 for t in texts[:80]]
+    df = samples(spark, [(i, t, "r", [], None) for i, t in enumerate(texts)]).localCheckpoint()
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for k in [sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)] for s in (k.apply(i) for i in range(k.size()))}
+    got, sent = [], []
+    for size in (400, 40):
+        monkeypatch.setattr(dedup, "ROWS", size)
+        before, pairs = stages(), dedup.similar_pairs(df)
+        got.append(sorted(map(tuple, pairs.collect())))
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        sent.append(sum(v for k, v in stages().items() if k not in before))
+    assert got[0] == got[1] and (0, 500) in {x[:2] for x in got[0]}
+    assert sent[1] < 1.6 * sent[0]
+    assert "MapInArrow" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_modes(spark):
     t = "one sentence that is long enough to be compared"
     df = samples(spark, [(0, t, "r", [], 0.2), (1, t + ".", "r", [], 0.9), (2, t + "..", "r", [], 0.9), (3, "other", "r", [], None)])
