@@ -17,9 +17,9 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def first_of(df: DataFrame, names: list[str]) -> Column:
-    """The first field that is neither null nor empty, as text; false and 0 count as empty."""
-    found = []
+def first_of(df: DataFrame, names: list[str], blank: bool = False) -> Column:
+    """The first field that is neither null nor empty, as text; false and 0 count as empty. blank: the first empty text, if there is no other."""
+    found, blanks = [], []
     for n in names:
         if n in df.columns:
             kind = df.schema[n].dataType
@@ -32,6 +32,9 @@ def first_of(df: DataFrame, names: list[str]) -> Column:
             elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
                 c = F.to_json(of)
             found.append(F.nullif(c, F.lit("")))
+            if blank and isinstance(kind, T.StringType):
+                blanks.append(c)
+    found += blanks
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
@@ -57,19 +60,21 @@ def pair(conversations: Column, element: T.DataType) -> tuple[Column, Column]:
     return F.when(two, turn(1)), F.when(two, turn(2))
 
 
-def to_samples(df: DataFrame, instruction: str | None = None, response: str | None = None, hub: bool = False) -> DataFrame:
-    """df's columns and instruction, response; rows that lack either are dropped."""
+def to_samples(df: DataFrame, instruction: str | None = None, response: str | None = None, hub: bool = False, incomplete: bool = False) -> DataFrame:
+    """df's columns and instruction, response; rows that lack either are dropped. incomplete: they are kept, with the null or empty text they have."""
     fields = HUB_FIELDS if hub else FILE_FIELDS
-    i = first_of(df, [instruction, *fields[0]] if instruction else fields[0])
-    r = first_of(df, [response, *fields[1]] if response else fields[1])
+    named = [instruction, *fields[0]] if instruction else fields[0], [response, *fields[1]] if response else fields[1]
+    i, r = (first_of(df, names) for names in named)
     if hub and "messages" in df.columns:
         mi, mr = chat(F.col("messages"))
         i, r = F.coalesce(i, mi), F.when(i.isNull(), F.coalesce(mr, r)).otherwise(r)
     if hub and "conversations" in df.columns:
         ci, cr = pair(F.col("conversations"), df.schema["conversations"].dataType.elementType)
         i, r = F.coalesce(i, ci), F.coalesce(r, cr)
+    if incomplete:
+        i, r = (F.coalesce(c, first_of(df, names, blank=True)) for c, names in zip((i, r), named, strict=True))
     out = df.select(*[quoted(c) for c in df.columns if c not in ("instruction", "response")], i.alias("instruction"), r.alias("response"))
-    return out.where("instruction is not null and instruction != '' and response is not null and response != ''")
+    return out if incomplete else out.where("instruction is not null and instruction != '' and response is not null and response != ''")
 
 
 def hub_samples(df: DataFrame, name: str, number: str = "idx", **fields) -> DataFrame:
